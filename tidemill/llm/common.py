@@ -6,6 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,12 @@ def checked(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
 
 
+def share(spark: SparkSession, thing):
+    """Broadcast an object of this subpackage as bytes: workers need no copy of the repository.
+    Call pickle.loads(shared.value) once a task.  Only for things of a proven size."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges(a, b); root is the smallest node of its component.
 

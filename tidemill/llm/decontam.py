@@ -18,6 +18,7 @@ get equal results.
 from __future__ import annotations
 
 import hashlib
+import pickle
 from functools import reduce
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked, read, row_key, stage
+from .common import checked, read, row_key, share, stage
 
 #: Words of a window.
 WINDOW = 10
@@ -130,13 +131,14 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col
     parts = []
     for block in blocks_of(items, "item", "text"):
         rows = [(r["item"], (r["text"] or "").encode()) for r in block.collect()]  # at most a block
-        shared = spark.sparkContext.broadcast(Windows(rows, window))
+        shared = share(spark, Windows(rows, window))
 
         def tally(batches, shared=shared):
             counts: dict[int, int] = {}
+            own = pickle.loads(shared.value)
             for b in batches:
                 for t in b.column(0).cast(pa.binary()).to_pylist():
-                    shared.value.count(t, counts)
+                    own.count(t, counts)
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
 
         windows = Windows(rows, window)
@@ -146,13 +148,14 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col
             totals = source.select(text_col).mapInArrow(tally, "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
             counts = {r["token"]: r["n"] for r in totals.collect()}
         windows.ordered(counts)
-        indexed = spark.sparkContext.broadcast(windows)
+        indexed = share(spark, windows)
 
         def search(batches, indexed=indexed):
+            own = pickle.loads(indexed.value)
             for b in batches:
                 n_words, spans, items = [], [], []
                 for t in b.column(2).cast(pa.binary()).to_pylist():
-                    n, hit, its = indexed.value.found(t)
+                    n, hit, its = own.found(t)
                     edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
                     n_words.append(n)
                     spans.append(np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], 1).ravel().tolist() if its else [])

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, pii, rules, simhash
+from . import decontam, html, lm, mixing, pii, quality, rules, simhash, substrings, warc
 
 
 def queries() -> dict:
     return {
         "op1_pii": pii.op1,
+        "op2_quality_classifier": quality.op2,
         "op3_decontamination": decontam.op3,
+        "op4_lm_scoring": lm.op4,
         "op5_quality_rules": rules.op5,
         "op6_source_mixing": mixing.op6,
+        "op7_substrings": substrings.op7,
+        "op8_warc_audit": warc.op8,
+        "op9_main_text": html.op9,
         "op10_simhash": simhash.op10,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op8_warc_audit": warc.OP8_SQL}
