@@ -34,7 +34,7 @@ from .common import read, row_key, share, stage
 
 CLASSES, OWN, WIDTH = 256, 160, 24
 DICTIONARY = 300_000
-ROUNDS, NOISE, BATCH, RATE = 2, 24, 4096, 0.15
+ROUNDS, NOISE, BATCH, RATE = 2, 24, 4096, 0.1
 #: Tokens of training text from which batches are formed at once.
 CHUNK = 2_000_000
 #: The token that ends a text; no word is empty.
@@ -135,13 +135,13 @@ def dictionary(counts: DataFrame) -> tuple[Dictionary, int, int, int]:
 
 
 class LogBilinear:
-    """Parameters: embeddings r, context weights c (two places), biases b."""
+    """Parameters: embeddings r, context weights c (two places), biases b, which start at the classes' frequencies."""
 
-    def __init__(self, seed: int = 4):
+    def __init__(self, frequency: np.ndarray | None = None, seed: int = 4):
         rng = np.random.default_rng(seed)
         self.r = (rng.standard_normal((CLASSES, WIDTH)) * 0.1).astype(np.float32)
         self.c = np.full((2, WIDTH), 0.5, np.float32)
-        self.b = np.zeros(CLASSES, np.float32)
+        self.b = np.zeros(CLASSES, np.float32) if frequency is None else np.log(frequency).astype(np.float32)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.r.ravel(), self.c.ravel(), self.b])
@@ -205,14 +205,14 @@ def trigrams(cls: np.ndarray) -> np.ndarray:
 
 def train(encoded: DataFrame, noise: np.ndarray) -> LogBilinear:
     """The model of all rows of encoded(classes)."""
-    model = LogBilinear()
+    model = LogBilinear(noise)
     for turn in range(ROUNDS):
         start = model.flat()
 
         def run(batches, start=start, turn=turn):
             own, seen = LogBilinear().load(start), 0
             rng = np.random.default_rng([turn, 7])
-            grads = [np.full(x.shape, 1e-6, np.float32) for x in (own.r, own.c, own.b)]
+            grads = [np.full(x.shape, 1e-4, np.float32) for x in (own.r, own.c, own.b)]
             waiting: list[np.ndarray] = []
 
             def learn():
