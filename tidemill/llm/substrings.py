@@ -34,7 +34,7 @@ LENGTH, GRAM = 200, 40
 #: Most contexts of an anchor that are gathered in one task: 12 MB.
 GROUP = 32_768
 #: Contexts of a bin of small groups, as an average.
-BIN = 8_192
+BIN = 2_048
 
 _rng = np.random.default_rng(2)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
