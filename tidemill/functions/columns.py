@@ -21,9 +21,9 @@ def banded(value: str | Column, ends: Sequence[tuple[object, str]], last: str, n
     """The label of the first band whose end is above value, else `last`.  A null is in the last
     band, unless null_label names another."""
     value = col(value)
-    out = F.when(value.isNull(), F.lit(null_label)) if null_label is not None else None
+    out = F.when(value.isNull(), F.lit(null_label)) if null_label is not None else F
     for end, label in ends:
-        out = (out or F).when(value < end, F.lit(label))
+        out = out.when(value < end, F.lit(label))
     return out.otherwise(F.lit(last))
 
 

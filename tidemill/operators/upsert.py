@@ -39,9 +39,10 @@ def upsert(target: DataFrame, rows: DataFrame, keys: Sequence[str], order: Seque
     the input lacks keep the target's values, new keys come in with nulls there.  Null keys are
     an error, raised when the result is computed.
     """
-    updates = _checked(target, rows, keys, updates)
-    own = [c for c in rows.columns if c not in (order or ())] if order and any(isinstance(c, str) and c not in target.columns for c in order) else rows.columns
     new = keep_last(rows, keys, order) if order else rows
+    # Columns that only order the input aren't the target's.
+    new = new.drop(*[c for c in order or () if isinstance(c, str) and c not in target.columns])
+    updates, own = _checked(target, new, keys, updates), new.columns
     if require_keys:
         null = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
         new = new.where(F.when(null, F.raise_error(F.lit("null in a key column")).cast("boolean")).otherwise(True))

@@ -69,8 +69,8 @@ class Tables:
         )
 
     def stock_prices(self) -> DataFrame:
-        price = F.avg((F.col("l_extendedprice") / F.col("l_quantity")).cast("decimal(18,4)")).cast("decimal(18,4)")
-        return self.lineitem.groupBy(F.col("l_suppkey").alias("stock"), F.to_date("l_shipdate").alias("day")).agg(F.round(price, 2).cast("decimal(18,2)").alias("price"), F.sum("l_quantity").cast("decimal(18,2)").alias("volume"))
+        price = F.max("l_extendedprice").cast("decimal(18,2)")
+        return self.lineitem.groupBy(F.col("l_suppkey").alias("stock"), F.to_date("l_shipdate").alias("day")).agg(price.alias("price"), F.sum("l_quantity").cast("decimal(18,2)").alias("volume"))
 
     def temperatures(self) -> DataFrame:
         j = self.lineitem.join(self.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
@@ -108,7 +108,7 @@ SQL = {
     "dealers": "select s_suppkey as dealer_id, n_name as city, nullif(r_name, 'ASIA') as country from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey",
     "car_prices": """select n_name as state, l_returnflag as condition, s_name as seller, p_retailprice * l_quantity as mmr, l_extendedprice as sellingprice
         from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey""",
-    "stock_prices": """select l_suppkey as stock, cast(l_shipdate as date) as day, cast(round(cast(sum(cast(l_extendedprice / l_quantity as decimal(18,4))) as double) / count(*), 2) as decimal(18,2)) as price,
+    "stock_prices": """select l_suppkey as stock, cast(l_shipdate as date) as day, cast(max(l_extendedprice) as decimal(18,2)) as price,
         cast(sum(l_quantity) as decimal(18,2)) as volume from lineitem group by 1, 2""",
     "temperatures": """select cast(s_nationkey as bigint) as location, cast(l_shipdate as date) as day,
         cast(round(cast(sum(cast(l_discount as decimal(6,2)) * 100) as double) / count(*), 1) as decimal(8,1)) as celsius, (cast(s_nationkey as bigint) - 12) * 6 as latitude

@@ -34,7 +34,7 @@ def daily_prices(prices: DataFrame, rows: int = 20) -> DataFrame:
     vol = F.when(n >= 2, F.stddev_samp("r").over(by.rowsBetween(1 - rows, 0)))
     return p.select(
         "stock", "day", d("price").alias("price"), F.round(d("price") - d("before"), 2).alias("change"), F.round(F.col("r") * 100, 2).alias("change_pct"),
-        F.round((d("volume") - d("volume_before")) / F.nullif(d("volume_before"), F.lit(0.0)) * 100, 2).alias("volume_change_pct"), F.round(vol, 4).alias("volatility"), (F.col("price") > F.col("before")).alias("is_up_day"),
+        F.round((d("volume") - d("volume_before")) / F.nullif(d("volume_before"), F.lit(0.0)) * 100, 2).alias("volume_change_pct"), F.round(vol, 3).alias("volatility"), (F.col("price") > F.col("before")).alias("is_up_day"),
     )
 
 
@@ -56,7 +56,7 @@ def temperatures(t: DataFrame) -> DataFrame:
     c = F.col("celsius").cast("double")
     mean = F.sum("celsius").over(month).cast("double") / F.count(F.lit(1)).over(month)
     return t.select(
-        "location", "day", c.alias("celsius"), F.round(c * 9 / 5 + 32, 2).alias("fahrenheit"), F.round(c - mean, 2).alias("anomaly"), (c > mean).alias("above_average"),
+        "location", "day", c.alias("celsius"), F.round(c * 9 / 5 + 32, 2).alias("fahrenheit"), F.round(c - mean, 6).alias("anomaly"), (c > mean).alias("above_average"),
         F.coalesce(F.col("celsius") > F.max("celsius").over(before), F.lit(False)).alias("record_high"), F.coalesce(F.col("celsius") < F.min("celsius").over(before), F.lit(False)).alias("record_low"),
     )
 
@@ -75,7 +75,7 @@ def yearly_temperatures(t: DataFrame) -> DataFrame:
 
 def global_temperatures(t: DataFrame) -> DataFrame:
     """A row a day: means of the world, the hemispheres (the equator is north) and the tropics (to 23.5 degrees)."""
-    mean = lambda cond: F.round(F.sum(F.when(cond, F.col("celsius"))).cast("double") / F.nullif(F.count_if(cond), F.lit(0)), 2)
+    mean = lambda cond: F.round(F.sum(F.when(cond, F.col("celsius"))).cast("double") / F.nullif(F.count_if(cond), F.lit(0)), 6)
     lat = F.col("latitude")
     g = t.groupBy("day").agg(mean(F.lit(True)).alias("global_mean"), mean(lat >= 0).alias("north_mean"), mean(lat < 0).alias("south_mean"), mean(F.abs(lat) <= 23.5).alias("tropics_mean"))
     return g.withColumns({"decade": (F.floor(F.year("day") / 10) * 10).cast("long"), "century": F.ceil(F.year("day") / 100).cast("long")})

@@ -170,7 +170,7 @@ query(
     "k7_upsert",
     _with(_UPD) + """ select coalesce(c.c_custkey, l.c_custkey) as c_custkey, coalesce(l.c_name, c.c_name) as c_name, c.c_nationkey, coalesce(l.c_acctbal, c.c_acctbal) as c_acctbal, c.c_mktsegment
     from customer c full join l on c.c_custkey = l.c_custkey""",
-)(lambda t: upsert.upsert(t.customer, _updates(t).withColumnRenamed("seq", "seq"), ["c_custkey"], ["seq"]))
+)(lambda t: upsert.upsert(t.customer, _updates(t), ["c_custkey"], ["seq"]))
 query(
     "k7_upsert_do_nothing",
     _with(_UPD) + """ select coalesce(c.c_custkey, l.c_custkey) as c_custkey, case when c.c_custkey is null then l.c_name else c.c_name end as c_name, c.c_nationkey,
@@ -296,7 +296,7 @@ query(
     case when c_nationkey = 3 then 'UNKNOWN' else 'N' || c_nationkey end as customer_state, md5(cast(c_custkey as varchar)) as customer_key from customer""",
 )(
     lambda t: star.dim_customers(
-        t.customer.select(F.col("c_custkey").alias("Customer ID"), F.concat(F.lit("u"), "c_custkey", F.lit("-"), F.explode(F.array(F.lit(1), F.lit(0)))).alias("customer_unique_id"), F.nullif("c_mktsegment", F.lit("BUILDING")).alias("customer_city"),
+        t.customer.withColumn("v", F.explode(F.array(F.lit(1), F.lit(0)))).select(F.col("c_custkey").alias("Customer ID"), F.concat(F.lit("u"), "c_custkey", F.lit("-"), "v").alias("customer_unique_id"), F.nullif("c_mktsegment", F.lit("BUILDING")).alias("customer_city"),
                           F.when(F.col("c_nationkey") != 3, F.concat(F.lit("n"), "c_nationkey")).alias("customer_state"))
     )
 )
@@ -365,7 +365,7 @@ query("t7_distinct_keys", "select distinct l_partkey, l_suppkey from lineitem")(
 query("t8_stacked", "select o_orderkey as k, o_orderstatus as status, null as flag from orders union all select l_orderkey, null, l_returnflag from lineitem")(
     lambda t: dedupe.stacked(t.orders.select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status")), t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_returnflag").alias("flag")))
 )
-query("t9_set_difference", "select c_custkey as k from customer except select o_custkey from orders")(lambda t: dedupe.set_difference(t.customer.select(F.col("c_custkey").alias("k")), t.orders.select(F.col("o_custkey").alias("k"))))
+query("t9_set_difference", "select c_custkey as k from customer except select o_custkey from orders where o_orderstatus = 'P'")(lambda t: dedupe.set_difference(t.customer.select(F.col("c_custkey").alias("k")), t.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k"))))
 
 # ---------------------------------------------------------------- scalar functions
 
@@ -507,7 +507,7 @@ query(
     """, b as (select *, lag(price) over w as before, lag(volume) over w as vb from stock_prices window w as (partition by stock order by day)),
     r as (select *, (cast(price as double) - cast(before as double)) / nullif(cast(before as double), 0) as r from b)
     select stock, day, cast(price as double) as price, round(cast(price as double) - cast(before as double), 2) as change, round(r * 100, 2) as change_pct, round((cast(volume as double) - cast(vb as double)) / nullif(cast(vb as double), 0) * 100, 2) as volume_change_pct,
-    round(stddev_samp(r) over (partition by stock order by day rows between 19 preceding and current row), 4) as volatility, price > before as is_up_day from r""",
+    round(stddev_samp(r) over (partition by stock order by day rows between 19 preceding and current row), 3) as volatility, price > before as is_up_day from r""",
     "stock_prices",
 )(lambda t: marts.daily_prices(t.stock_prices()))
 query(
@@ -521,7 +521,7 @@ query(
     "m4_temperatures",
     """, w as (select *, cast(sum(celsius) over m as double) / count(*) over m as mean, max(celsius) over e as hi, min(celsius) over e as lo from temperatures
       window m as (partition by location, month(day)), e as (partition by location order by day rows between unbounded preceding and 1 preceding))
-    select location, day, cast(celsius as double) as celsius, round(cast(celsius as double) * 9 / 5 + 32, 2) as fahrenheit, round(cast(celsius as double) - mean, 2) as anomaly, cast(celsius as double) > mean as above_average,
+    select location, day, cast(celsius as double) as celsius, round(cast(celsius as double) * 9 / 5 + 32, 2) as fahrenheit, round(cast(celsius as double) - mean, 6) as anomaly, cast(celsius as double) > mean as above_average,
     coalesce(celsius > hi, false) as record_high, coalesce(celsius < lo, false) as record_low from w""",
     "temperatures",
 )(lambda t: marts.temperatures(t.temperatures()))
@@ -534,8 +534,8 @@ query(
 )(lambda t: marts.yearly_temperatures(t.temperatures()))
 query(
     "m6_global_temperatures",
-    """select day, round(cast(sum(celsius) as double) / count(*), 2) as global_mean, round(cast(sum(celsius) filter (where latitude >= 0) as double) / nullif(count(*) filter (where latitude >= 0), 0), 2) as north_mean,
-    round(cast(sum(celsius) filter (where latitude < 0) as double) / nullif(count(*) filter (where latitude < 0), 0), 2) as south_mean, round(cast(sum(celsius) filter (where abs(latitude) <= 23.5) as double) / nullif(count(*) filter (where abs(latitude) <= 23.5), 0), 2) as tropics_mean,
+    """select day, round(cast(sum(celsius) as double) / count(*), 6) as global_mean, round(cast(sum(celsius) filter (where latitude >= 0) as double) / nullif(count(*) filter (where latitude >= 0), 0), 6) as north_mean,
+    round(cast(sum(celsius) filter (where latitude < 0) as double) / nullif(count(*) filter (where latitude < 0), 0), 6) as south_mean, round(cast(sum(celsius) filter (where abs(latitude) <= 23.5) as double) / nullif(count(*) filter (where abs(latitude) <= 23.5), 0), 6) as tropics_mean,
     year(day) // 10 * 10 as decade, cast(ceil(year(day) / 100) as bigint) as century from temperatures group by day""",
     "temperatures",
 )(lambda t: marts.global_temperatures(t.temperatures()))

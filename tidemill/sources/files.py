@@ -38,6 +38,9 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", encoding: str
     df = spark.read.schema(full).option("sep", sep).option("encoding", encoding).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").csv(path)
     # Quoted separators don't count as fields.
     fields = F.size(F.split(F.regexp_replace("_corrupt", r'"(?:[^"]|"")*"', ""), f"\\Q{sep}\\E"))
+    # Lines are only checked if all columns are read, which the last condition, always true, asks for.
+    whole = F.length(F.concat_ws("", *[F.col(c).cast("string") for c in own.names])) >= 0
+    df = df.where(whole)
     long = F.col("_corrupt").isNotNull() & (fields > len(own.fields))
     rows = df.where(~long).drop("_corrupt")
     rows = rows.withColumns({c: F.col(c).try_cast("timestamp") for c in timestamps if c in rows.columns})
@@ -82,9 +85,9 @@ def landing_check(files: DataFrame) -> DataFrame:
 def completeness(found: DataFrame, expected: DataFrame, c: str) -> DataFrame:
     """One row: is_valid, expected_count, actual_count, missing, extra: expected values of c against those found."""
     f, e = found.select(c).distinct(), expected.select(c).distinct()
-    both = e.withColumn("e", F.lit(True)).join(f.withColumn("f", F.lit(True)), c, "full_outer")
+    both = e.withColumn("__e", F.lit(True)).join(f.withColumn("__f", F.lit(True)), c, "full_outer")
     names = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col(c).cast("string"))))
-    out = both.agg(F.count("e").alias("expected_count"), F.count("f").alias("actual_count"), names(F.col("f").isNull()).alias("missing"), names(F.col("e").isNull()).alias("extra"))
+    out = both.agg(F.count("__e").alias("expected_count"), F.count("__f").alias("actual_count"), names(F.col("__f").isNull()).alias("missing"), names(F.col("__e").isNull()).alias("extra"))
     return out.select((F.size("missing") == 0).alias("is_valid"), "*")
 
 
