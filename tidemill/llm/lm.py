@@ -35,6 +35,8 @@ from .common import read, row_key, share, stage
 CLASSES, OWN, WIDTH = 256, 160, 24
 DICTIONARY = 300_000
 ROUNDS, NOISE, BATCH, RATE = 2, 24, 4096, 0.1
+#: Batches that a chunk trains at least, by further passes over it.
+STEPS = 48
 #: Tokens of training text from which batches are formed at once.
 CHUNK = 2_000_000
 #: The token that ends a text; no word is empty.
@@ -217,7 +219,8 @@ def train(encoded: DataFrame, noise: np.ndarray) -> LogBilinear:
 
             def learn():
                 codes, n = np.unique(np.concatenate(waiting), return_counts=True)
-                own.fit(codes, n, noise, rng, grads)
+                for _ in range(max(1, STEPS * BATCH // len(codes))):
+                    own.fit(codes, n, noise, rng, grads)
                 waiting.clear()
 
             for b in batches:

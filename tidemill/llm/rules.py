@@ -54,7 +54,7 @@ _REPEATS = """case when size(w) < 4 then 0L else
             a -> a.n))[0])[0] end)[0] end"""
 _LINES = rf"filter(split(t, '\n'), l -> l rlike r'[^ \t\n\x0B\f\r]')"
 STATS = rf"""transform(array(coalesce(text, '')), t -> named_struct(
-  'word_chars', cast(length(translate(t, ' \t\n\u000B\f\r', '')) as bigint),
+  'word_chars', cast(length(translate(t, ' \t\n\u000B\u000C\r', '')) as bigint),
   'n_symbols', cast(length(t) - length(translate(t, '#*$%&|<>', '')) as bigint),
   'lines', transform(array({_LINES}), x -> cast(size(x) - size(array_distinct(x)) as bigint))[0],
   'words', transform(array({_WORDS}), w -> named_struct('n', cast(size(w) as bigint), 'repeats', {_REPEATS}))[0]))[0]"""
