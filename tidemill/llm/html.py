@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, stage
+from .common import checked, read, stage
 
 #: Tokens from which a repeated substring is boilerplate.
 REPEAT = 5
@@ -194,7 +194,8 @@ def boilerplate(pages: DataFrame, length: int = REPEAT, most: int = HOST_PAGES)
     """(key, starts) of the pages of parsed(): starts are the places of repeated substrings in the page's stream."""
     stream = F.expr("array_join(transform(rest, x -> x.text), ' ')")
     streams = pages.where("size(rest) > 0").select("key", "host", stream.alias("stream")).dropDuplicates(["key"])
-    large = streams.groupBy("host").count().where(F.col("count") > most).select("host")
+    # Few hosts are large; their list is broadcast if its counted size allows it.
+    large = checked(stage(streams.groupBy("host").count().where(F.col("count") > most).select("host"), "hosts"), 100_000)
 
     def sort_host(t: pa.Table) -> pa.Table:
         keys = t.column("key").to_numpy()
@@ -210,8 +211,8 @@ def boilerplate(pages: DataFrame, length: int = REPEAT, most: int = HOST_PAGES)
     return by_host.unionByName(by_shuffle)
 
 
-def unique_runs(rest: list[dict], starts: list[int], length: int = REPEAT) -> tuple[str, int]:
-    """(text of the blocks outside menus and the like without repeated runs, number of tokens in repeated runs)."""
+def unique_runs(rest: list[dict], starts: list[int], length: int = REPEAT) -> str:
+    """The blocks outside menus and the like, without repeated runs."""
     cut = [b["text"].split(" ") for b in rest or ()]
     hit = np.zeros(sum(map(len, cut)), np.int8)
     for k in starts or ():
@@ -222,27 +223,29 @@ def unique_runs(rest: list[dict], starts: list[int], length: int = REPEAT) -> tu
             edges = np.flatnonzero(np.diff(np.concatenate([[1], hit[at : at + len(t)], [1]])))
             out += [" ".join(t[a:z]) for a, z in zip(edges[::2], edges[1::2])]
         at += len(t)
-    return "\n\n".join(out), int(hit.sum())
+    return "\n\n".join(out)
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page id, url, text, n_repeated: tokens of boilerplate that the host repeats) for each row of pages."""
+    """(page id, url, text) for each row of pages.
+
+    Texts stay where they were parsed; only pages without an article meet their repeated runs.
+    """
     cut = stage(parsed(pages, id_col, url_col, html_col), "pages")
-    joined = cut.join(boilerplate(cut), "key", "left").select(id_col, url_col, "main", "rest", "starts")
+    named = cut.where("main is not null").select(id_col, url_col, F.col("main").alias("text"))
+    bare = cut.where("main is null").select("key", id_col, url_col, "rest")
+    open_ = bare.where(f"exists(rest, x -> x.state = {OTHER})").select("key").distinct()
+    joined = bare.join(boilerplate(cut).join(open_, "key", "left_semi"), "key", "left").select(id_col, url_col, "rest", "starts")
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (id_col, url_col)}
 
     def run(batches):
         for b in batches:
-            text, repeated = [], []
-            for main, rest, starts in zip(*(b.column(k).to_pylist() for k in (2, 3, 4))):
-                own, k = unique_runs(rest, starts)
-                text.append(own if main is None else main)
-                repeated.append(k)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array(repeated, pa.int64())], [id_col, url_col, "text", "n_repeated"])
+            text = [unique_runs(rest, starts) for rest, starts in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string())], [id_col, url_col, "text"])
 
-    return joined.mapInArrow(run, f"{id_col} {kinds[id_col]}, {url_col} {kinds[url_col]}, text string, n_repeated long")
+    return named.unionByName(joined.mapInArrow(run, f"{id_col} {kinds[id_col]}, {url_col} {kinds[url_col]}, text string"))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
     out = main_text(read(spark, sf_dir, "pages"))
-    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_repeated")
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
