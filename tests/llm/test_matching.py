@@ -135,8 +135,7 @@ def test_simhash(docs):
     assert sorted(((r["doc_id"], r["fp"], r["component_id"]) for r in got.collect()), key=str) == want
 
 
-@pytest.mark.parametrize("options", [{"blocks": 4, "tile": 3}, {"blocks": 2, "tile": 50}, {"blocks": 1, "tile": 7}])
-@pytest.mark.parametrize("radius", [2, 7])
+@pytest.mark.parametrize(("options", "radius"), [({"blocks": 4, "tile": 30}, 2), ({"blocks": 2, "tile": 50}, 3), ({"blocks": 1, "tile": 40}, 7)])
 def test_tiles_lose_no_link(spark, options, radius):
     rng = np.random.default_rng(radius)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)

@@ -117,6 +117,8 @@ def tiled_links(fps: DataFrame, radius: int, first: int | None = None, blocks: i
     tiles = stage(tiles.select("cls", "sub", F.expr("transform(all, x -> x.fp)").alias("fps"), F.expr("flatten(transform(all, x -> x.sig))").alias("sigs")), "tiles")
     # Of each pair of opposite steps between classes, one.
     steps = [v for v in itertools.product(range(-far, far + 1), repeat=blocks) if sum(map(abs, v)) <= far and v >= (0,) * blocks]
+    if len(steps) > 200:
+        raise ValueError(f"{blocks} blocks have {len(steps)} neighbouring classes within {far}; take fewer blocks")
     digits = [f"cast(cls / {base**i} as int) % {base}" for i in range(blocks)]
     fits = lambda v: " and ".join(f"{d} + {x} between 0 and {base - 1}" for d, x in zip(digits, v))
     there = F.array_compact(F.array(*[F.expr(f"case when {fits(v)} then cls + {sum(x * base**i for i, x in enumerate(v))} end") for v in steps]))
