@@ -33,6 +33,8 @@ from .common import read, row_key, stage
 LENGTH, GRAM = 200, 40
 #: Most contexts of an anchor that are gathered in one task: 12 MB.
 GROUP = 32_768
+#: Suffixes that are sorted at once: 40 MB.
+SUFFIXES = 200_000
 #: Contexts of a bin of small groups, as an average.
 BIN = 2_048
 
@@ -100,31 +102,40 @@ def marked(contexts: list[bytes], lefts: np.ndarray, need: np.ndarray, order: np
     begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     s = prefix_hashes(flat)
     _, inverse = powers(len(flat) + 1)
-    # Starts of whole suffixes in each context, as offsets from the anchor.
-    low, high = -lefts, np.minimum(0, sizes - lefts - length)
-    counts = np.maximum(high - low + 1, 0)
-    owner = np.repeat(np.arange(len(contexts)), counts)
-    offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(low, counts)
-    at = begin[owner] + lefts[owner] + offset
-    h = (s[at + length] - s[at]) * inverse[at]
-    h = (h ^ (groups[owner] * np.uint64(0x9E3779B97F4A7C15))) + (offset + span).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
-    by = np.argsort(h, kind="stable")
-    twin = h[by][1:] == h[by][:-1]
-    some = by[np.concatenate([twin, [False]]) | np.concatenate([[False], twin])]
-    if not len(some):
-        return []
-    # Suffix order within an anchor and offset; positions decide at ties.
-    some = some[np.lexsort((order[owner[some]], offset[some], groups[owner[some]]))]
-    suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(flat, length)[at[some]]).view(f"V{length}").ravel()
-    rank = np.argsort(suffixes, kind="stable")
-    some, suffixes = some[rank], suffixes[rank]
-    same = (suffixes[1:] == suffixes[:-1]) & (groups[owner[some]][1:] == groups[owner[some]][:-1]) & (offset[some][1:] == offset[some][:-1])
-    earlier = np.concatenate([[False], same])  # the longest previous factor reaches length
-    later = np.concatenate([same, [False]])
-    gone = np.sort(some[(earlier if first else earlier | later) & need[owner[some]]])
-    cut = np.flatnonzero((np.diff(gone) != 1) | (np.diff(owner[gone]) != 0))
-    starts, ends = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(gone) - 1]])
-    return [(int(owner[gone[i]]), int(offset[gone[i]]), int(offset[gone[j]])) for i, j in zip(starts, ends)] if len(gone) else []
+    owners, offsets = [], []
+    # Starts are offsets from the anchor; those at different offsets never meet, so they are taken by
+    # ranges of offsets, which bounds memory.
+    width = max(1, SUFFIXES // len(contexts))
+    for o in range(-span, 1, width):
+        low, high = np.maximum(-lefts, o), np.minimum(np.minimum(0, sizes - lefts - length), o + width - 1)
+        counts = np.maximum(high - low + 1, 0)
+        owner = np.repeat(np.arange(len(contexts)), counts)
+        offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(low, counts)
+        at = begin[owner] + lefts[owner] + offset
+        h = (s[at + length] - s[at]) * inverse[at]
+        h = (h ^ (groups[owner] * np.uint64(0x9E3779B97F4A7C15))) + (offset + span).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+        by = np.argsort(h, kind="stable")
+        twin = h[by][1:] == h[by][:-1]
+        some = by[np.concatenate([twin, [False]]) | np.concatenate([[False], twin])]
+        if not len(some):
+            continue
+        # Suffix order within an anchor and offset; positions decide at ties.
+        some = some[np.lexsort((order[owner[some]], offset[some], groups[owner[some]]))]
+        suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(flat, length)[at[some]]).view(f"V{length}").ravel()
+        rank = np.argsort(suffixes, kind="stable")
+        some, suffixes = some[rank], suffixes[rank]
+        same = (suffixes[1:] == suffixes[:-1]) & (groups[owner[some]][1:] == groups[owner[some]][:-1]) & (offset[some][1:] == offset[some][:-1])
+        earlier = np.concatenate([[False], same])  # the longest previous factor reaches length
+        later = np.concatenate([same, [False]])
+        gone = some[(earlier if first else earlier | later) & need[owner[some]]]
+        owners.append(owner[gone])
+        offsets.append(offset[gone])
+    owner, offset = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (owners, offsets))
+    by = np.lexsort((offset, owner))
+    owner, offset = owner[by], offset[by]
+    cut = np.flatnonzero((np.diff(offset) != 1) | (np.diff(owner) != 0))
+    starts, ends = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(owner) - 1]])
+    return [(int(owner[i]), int(offset[i]), int(offset[j])) for i, j in zip(starts, ends)] if len(owner) else []
 
 
 def anchor_rows(source: DataFrame, length: int, gram: int) -> DataFrame:
