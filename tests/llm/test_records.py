@@ -146,3 +146,11 @@ def test_pipeline(spark, tmp_path, docs):
     assert collected(whole, "doc_id", "mix_shard", "mix_copy") == collected(at, "doc_id", "mix_shard", "mix_copy")
     ids = {r["doc_id"] for r in whole.collect()}
     assert not ids & {4, 24, 25, 26, 30, 31, 32, 33} and len(ids) > 10
+
+
+def test_nothing(spark):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html.main_text(pages).count() == 0 and warc.files_for(warc.page_records(pages)) == 1
+    docs = spark.createDataFrame([(1, None, None), (2, "", "a")], "doc_id long, text string, source string")
+    each, _ = mixing.mix(docs)
+    assert collected(each, "doc_id", "size", "target", "times") == [(1, 0, 0.0, 0), (2, 0, 0.0, 0)]
