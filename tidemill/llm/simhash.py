@@ -151,8 +151,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, bits: int
 
 
 #: For documents whose sets of five-word shingles have a similarity of 0.8 or more: two texts at
-#: 0.8 differ in about 39 of 256 bits, with a standard deviation of 6; unrelated ones in 128.
-NEAR = {"words": 5, "bits": 256, "radius": 50, "first": 20, "blocks": 1}
+#: 0.8 differ in about 78 of 512 bits, with a standard deviation of 8; unrelated ones in 256.
+NEAR = {"words": 5, "bits": 512, "radius": 98, "first": 20, "blocks": 1}
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rule) -> DataFrame:
