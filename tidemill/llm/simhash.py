@@ -140,11 +140,11 @@ def tiled_links(fps: DataFrame, radius: int, first: int | None = None, blocks: i
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, bits: int = 64, first: int | None = None, blocks: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, bits: int = 64, first: int | None = None, blocks: int = 4, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, doc id, fp, component_id) for each row: component_id is the smallest id in reach."""
     own = stage(fingerprints(docs, words, bits, id_col, text_col), "fingerprints")
     nodes = stage(own.groupBy("fp").agg(F.min(id_col).alias("least"), F.first("sig").alias("sig")), "nodes")
-    roots = connected_components(tiled_links(nodes.select("fp", "sig"), radius, first, blocks))
+    roots = connected_components(tiled_links(nodes.select("fp", "sig"), radius, first, blocks, tile))
     nodes = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     return own.join(nodes.join(smallest, "root").select("fp", "root", "component_id"), "fp").select("key", id_col, "fp", "root", "component_id")
@@ -152,7 +152,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, bits: int
 
 #: For documents whose sets of five-word shingles have a similarity of 0.8 or more: two texts at
 #: 0.8 differ in about 78 of 512 bits, with a standard deviation of 8; unrelated ones in 256.
-NEAR = {"words": 5, "bits": 512, "radius": 98, "first": 20, "blocks": 1}
+#: Larger tiles meet in fewer pairs, so less is shuffled; a pair holds at most some 3 MB.
+NEAR = {"words": 5, "bits": 512, "radius": 98, "first": 20, "blocks": 1, "tile": 1 << 14}
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rule) -> DataFrame:
