@@ -132,6 +132,22 @@ def test_main_text(spark):
     assert small == {(r["key"], tuple(sorted(r["starts"]))) for r in html.boilerplate(cut, most=0).collect()}
 
 
+def test_main_text_of_a_large_host(spark):
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("abcdef"), 6)) for _ in range(3000)]
+    notice = " ".join(rng.choice(words, 30))
+    phrases = [" ".join(rng.choice(words, 5)) for _ in range(20)]
+    copied = " ".join(rng.choice(words, 60))
+    fresh = lambda n: " ".join(rng.choice(words, n))
+    story = [[f"{fresh(9)} {phrases[i % 20]} {fresh(9)}", f"{fresh(12)} {phrases[(i + 7) % 20]}", copied if i < 4 else fresh(20)] for i in range(120)]
+    data = [(i, "http://big.example/", f"<div>Welcome to our very nice site</div>{''.join(f'<div>{x}</div>' for x in s[:2])}<div>{s[2]} {notice}</div><div>Home</div>") for i, s in enumerate(story)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    cut, got = html.parsed(pages), {r["page_id"]: r["text"] for r in html.main_text(pages).collect()}
+    assert got == {i: "\n\n".join(s) for i, s in enumerate(story)}  # the notice's run covers "Home"
+    small = {(r["key"], tuple(sorted(r["starts"]))) for r in html.boilerplate(cut).collect()}
+    assert len(small) == 120 and small == {(r["key"], tuple(sorted(r["starts"]))) for r in html.boilerplate(cut, most=50).collect()}
+
+
 def test_pipeline(spark, tmp_path, docs):
     folder = str(tmp_path)
     docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{folder}/documents.parquet")

@@ -3,18 +3,22 @@
 Pages are cut into blocks by their block-level elements.  A block within an article or main
 element, outside menus, adverts, forms, comments and the like, is main text.  All other blocks go
 into their page's token stream.  The streams of a host are concatenated, and a suffix array cut at
-REPEAT tokens finds the substrings that occur on distinct pages of the host; the runs that they
-cover are boilerplate.  Of a page without an article or main element, the blocks outside menus and
-the like keep their unique runs.  (On pages that name their article, repetition must not decide on
-the article itself: articles that a host carries twice, or that quote its notices, are main text.)
+REPEAT tokens finds the long substrings that occur on many distinct pages of the host: a share of
+SHARE of its pages, and two at least.  The runs that they cover are boilerplate, and so are whole
+blocks of BLOCK tokens or more that occur on as many pages.  Of a page without an article or main
+element, the blocks outside menus and the like keep their other words; a run that reaches into a
+block by less than REPEAT tokens takes nothing from it.  (On pages that name their article,
+repetition must not decide on the article itself: articles that a host carries twice, or that quote
+its notices, are main text.)
 
 Hosts of up to HOST_PAGES pages are sorted in one task each; the suffixes of larger hosts are
-compared in a shuffle.  A null or empty page has no text.  A null url is a host of its own.  Pages
+compared in a shuffle, by 128-bit hashes.  A null or empty page has no text.  A null url is a host of its own.  Pages
 with equal id, url and html (repeated rows) are one page to the suffix arrays, and get equal texts.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as references
 import re
 
@@ -25,8 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import checked, read, stage
 
-#: Tokens from which a repeated substring is boilerplate.
-REPEAT = 5
+#: Tokens from which a repeated substring is boilerplate, and those of a whole block.
+REPEAT, BLOCK = 25, 5
+#: Share of a host's pages on which boilerplate stands at least.
+SHARE = 0.1
 #: Pages of a host that are gathered in one task at most.
 HOST_PAGES = 2_000
 
@@ -159,9 +165,9 @@ def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     return source.mapInArrow(run, f"key long, {id_col} {kinds[id_col]}, {url_col} {kinds[url_col]}, host string, main string, rest array<struct<text: string, state: tinyint>>")
 
 
-def repeated_starts(tokens: list[list[str]], pages: np.ndarray, length: int = REPEAT) -> list[np.ndarray]:
+def repeated_starts(tokens: list[list[str]], pages: np.ndarray, length: int = REPEAT, least: int = 2) -> list[np.ndarray]:
     """For each stream of tokens (of page pages[i]) the starts of the substrings of `length` tokens that
-    stand on another page too: neighbours in the suffix array, cut at `length`, of their concatenation."""
+    stand on `least` pages: neighbours in the suffix array, cut at `length`, of their concatenation."""
     sizes = np.array([len(t) for t in tokens])
     if not sizes.sum():
         return [np.zeros(0, np.int64) for _ in tokens]
@@ -181,48 +187,90 @@ def repeated_starts(tokens: list[list[str]], pages: np.ndarray, length: int = RE
     order = whole[np.lexsort((pages[owner[whole]], rank[whole]))]
     if not len(order):
         return [np.zeros(0, np.int64) for _ in tokens]
+    page = pages[owner[order]]
     new = np.concatenate([[True], rank[order][1:] != rank[order][:-1]])
-    first = np.flatnonzero(new)
-    last = np.concatenate([first[1:], [len(order)]]) - 1
-    distinct = pages[owner[order[first]]] != pages[owner[order[last]]]
-    hit = np.sort(order[distinct[np.cumsum(new) - 1]])
+    other = new | np.concatenate([[True], page[1:] != page[:-1]])
+    group = np.cumsum(new) - 1
+    many = np.bincount(group, weights=other) >= least
+    hit = np.sort(order[many[group]])
     cut = np.searchsorted(hit, begin)
     return [hit[i:j] - b for i, j, b in zip(cut, [*cut[1:], len(hit)], begin)]
 
 
-def boilerplate(pages: DataFrame, length: int = REPEAT, most: int = HOST_PAGES) -> DataFrame:
-    """(key, starts) of the pages of parsed(): starts are the places of repeated substrings in the page's stream."""
-    stream = F.expr("array_join(transform(rest, x -> x.text), ' ')")
-    streams = pages.where("size(rest) > 0").select("key", "host", stream.alias("stream")).dropDuplicates(["key"])
+def repeated_blocks(blocks: list[list[str]], pages: np.ndarray, least: int = 2) -> list[list[int]]:
+    """For each page's list of blocks the places of those of BLOCK tokens or more that stand on `least` pages."""
+    where: dict[str, set[int]] = {}
+    for own, page in zip(blocks, pages.tolist()):
+        for x in own:
+            if x.count(" ") >= BLOCK - 1:
+                where.setdefault(x, set()).add(page)
+    return [[i for i, x in enumerate(own) if len(where.get(x, ())) >= least] for own in blocks]
+
+
+def hashed_grams(blocks: list[str], length: int = REPEAT) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, two hashes each) of the substrings of `length` tokens of a page's stream, and (-1 - i) of its blocks i."""
+    cut = [x.split(" ") for x in blocks]
+    kinds, at = np.unique(np.array([x for t in cut for x in t] or [""], dtype=object), return_inverse=True)
+    own = np.array([np.frombuffer(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest(), np.uint64) for x in kinds])[at]
+    n = max(0, len(at) - length + 1) if blocks else 0
+    grams, factor = np.zeros((n, 2), np.uint64), np.ones(2, np.uint64)
+    for j in range(length):
+        grams += own[j : j + n] * factor
+        factor = factor * np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
+    long = [i for i, t in enumerate(cut) if len(t) >= BLOCK]
+    whole = [np.frombuffer(hashlib.blake2b(blocks[i].encode("utf-8", "surrogatepass"), digest_size=16, person=b"block").digest(), np.uint64) for i in long]
+    return np.concatenate([np.arange(n), -1 - np.array(long, np.int64)]), np.concatenate([grams, np.array(whole, np.uint64).reshape(-1, 2)]).view(np.int64)
+
+
+def boilerplate(pages: DataFrame, length: int = REPEAT, most: int = HOST_PAGES, share: float = SHARE) -> DataFrame:
+    """(key, starts) of the pages of parsed(): starts are the places of repeated substrings in the page's stream,
+    and -1 - i for its repeated whole block i."""
+    streams = pages.where("size(rest) > 0").select("key", "host", F.expr("transform(rest, x -> x.text)").alias("blocks")).dropDuplicates(["key"])
     # Few hosts are large; their list is broadcast if its counted size allows it.
-    large = checked(stage(streams.groupBy("host").count().where(F.col("count") > most).select("host"), "hosts"), 100_000)
+    least = F.greatest(F.lit(2), F.ceil(F.col("count") * share)).cast("long").alias("least")
+    large = checked(stage(streams.groupBy("host").count().where(F.col("count") > most).select("host", least), "hosts"), 100_000)
 
     def sort_host(t: pa.Table) -> pa.Table:
-        keys = t.column("key").to_numpy()
-        starts = repeated_starts([x.split(" ") for x in t.column("stream").to_pylist()], keys, length)
-        some = [i for i, r in enumerate(starts) if len(r)]
+        keys, blocks = t.column("key").to_numpy(), t.column("blocks").to_pylist()
+        least = max(2, int(np.ceil(len(keys) * share)))
+        runs = repeated_starts([" ".join(x).split(" ") for x in blocks], keys, length, least)
+        starts = [[*r.tolist(), *(-1 - i for i in w)] for r, w in zip(runs, repeated_blocks(blocks, keys, least))]
+        some = [i for i, r in enumerate(starts) if r]
         return pa.table({"key": pa.array(keys[some], pa.int64()), "starts": pa.array([starts[i] for i in some], pa.list_(pa.int32()))})
 
+    def explode(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                starts, both = hashed_grams(b.column(2)[k].as_py(), length)
+                same = [pa.array(np.full(len(starts), b.column(0)[k].as_py(), np.int64)), pa.array([b.column(1)[k].as_py()] * len(starts), pa.string())]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(starts.astype(np.int32)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["key", "host", "start", "a", "b"])
+
     by_host = streams.join(large, "host", "left_anti").groupBy("host").applyInArrow(sort_host, "key long, starts array<int>")
-    tokens = streams.join(large, "host", "left_semi").select("key", "host", F.split("stream", " ").alias("t")).where(F.size("t") >= length)
-    grams = tokens.select("key", "host", F.expr(f"posexplode(transform(sequence(0, size(t) - {length}), i -> array_join(slice(t, i + 1, {length}), ' ')))").alias("start", "gram"))
-    met = grams.groupBy("host", "gram").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("host", "gram")
-    by_shuffle = grams.join(met, ["host", "gram"], "left_semi").groupBy("key").agg(F.collect_list("start").alias("starts"))
+    of_large = streams.join(large, "host", "left_semi").select("key", "host", "blocks")
+    grams = of_large.mapInArrow(explode, "key long, host string, start int, a long, b long")
+    met = grams.select("host", "a", "b", "key").distinct().groupBy("host", "a", "b").count().join(large, "host").where("count >= least").select("host", "a", "b")
+    by_shuffle = grams.join(met, ["host", "a", "b"], "left_semi").groupBy("key").agg(F.collect_list("start").alias("starts"))
     return by_host.unionByName(by_shuffle)
 
 
 def unique_runs(rest: list[dict], starts: list[int], length: int = REPEAT) -> str:
-    """The blocks outside menus and the like, without repeated runs."""
+    """The blocks outside menus and the like, without repeated runs and whole blocks."""
     cut = [b["text"].split(" ") for b in rest or ()]
     hit = np.zeros(sum(map(len, cut)), np.int8)
+    whole = {-1 - k for k in starts or () if k < 0}
     for k in starts or ():
-        hit[k : k + length] = 1
+        if k >= 0:
+            hit[k : k + length] = 1
     out, at = [], 0
-    for b, t in zip(rest or (), cut):
-        if b["state"] == OTHER:
-            edges = np.flatnonzero(np.diff(np.concatenate([[1], hit[at : at + len(t)], [1]])))
-            out += [" ".join(t[a:z]) for a, z in zip(edges[::2], edges[1::2])]
+    for i, (b, t) in enumerate(zip(rest or (), cut)):
+        own = hit[at : at + len(t)]
         at += len(t)
+        if b["state"] == OTHER and i not in whole and not own.all():
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], own, [0]])))
+            for a, z in zip(edges[::2], edges[1::2]):
+                if z - a < length:  # the edge of a run in the next block
+                    own[a:z] = 0
+            out.append(" ".join(x for x, h in zip(t, own) if not h))
     return "\n\n".join(out)
 
 
