@@ -104,6 +104,17 @@ def test_blocks():
     assert html.blocks_of("<div hidden>x</div><div data-x='hidden'>y</div>") == [("x", html.CHROME), ("y", html.OTHER)]
 
 
+def test_deep_and_implied_ends():
+    read = lambda x: [t for t, s in html.blocks_of(x) if s != html.CHROME]
+    rows = "".join(f"<tr><td>menu {i}<td>more" for i in range(300))
+    for menu in (f"<table>{rows}</table>", rows, "<dl>" + "<dt>a<dd><b>b" * 300 + "</dl>", "<ul>" + "<li><i>a" * 300 + "</ul>", "<b>" * 900 + "x", "<div>" * 900 + "x"):
+        assert read(f"<aside>{menu}</aside><article><p>Story</article><div>rest</div>") == ["Story", "rest"], menu[:20]
+        assert html.blocks_of(f"<article>Story{menu}</article>rest")[-1] == ("rest", html.OTHER)
+    assert read("<ul><li class=ad>x<ul><li>y</ul>z<li>a</ul><table><tr><td class=ad>x<table><tr><td>y</table>z<td>b<tr class=ad><th>q<tr><th>c</table>") == ["a", "b", "c"]
+    assert read("<p class=ad><b>x<p>a<p class=ad>y<div>b</div><dl><dt class=ad>x<dd>c<dd class=ad><div>y</div><dt>d</dl>") == ["a", "b", "c", "d"]
+    assert read("<li class=ad>x<section><li>y</section>z</li>a<select><option>n</select>") == ["a"]
+
+
 def naive_starts(streams, pages, n):
     where = collections.defaultdict(set)
     for t, p in zip(streams, pages):

@@ -44,7 +44,20 @@ _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
-_SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
+#: Start tags that end an open sibling of these names, if it is the nearest element but for inline ones, div, p and address.
+_SIBLINGS = {
+    **{name: frozenset((name,)) for name in ("li", "option")},
+    **{name: frozenset(("dt", "dd")) for name in ("dt", "dd")},
+    **{name: frozenset(("td", "th")) for name in ("td", "th")},
+    "tr": frozenset(("td", "th", "tr")),
+    **{name: frozenset("td th tr tbody thead tfoot caption colgroup".split()) for name in ("tbody", "thead", "tfoot")},
+}
+_WALLS = (_BLOCKS | {"button", "colgroup"}) - {"address", "div", "p"}
+#: Within a table they end all that is open above the nearest of these.
+_CONTEXTS = {"tr": ("table", "tbody", "thead", "tfoot"), "td": ("table", "tbody", "thead", "tfoot", "tr"), "th": ("table", "tbody", "thead", "tfoot", "tr"), **{name: ("table",) for name in ("tbody", "thead", "tfoot")}}
+#: Start tags that end a paragraph, unless one of the latter opened within it.
+_ENDS_P = _BLOCKS - frozenset("body caption frameset head legend option select tbody td tfoot th thead tr".split())
+_KEEPS_P = ("caption", "table", "td", "th", "button")
 _CHROME_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|pagination|pager|sidebar|side|widget\w*|header|masthead|topbar|footer|foot|copyright|"
     r"cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommended|comments?|reply|replies|respond|disqus)(?:$|[\s_-])",
@@ -62,6 +75,9 @@ def blocks_of(page: str) -> list[tuple[str, int]]:
     """(text, MAIN, OTHER or CHROME) of each block with text, in page order."""
     out: list[tuple[str, int]] = []
     open_: list[tuple[str, int]] = [("", OTHER)]
+    # The places in open_ of each name, and those of the walls: the last ones are found in constant time.
+    places: dict[str, list[int]] = {}
+    walls: list[int] = []
     text: list[str] = []
     # `<` of raw elements' ends is looked up once a name; a search that failed needn't be made again.
     ends: dict[str, int] = {}
@@ -74,6 +90,15 @@ def blocks_of(page: str) -> list[tuple[str, int]]:
                 out.append((t, open_[-1][1]))
             text.clear()
 
+    def last(*names: str) -> int:
+        return max(x[-1] if (x := places.get(name)) else 0 for name in names)
+
+    def cut(k: int) -> None:
+        while len(open_) > k:
+            places[open_.pop()[0]].pop()
+        while walls and walls[-1] >= k:
+            walls.pop()
+
     i, n = 0, len(page)
     while i < n:
         at = page.find("<", i)
@@ -116,12 +141,16 @@ def blocks_of(page: str) -> list[tuple[str, int]]:
         if name in _VOID:
             continue
         if close:
-            k = next((k for k in range(len(open_) - 1, max(0, len(open_) - 200), -1) if open_[k][0] == name), 0)
-            if k:
-                del open_[k:]
+            if k := last(name):
+                cut(k)
             continue
-        if name in _SELF_CLOSING and open_[-1][0] == name:
-            open_.pop()
+        if name in _ENDS_P and (k := last("p")) > last(*_KEEPS_P):
+            cut(k)
+        if name in _CONTEXTS and (k := last("table")):
+            cut(max(k, last(*_CONTEXTS[name])) + 1)
+        elif name in _SIBLINGS:
+            while walls and open_[walls[-1]][0] in _SIBLINGS[name]:
+                cut(walls[-1])
         state = open_[-1][1]
         attributes = page[m.end() : end - 1]
         if state != CHROME:
@@ -138,6 +167,9 @@ def blocks_of(page: str) -> list[tuple[str, int]]:
             elif name in _MAIN or found.get("role") in _MAIN or found.get("itemprop") == "articleBody":
                 state = MAIN
         if page[end - 2] != "/":
+            places.setdefault(name, []).append(len(open_))
+            if name in _WALLS:
+                walls.append(len(open_))
             open_.append((name, state))
     flush()
     return out
