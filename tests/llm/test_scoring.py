@@ -146,6 +146,28 @@ def test_quality_classifier(spark, docs, empty):
     assert all(r[i] for i in range(150)) and not any(r[i] for i in range(150, 200))
 
 
+def test_votes_read_whole_texts():
+    stop, variety = quality.LABELLERS.index("stop_words"), quality.LABELLERS.index("variety")
+    for k in (2, 4, 10):  # a period that a stride would meet
+        text = " ".join((["the"] + ["word"] * 19) * 1000 * k)
+        assert quality.votes_of(text.encode())[stop] == -1  # a share of 0.05
+        shifted = " ".join((["word"] + ["the"] + ["word"] * 18) * 1000 * k)
+        assert quality.votes_of(shifted.encode()) == quality.votes_of(text.encode())
+    spam = " ".join(f"w{i % 400}" for i in range(100_000)).encode()
+    rich = " ".join(f"w{i % 9000}" for i in range(100_000)).encode()
+    assert quality.votes_of(spam)[variety] == 0 and quality.votes_of(rich)[variety] == 1
+    assert quality.votes_of(b" ".join(b"w%d" % (i % 400) for i in range(1000)))[variety] == 1
+
+
+def test_repeated_rows_are_one_of_the_sample(spark, monkeypatch):
+    data = [(i, " ".join(f"w{i}x{j} the" for j in range(50))) for i in range(30)]
+    seen, fit = [], quality.logistic
+    monkeypatch.setattr(quality, "logistic", lambda rows, *rest: (seen.append(len(rows)), fit(rows, *rest))[1])
+    monkeypatch.setattr(quality, "TRAIN_DOCS", 20)
+    counts = [quality.classified(spark.createDataFrame(data * k, "doc_id long, text string")).count() for k in (1, 9)]
+    assert seen == [20, 20] and counts == [30, 270]
+
+
 def test_lm_base_and_normalisation(docs, empty):
     got = lm.scores(docs).collect()
     all_ = [(r["doc_id"], (r["text"] or "")) for r in docs.collect()]

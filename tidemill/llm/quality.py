@@ -56,12 +56,12 @@ def votes_of(text: bytes) -> list[int]:
     upper = len(text.translate(None, _NOT_UPPER)) / chars
     low = text.lower().split()
     kinds = set(low)
-    stops = sum(w in STOP_WORDS for w in low[:: max(1, n // 2000)]) / len(low[:: max(1, n // 2000)])
+    stops = sum(w in STOP_WORDS for w in low) / n
     lines = [x for x in text.split(b"\n") if x.strip()]
     again = 1 - len(set(lines)) / len(lines)
     ended = sum(x.rstrip()[-1:] in b".!?\"'" for x in lines) / len(lines)
     mean = chars / n
-    variety = len(kinds) / min(n, 1000)
+    variety = len(kinds) / min(n, (1000 * n) ** 0.5)  # a text's distinct words grow as the root of its length
     pick = lambda good, bad: 1 if good else 0 if bad else -1
     return [
         pick(n >= 80, n < 40),
@@ -111,7 +111,7 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     posterior = {tuple(p): float(q) for p, q in zip(v.tolist(), model.posterior(v))}
 
     place = F.xxhash64(F.lit(11), row_key(text_col, id_col))
-    least = labels.select("key", "votes", F.xxhash64(F.lit(11), "key").alias("place")).orderBy("place", "key").limit(TRAIN_DOCS).select("place", "votes").collect()
+    least = labels.select("key", "votes", F.xxhash64(F.lit(11), "key").alias("place")).dropDuplicates(["place"]).orderBy("place", "key").limit(TRAIN_DOCS).select("place", "votes").collect()
     if not least:
         weights = np.zeros(BUCKETS + 1)
     else:
@@ -123,12 +123,8 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 rows = [features_of(t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float32()))], ["place", "at", "x"])
 
-        sample = docs.select(place.alias("place"), F.col(text_col)).where(F.col("place") <= last).mapInArrow(featured, "place long, at array<int>, x array<float>")
-        seen, rows = set(), []
-        for r in sorted(sample.collect(), key=lambda r: r["place"]):
-            if r["place"] not in seen:
-                seen.add(r["place"])
-                rows.append(r)
+        sample = docs.select(place.alias("place"), F.col(text_col)).where(F.col("place") <= last).dropDuplicates(["place"])  # TRAIN_DOCS rows at most
+        rows = sorted(sample.mapInArrow(featured, "place long, at array<int>, x array<float>").collect(), key=lambda r: r["place"])
         weights = logistic([np.array(r["at"]) for r in rows], np.array([target[r["place"]] for r in rows]), BUCKETS, [np.array(r["x"]) for r in rows])
     shared = spark.sparkContext.broadcast(weights)  # of fixed size
 
