@@ -55,6 +55,22 @@ def test_split_is_exact():
     assert (parts.sum(axis=0) == q).all() and parts.sum(axis=1).max() - parts.sum(axis=1).min() <= 2
 
 
+def test_op6_draws_the_copies(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    data = [(i, " ".join(["w"] * int(rng.integers(0, 60))), ["a", "a", "a", "b", None][i % 5]) for i in range(1500)]
+    docs = spark.createDataFrame([*data, data[0], data[0]], "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out, (each, _) = mixing.op6(spark, str(tmp_path)), mixing.mix(docs)
+    assert out.columns == ["doc_id", "size", "source_size", "target", "taken", "times", "copies"]
+    want = each.withColumn("taken", F.col("size") * F.col("times"))
+    rows = out.collect()
+    assert collected(out, "doc_id", "size", "taken", "times") == collected(want, "doc_id", "size", "taken", "times")
+    assert all([c["copy"] for c in r["copies"]] == list(range(1, r["times"] + 1)) and r["taken"] == r["size"] * len(r["copies"]) for r in rows)
+    drawn = {(r["doc_id"], c["copy"], c["shard"], c["order"]) for r in rows for c in r["copies"]}
+    mixed = mixing.mixed_documents(docs).distinct().collect()
+    assert drawn == {(r["doc_id"], r["mix_copy"], r["mix_shard"], r["mix_order"]) for r in mixed} and {s for _, _, s, _ in drawn} == set(range(mixing.SHARDS))
+
+
 def test_mixing_edges(docs, empty):
     each, _ = mixing.mix(docs)
     assert each.count() == docs.count() and mixing.mixed_documents(empty).count() == 0

@@ -148,7 +148,7 @@ def mix(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col:
     # A source's units are permuted (the factor is a prime above all quotas), so that no shard owns a single pass.
     copies = copies.withColumn("unit", unit).withColumn("unit", F.expr("pmod(unit * 1000003L, quota)")).withColumn("shard", F.least(F.lit(shards - 1), F.expr("size(filter(bounds, x -> x <= unit))")))
     copies = copies.withColumn("order", F.xxhash64(F.lit(SEED + 1), "shard", "key", "copy"))
-    return each, copies.select("key", id_col, "copy", "shard", "order")
+    return each, copies.select("key", id_col, "size", "copy", "shard", "order")
 
 
 def mixed_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -160,6 +160,17 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     return out.select(*keep, F.col("__q.shard").alias("mix_shard"), F.col("__q.copy").alias("mix_copy"), F.col("__q.order").alias("mix_order"))
 
 
+def taken_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Each document with what its drawn copies add up to, and their shards and orders; none for those not taken."""
+    each, copies = mix(docs, shards, id_col, text_col, source_col)
+    copies = copies.drop(id_col).distinct()  # repeated rows share their copies
+    places = copies.groupBy("key").agg(F.sum("size").alias("taken"), F.count("*").cast("int").alias("times"), F.array_sort(F.collect_list(F.struct("copy", "shard", "order"))).alias("copies"))
+    out = each.drop("times").join(places, "key", "left")
+    taken, times = F.coalesce("taken", F.lit(0).cast("long")), F.coalesce("times", F.lit(0))
+    nothing = F.array().cast(places.schema["copies"].dataType)
+    return out.select(id_col, "size", "source_size", "target", taken.alias("taken"), times.alias("times"), F.coalesce("copies", nothing).alias("copies"))
+
+
 def write_shards(mixed: DataFrame, path: str, shards: int = SHARDS) -> None:
     """Write a mix as one folder a shard, shuffled within it."""
     parts = mixed.repartition(shards, "mix_shard").sortWithinPartitions("mix_shard", "mix_order")
@@ -167,5 +178,4 @@ def write_shards(mixed: DataFrame, path: str, shards: int = SHARDS) -> None:
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
-    each, _ = mix(read(spark, sf_dir, "documents"))
-    return each.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times")
+    return taken_documents(read(spark, sf_dir, "documents"))
