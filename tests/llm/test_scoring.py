@@ -60,6 +60,12 @@ def test_pii_query_and_mask(docs, empty):
     assert clean[3] == texts()[3]
 
 
+def test_long_candidates():
+    for own, kind, length in (("a1B2" * 33, "secret", 1), ("0f" * 50_000, "secret", 1), ("12 34" * 6, "number", 0), ("7" * 100_000, "number", 0)):
+        found = [(s, e, k, v[pii.LABELERS.index("length")]) for s, e, k, v, _ in pii.candidates(f"key: {own} end", [])]
+        assert found == [(5, 5 + len(own), kind, length)]
+
+
 def test_em_finds_reliable_labelers():
     rng = np.random.default_rng(0)
     truth = rng.random(5000) < 0.4

@@ -39,8 +39,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-_NUMBER = re.compile(r"(?<![\w])\+?\(?[0-9](?:[ ().-]{0,2}[0-9]){6,24}(?!\w)")
-_SECRET = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{24,128}(?![A-Za-z0-9_-])")
+_NUMBER = re.compile(r"(?<![\w])\+?\(?[0-9](?:[ ().-]{0,2}[0-9]){6,}(?!\w)")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{24,}(?![A-Za-z0-9_-])")
 _ADDRESS = re.compile(r"[^\s@<>\"']{1,64}@[^\s@<>\"']{3,64}")
 _NEAR_WORDS = {
     "number": re.compile(r"\b(phone|tel|telephone|mobile|cell|call|fax|whatsapp|card|visa|mastercard|amex|ssn|account|iban|passport|id|telefon|handy|konto|karte|téléphone|carte|compte|teléfono|tarjeta|cuenta)\b", re.I),
@@ -98,7 +98,7 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
             "secret": 1 if hexes or (digits >= 4 and re.search("[a-z]", own) and re.search("[A-Z]", own)) else 0 if own.count("-") + own.count("_") >= 3 else -1,
             "address": 1 if re.search(r"@[\w-]+\.[A-Za-z]{2,}", own) else 0,
         }[kind]
-        length = {"number": 1 if 9 <= digits <= 16 else 0, "secret": 1 if len(own) in (32, 40, 48, 56, 64, 128) else -1, "address": 1 if len(own) >= 6 else 0}[kind]
+        length = {"number": 1 if 9 <= digits <= 16 else 0, "secret": 1 if len(own) in (32, 40, 48, 56, 64) or len(own) >= 128 else -1, "address": 1 if len(own) >= 6 else 0}[kind]
         votes = [
             1 if any(a < e and s < b for a, b, _ in base) else -1,
             form,
