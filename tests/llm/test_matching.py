@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -88,9 +89,10 @@ def by_text(x):
     return (x[0] is None, x[0] or 0, str(x))
 
 
-@pytest.mark.parametrize("options", [{}, {"group": 1}, {"length": 60, "gram": 20}, {"keep": "first"}, {"keep": "first", "group": 1}])
+@pytest.mark.parametrize("options", [{}, {"group": 1}, {"group": 3}, {"length": 60, "gram": 20}, {"keep": "first"}, {"keep": "first", "group": 1}, {"keep": "first", "length": 60, "gram": 20, "group": 2}])
 def test_repeats(docs, options, monkeypatch):
-    monkeypatch.setattr(substrings, "SUFFIXES", 900)
+    monkeypatch.setattr(substrings, "CHUNK", 60)
+    monkeypatch.setattr(substrings, "SEGMENT", 700)
     rows = sorted(((r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
     if options.get("keep") == "first":  # repeated rows share a key, so all or none of them stays
         docs = docs.dropDuplicates(["doc_id"]).where("doc_id is not null")
@@ -103,6 +105,37 @@ def test_repeats_of_nothing(empty):
     assert repeats(empty) == []
 
 
+def test_factors():
+    rng = np.random.default_rng(8)
+    for text in (b"", b"a", b"aaaaaaaa", b"abababab", bytes(rng.integers(97, 99, 60).astype(np.uint8)), bytes(rng.integers(97, 101, 90).astype(np.uint8))):
+        order = sorted(range(len(text)), key=lambda i: text[i:])
+        common = lambda i, j: next((k for k in range(len(text)) if text[i + k : i + k + 1] != text[j + k : j + k + 1] or i + k >= len(text)), 0)
+        shared = np.array([0, *(common(i, j) for i, j in zip(order, order[1:]))][: len(order)], np.int64)
+        got = dict(zip(order, substrings.factors(np.array(order, np.int64), shared).tolist()))
+        assert got == {i: max((common(i, j) for j in range(i)), default=0) for i in range(len(text))}
+
+
+def test_a_large_group_takes_little_memory():
+    """An anchor in as many different contexts as one task gathers: within 100 MB."""
+    rng = np.random.default_rng(9)
+    n, line = substrings.GROUP, bytes(rng.integers(97, 123, 190).astype(np.uint8))
+    ctx = b"".join(bytes(rng.integers(97, 123, 85).astype(np.uint8)) + line + bytes(rng.integers(97, 123, 85).astype(np.uint8)) for _ in range(n))
+    flat, sizes = np.frombuffer(ctx, np.uint8), np.full(n, 360)
+    tracemalloc.start()
+    gone = substrings.repeated_starts(flat, np.arange(n) * 360, sizes, np.full(n, 160), np.zeros(n, int), np.zeros(n, int), np.full(n, 160), False)
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+    some = {l: collections.Counter(ctx[k * 360 + 160 - l : k * 360 + 360 - l] for k in range(n)) for l in (0, 75, 80, 86, 160)}
+    for l, counts in some.items():
+        assert [counts[ctx[k * 360 + 160 - l : k * 360 + 360 - l]] > 1 for k in range(n)] == gone[:, l].tolist()
+
+
+def test_anchors_in_segments():
+    x = np.random.default_rng(10).integers(97, 100, 5000).astype(np.uint8)
+    for segment in (1, 333, 4999):
+        assert all((p == q).all() for p, q in zip(substrings.anchors(x), substrings.anchors(x, segment=segment)))
+
+
 def test_anchors_are_shared():
     rng = np.random.default_rng(3)
     x = rng.integers(97, 123, 3000).astype(np.uint8)

@@ -8,15 +8,26 @@ can repeat, so the suffixes are sorted there alone:
    80 is one).  An anchor's context is all that LENGTH-byte strings around it can hold.
 2. Contexts that occur twice or more are repeats as a whole.  Of each distinct context one copy goes
    on, and only if the anchor has other contexts too.  Copies are gathered within a batch first.
-3. Suffix order.  The LENGTH-byte suffixes at the starts around an anchor, cut at LENGTH, are sorted
-   within the anchor's group.  In that order the previous smaller position of a suffix gives its
-   longest previous factor, the next larger one its longest next factor (both cut at LENGTH).  With
-   keep="first" a start goes if its previous factor reaches LENGTH; with keep="none" if either does.
-   Groups beyond GROUP contexts are not gathered: their suffixes are counted in a shuffle.
-
-Contexts of the first two steps are told apart by 64-bit hashes, suffixes by their bytes (in groups
-beyond GROUP by 128-bit hashes).  A null or empty text has no bytes.  Repeated rows are repeats of
-each other.  Texts shorter than LENGTH have no spans.
+3. Suffix order.  Around an anchor, the suffixes that start `l` bytes before it are those with equal
+   `l` bytes to the left, in the order of what follows the anchor.  Both orders are sorted once, with
+   the lengths that neighbours share; each l then gives the runs of suffixes that agree in LENGTH
+   bytes.  In that order the previous and next smaller positions of a suffix give its longest
+   previous factor, the next and previous larger ones its longest next factor (lengths are cut at
+   LENGTH; those below it count as none).  With keep="first" a start goes if its previous factor
+   reaches LENGTH; with keep="none" if either does.
+
+No anchor is gathered in one task beyond GROUP contexts.  Anchors with more than GROUP copies in all
+(they are counted first) never meet in a window: their contexts are counted by (anchor, context) and
+then parted by the string that a quarter of the values of l shares, again and again, until a group
+is small or all that is in it is equal.
+
+Contexts of the first two steps, and the parts of large anchors, are told apart by two 64-bit hashes,
+suffixes by their bytes.  A document is named by a 64-bit hash of its id and text.
+
+A null or empty text has no bytes.  Repeated rows are repeats of each other, and ties in the suffix
+order are decided by id and position.  Texts shorter than LENGTH have no spans; very long ones are
+read in segments.  An empty table gives an empty result.  Further columns are not looked at, so their
+names may clash with nothing.
 """
 
 from __future__ import annotations
@@ -28,15 +39,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read, row_key, stage
+from .common import checked, read, row_key, stage
 
 LENGTH, GRAM = 200, 40
-#: Most contexts of an anchor that are gathered in one task: 12 MB.
-GROUP = 32_768
-#: Suffixes that are sorted at once: 40 MB.
-SUFFIXES = 200_000
+#: Most contexts of an anchor that are gathered in one task: 1.5 MB.
+GROUP = 4_096
 #: Contexts of a bin of small groups, as an average.
 BIN = 2_048
+#: Contexts that are sorted at once, but for a larger group: some 15 MB with all orders.
+CHUNK = 4_096
+#: Bytes of a text from which anchors are sought at once.
+SEGMENT = 1 << 20
+#: Parts of the offsets when a large group is split.
+PARTS = 4
 
 _rng = np.random.default_rng(2)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -74,11 +89,9 @@ def sliding(x: np.ndarray, w: int, op, pad) -> np.ndarray:
     return op(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def anchors(b: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, hashes of the grams, hashes of the contexts) of a text's anchors."""
+def anchors_within(b: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, hashes of the grams, hashes of the contexts) of the anchors of at least `length` bytes."""
     n = len(b)
-    if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     s, (_, inverse) = prefix_hashes(b), powers(n)
     h = (s[gram:] - s[:-gram]) * inverse[: n - gram + 1] * np.uint64(0xD6E8FEB86659FD93)
     w = length - gram + 1
@@ -90,160 +103,271 @@ def anchors(b: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.n
     return at, h[at], ctx * np.uint64(0x8EBC6AF09C88C6E3)
 
 
-def marked(contexts: list[bytes], lefts: np.ndarray, need: np.ndarray, order: np.ndarray, groups: np.ndarray, first: bool, length: int = LENGTH, gram: int = GRAM) -> list[tuple[int, int, int]]:
-    """(context, first start, last start) of the runs of starts to remove, counted from the anchor.
+def anchors(b: np.ndarray, length: int = LENGTH, gram: int = GRAM, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, hashes of the grams, hashes of the contexts) of a text's anchors.
 
-    Suffixes are compared only if they agree in anchor, offset and hash; those that do are sorted by
-    their bytes, at ties by `order`, and looked at with their neighbours.
+    Segments overlap by all that an anchor and its context depend on.
     """
-    span = length - gram
-    flat = np.frombuffer(b"".join(contexts), np.uint8)
-    sizes = np.array([len(c) for c in contexts])
-    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    s = prefix_hashes(flat)
-    _, inverse = powers(len(flat) + 1)
-    owners, offsets = [], []
-    # Starts are offsets from the anchor; those at different offsets never meet, so they are taken by
-    # ranges of offsets, which bounds memory.
-    width = max(1, SUFFIXES // len(contexts))
-    for o in range(-span, 1, width):
-        low, high = np.maximum(-lefts, o), np.minimum(np.minimum(0, sizes - lefts - length), o + width - 1)
-        counts = np.maximum(high - low + 1, 0)
-        owner = np.repeat(np.arange(len(contexts)), counts)
-        offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(low, counts)
-        at = begin[owner] + lefts[owner] + offset
-        h = (s[at + length] - s[at]) * inverse[at]
-        h = (h ^ (groups[owner] * np.uint64(0x9E3779B97F4A7C15))) + (offset + span).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
-        by = np.argsort(h, kind="stable")
-        twin = h[by][1:] == h[by][:-1]
-        some = by[np.concatenate([twin, [False]]) | np.concatenate([[False], twin])]
-        if not len(some):
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
+    for i in range(0, len(b) if len(b) >= length else 0, segment):
+        low, high = max(0, i - 2 * length), min(len(b), i + segment + 2 * length)
+        at, ah, ch = anchors_within(b[low:high], length, gram)
+        own = (at + low >= i) & (at + low < i + segment)
+        found.append((at[own] + low, ah[own], ch[own]))
+    at, ah, ch = (np.concatenate(x) for x in zip(*found))
+    return at, ah, ch
+
+
+def smaller_before(position: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """For suffixes in their order, with the lengths they share with the one before, the length shared
+    with the nearest one before that has a smaller position; 0 if there is none."""
+    before, low = np.arange(-1, len(position) - 1), shared.copy()
+    at = np.flatnonzero((before >= 0) & (position[before] > position))
+    while len(at):  # jump to the candidate of the candidate: all between is larger
+        via = before[at]
+        low[at], before[at] = np.minimum(low[at], low[via]), before[via]
+        at = at[(before[at] >= 0) & (position[before[at]] > position[at])]
+    return np.where(before >= 0, low, 0)
+
+
+def factors(position: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """The longest previous factor of each suffix: the most that it shares with one at a smaller
+    position, by the previous and next smaller positions in suffix order (shared[0] is 0)."""
+    back = np.concatenate([[0], shared[:0:-1]]) if len(shared) else shared
+    return np.maximum(smaller_before(position, shared), smaller_before(position[::-1], back)[::-1])
+
+
+def ordered(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the rows of bytes, bytes that each shares with the one before it in that order)."""
+    width = rows.shape[1]
+    by = np.argsort(np.ascontiguousarray(rows).view(f"V{width}").ravel(), kind="stable")
+    shared, step = np.zeros(len(by), np.int32), 1024
+    for i in range(1, len(by), step):
+        differ = rows[by[i : i + step]] != rows[by[i - 1 : min(i + step, len(by)) - 1]]
+        shared[i : i + step] = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    return by, shared
+
+
+def repeated_starts(flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray, left: np.ndarray, group: np.ndarray, low: np.ndarray, high: np.ndarray, first: bool, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
+    """For contexts in the order of their positions, whether the start l bytes before the anchor goes (contexts x l).
+
+    Context i is flat[begin[i] : begin[i] + sizes[i]] with its anchor at left[i]; it meets those of
+    its group, at the starts with l from low[i] to high[i].
+    """
+    n, span = len(sizes), length - gram
+    gone = np.zeros((n, span + 1), bool)
+    right = sizes - left
+    name = np.ascontiguousarray(group.astype(">u4")).view(np.uint8).reshape(n, 4)
+
+    def padded(at: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        own = flat[np.clip(at, 0, len(flat) - 1)]
+        own[~inside] = 0
+        return np.concatenate([name, own], axis=1)
+
+    step = np.arange(length, dtype=np.int32)
+    anchor = (begin + left).astype(np.int64)[:, None]
+    by_right, right_shared = ordered(padded(anchor + step, step < right[:, None]))
+    step = np.arange(span, dtype=np.int32)
+    by_left, left_shared = ordered(padded(anchor - 1 - step, step < left[:, None]))
+    left_class, right_class = np.empty(n, np.int64), np.empty(n, np.int64)
+    for l in range(int(low.min()), int(high.max()) + 1):
+        at = np.flatnonzero((low <= l) & (l <= high) & (left >= l) & (right >= length - l))
+        if len(at) < 2:
+            continue
+        left_class[by_left] = np.cumsum(left_shared < l + 4)
+        right_class[by_right] = np.cumsum(right_shared < length - l + 4)
+        code = left_class[at] * (n + 1) + right_class[at]
+        by = np.argsort(code, kind="stable")  # ties stay in the order of positions
+        same = code[by][1:] == code[by][:-1]
+        twin = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        at = at[by[twin]]
+        if not len(at):
             continue
-        # Suffix order within an anchor and offset; positions decide at ties.
-        some = some[np.lexsort((order[owner[some]], offset[some], groups[owner[some]]))]
-        suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(flat, length)[at[some]]).view(f"V{length}").ravel()
-        rank = np.argsort(suffixes, kind="stable")
-        some, suffixes = some[rank], suffixes[rank]
-        same = (suffixes[1:] == suffixes[:-1]) & (groups[owner[some]][1:] == groups[owner[some]][:-1]) & (offset[some][1:] == offset[some][:-1])
-        earlier = np.concatenate([[False], same])  # the longest previous factor reaches length
-        later = np.concatenate([same, [False]])
-        gone = some[(earlier if first else earlier | later) & need[owner[some]]]
-        owners.append(owner[gone])
-        offsets.append(offset[gone])
-    owner, offset = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (owners, offsets))
-    by = np.lexsort((offset, owner))
-    owner, offset = owner[by], offset[by]
-    cut = np.flatnonzero((np.diff(offset) != 1) | (np.diff(owner) != 0))
-    starts, ends = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(owner) - 1]])
-    return [(int(owner[i]), int(offset[i]), int(offset[j])) for i, j in zip(starts, ends)] if len(owner) else []
-
-
-def anchor_rows(source: DataFrame, length: int, gram: int) -> DataFrame:
-    """(ah, ch, copies of (id, key, pos)) from source(id, key, text), gathered within each batch."""
+        shared = np.where(np.concatenate([[False], same])[twin], length, 0)
+        most = factors(at, shared)
+        if not first:
+            most = np.maximum(most, factors(-at, shared))
+        gone[at[most >= length], l] = True
+    return gone
+
+
+def anchor_rows(source: DataFrame, first: bool, length: int, gram: int) -> DataFrame:
+    """(ah, ch, copies of (id if first, key, pos)) from source(id, key, text), gathered within each batch."""
 
     def run(batches):
         for b in batches:
-            parts = []
+            parts, held = [], 0
             ids, keys = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            for i, t in enumerate(b.column(2).cast(pa.binary()).to_pylist()):
+
+            def flush():
+                ah, ch, row, pos = (np.concatenate(x) for x in zip(*parts))
+                parts.clear()
+                by = np.lexsort((pos, keys[row], ids[row], ch, ah))
+                ah, ch, row, pos = ah[by], ch[by], row[by], pos[by]
+                new = np.concatenate([[True], (ah[1:] != ah[:-1]) | (ch[1:] != ch[:-1])])
+                offsets = pa.array(np.concatenate([np.flatnonzero(new), [len(ah)]]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (*([ids[row]] if first else []), keys[row], pos.astype(np.int32))]
+                return pa.RecordBatch.from_arrays([pa.array(ah[new].view(np.int64)), pa.array(ch[new].view(np.int64)), *lists], ["ah", "ch", *(["ids"] if first else []), "keys", "poss"])
+
+            for i, t in enumerate(b.column(2).cast(pa.binary())):
+                t = t.as_py()
                 at, ah, ch = anchors(np.frombuffer(t or b"", np.uint8), length, gram)
                 if len(at):
                     parts.append((ah, ch, np.full(len(at), i), at))
-            if not parts:
-                continue
-            ah, ch, row, pos = (np.concatenate(x) for x in zip(*parts))
-            by = np.lexsort((pos, keys[row], ids[row], ch, ah))
-            ah, ch, row, pos = ah[by], ch[by], row[by], pos[by]
-            new = np.concatenate([[True], (ah[1:] != ah[:-1]) | (ch[1:] != ch[:-1])])
-            offsets = pa.array(np.concatenate([np.flatnonzero(new), [len(ah)]]).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (ids[row], keys[row], pos.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([pa.array(ah[new].view(np.int64)), pa.array(ch[new].view(np.int64)), *lists], ["ah", "ch", "ids", "keys", "poss"])
+                    held += len(at)
+                if held > 1 << 20:
+                    yield flush()
+                    held = 0
+            if parts:
+                yield flush()
 
-    return source.mapInArrow(run, "ah long, ch long, ids array<bigint>, keys array<bigint>, poss array<int>")
+    return source.mapInArrow(run, f"ah long, ch long, {'ids array<bigint>, ' if first else ''}keys array<bigint>, poss array<int>")
 
 
-def spans(docs: DataFrame, keep: str = "none", length: int = LENGTH, gram: int = GRAM, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, spans) of the documents that lose bytes: spans is an array of (start, end), to be united.
+def _place(first: bool):
+    """The place of a row's first copy."""
+    return F.struct(*([F.col("ids")[0].alias("id")] if first else []), F.col("keys")[0].alias("key"), F.col("poss")[0].alias("pos"))
 
-    keep="none" removes all copies, keep="first" keeps the one with the smallest id and position.
-    Ids must be integers (nulls sort first).
-    """
-    first = keep == "first"
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62))).alias("id"), row_key(text_col, id_col).alias("key"), F.col(text_col).alias("text"))
-    rows = anchor_rows(source.where(F.octet_length("text") >= length), length, gram)
-    least = F.struct(F.col("ids")[0].alias("id"), F.col("keys")[0].alias("key"), F.col("poss")[0].alias("pos"))
+
+def _in_windows(rows: DataFrame, first: bool) -> tuple[DataFrame, DataFrame]:
+    """(copies to remove as (key, pos), probes) of anchors with GROUP copies at most."""
     by, whole = Window.partitionBy("ah").orderBy("ch", "least"), Window.partitionBy("ah")
-    rows = rows.withColumn("least", least)
+    rows = rows.withColumn("least", _place(first))
     rows = rows.withColumns({"same_before": F.coalesce(F.lag("ch").over(by) == F.col("ch"), F.lit(False)), "same_after": F.coalesce(F.lead("ch").over(by) == F.col("ch"), F.lit(False))})
     rows = rows.withColumns({"twice": (F.size("keys") > 1) | F.col("same_before") | F.col("same_after"), "mixed": F.min("ch").over(whole) != F.max("ch").over(whole)})
     rows = rows.withColumn("probe", F.col("mixed") & ~F.col("same_before"))
-    rows = rows.withColumn("size", F.sum(F.col("probe").cast("int")).over(whole))
-    rows = stage(rows.where("twice or probe").select("ah", "keys", "poss", "least", "twice", "probe", "same_before", "size"), "anchors")
-
-    # Whole contexts that are copies; with keep="first" all but the least copy.
+    rows = stage(rows.where("twice or probe").select("ah", "keys", "poss", "least", "twice", "probe", "same_before"), "anchors")
     copies = rows.where("twice").select("same_before", F.posexplode(F.arrays_zip("keys", "poss")).alias("i", "c"))
-    if first:
+    if first:  # all but the least copy
         copies = copies.where("i > 0 or same_before")
+    probes = rows.where("probe").select("least.*", "ah", (F.lit(first) | ~F.col("twice")).alias("need"), F.lit(False).alias("hot"))
+    return copies.select(F.col("c.keys").alias("key"), F.col("c.poss").alias("pos")), probes
+
+
+def _in_groups(rows: DataFrame, first: bool) -> tuple[DataFrame, DataFrame]:
+    """The same of anchors with more copies: no task sees all rows of an anchor or context."""
+    contexts = stage(rows.groupBy("ah", "ch").agg(F.sum(F.size("keys")).alias("n"), F.min(_place(first)).alias("least")), "contexts")
+    mixed = contexts.groupBy("ah").count().where("count > 1").select("ah")
+    copies = rows.join(contexts.where("n > 1").select("ah", "ch", "least"), ["ah", "ch"])
+    copies = copies.select("least", F.explode(F.arrays_zip(*(["ids"] if first else []), "keys", "poss")).alias("c"))
+    if first:
+        copies = copies.where(~F.col("least").eqNullSafe(F.struct(F.col("c.ids").alias("id"), F.col("c.keys").alias("key"), F.col("c.poss").alias("pos"))))
+    probes = contexts.join(mixed, "ah", "left_semi").select("least.*", "ah", (F.lit(first) | (F.col("n") == 1)).alias("need"), F.lit(True).alias("hot"))
+    return copies.select(F.col("c.keys").alias("key"), F.col("c.poss").alias("pos")), probes
+
+
+def _parted(contexts: DataFrame, first: bool, group: int, length: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Large anchors' contexts as (parts of `group` contexts at most, (key, s, e) of starts that are equal)."""
+    work, small, found = contexts, [], []
+    while True:
+        # Alone, a context meets none.  A join splits the rows of a large part; a window would not.
+        sizes = work.groupBy("g1", "g2").agg(F.count("*").alias("n")).where("n > 1")
+        work = stage(work.join(sizes, ["g1", "g2"]), "parts")
+        small.append(work.where(F.col("n") <= group).drop("n"))
+        work = work.where(F.col("n") > group)
+        equal = work.where("low = high")
+        if first:
+            place = F.struct("id", "key", "pos")
+            equal = equal.join(equal.groupBy("g1", "g2").agg(F.min(place).alias("least")), ["g1", "g2"]).where(place != F.col("least"))
+        found.append(equal.where("need").select("key", (F.col("pos") - F.col("low")).alias("s"), (F.col("pos") - F.col("low") + length).alias("e")))
+        work = work.where("low < high").drop("n")
+        if work.isEmpty():
+            return small, found
+        step = f"cast(ceil((high - low + 1) / {PARTS}) as int)"
+        work = work.withColumn("part", F.explode(F.expr(f"transform(sequence(0, {PARTS - 1}), i -> struct(low + i * {step} as low, least(high, low + (i + 1) * {step} - 1) as high))")))
+        work = work.withColumns({"low": F.col("part.low"), "high": F.col("part.high")}).where(f"low <= high and lft >= low and octet_length(ctx) - lft >= {length} - high")
+        shared = F.expr(f"substring(ctx, lft - low + 1, {length} + low - high)")
+        work = work.withColumns({"g1": F.xxhash64("g1", "low", shared), "g2": F.xxhash64(F.lit(1), "g2", "low", shared)}).drop("part")
+
+
+def spans(docs: DataFrame, keep: str = "none", length: int = LENGTH, gram: int = GRAM, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, spans) of the documents that lose bytes: spans is an array of (start, end), to be united.
+
+    keep="none" removes all copies, keep="first" keeps the one with the smallest id and position.
+    Ids must be integers (nulls sort first).
+    """
+    first = keep == "first"
+    number = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62))) if first else F.lit(0).cast("long")
+    source = docs.select(number.alias("id"), row_key(text_col, id_col).alias("key"), F.col(text_col).alias("text"))
+    rows = stage(anchor_rows(source.where(F.octet_length("text") >= length), first, length, gram), "rows")
+    hot = stage(rows.groupBy("ah").agg(F.sum(F.size("keys")).alias("n")).where(F.col("n") > group).select("ah"), "hot")
+    some = checked(hot)  # of all copies, one in `group` at most
+    cold_copies, cold_probes = _in_windows(rows.join(some, "ah", "left_anti"), first)
+    hot_copies, hot_probes = _in_groups(rows.join(some, "ah", "left_semi"), first)
     back, ahead = length - gram, length
-    found = copies.select(F.col("c.keys").alias("key"), (F.col("c.poss") - back).alias("s"), (F.col("c.poss") + ahead).alias("e"))
+    copies = cold_copies.unionByName(hot_copies)
+    found = copies.select("key", (F.col("pos") - back).alias("s"), (F.col("pos") + ahead).alias("e"))
+    probes = stage(cold_probes.unionByName(hot_probes), "probes")
 
-    probes = rows.where("probe").select(F.col("least.key").alias("key"), F.col("least.id").alias("id"), F.col("least.pos").alias("pos"), "ah", (F.lit(first) | ~F.col("twice")).alias("need"), "size")
-    wanted = probes.groupBy("key").agg(F.collect_list(F.struct("id", "pos", "ah", "need", "size")).alias("probes"))
+    fields = ["pos", "ah", "need", "hot", *(["id"] if first else [])]
+    wanted = probes.groupBy("key").agg(F.collect_list(F.struct(*fields)).alias("probes"))  # a text's own anchors
     texts = source.select("key", "text").join(wanted, "key")
 
     def cut(batches):
+        last = None
         for b in batches:
             out: list[list] = [[] for _ in range(8)]
-            for key, t, probes_ in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
-                for p in probes_:
+            for key, t, own in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), b.column(2)):
+                if key == last:  # a repeated row
+                    continue
+                last, t = key, t.as_py()
+                for p in own.as_py():
                     lo = max(0, p["pos"] - back)
-                    for x, v in zip(out, (p["ah"], p["size"], p["id"], key, p["pos"], p["need"], p["pos"] - lo, t[lo : p["pos"] + ahead])):
+                    for x, v in zip(out, (p["ah"], p["hot"], p.get("id", 0), key, p["pos"], p["need"], p["pos"] - lo, t[lo : p["pos"] + ahead])):
                         x.append(v)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, types)], ["ah", "size", "id", "key", "pos", "need", "lft", "ctx"])
-
-    n = probes.count()
+            types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, types)], ["ah", "hot", "id", "key", "pos", "need", "lft", "ctx"])
+
+    contexts = stage(texts.mapInArrow(cut, "ah long, hot boolean, id long, key long, pos int, need boolean, lft int, ctx binary"), "contexts")
+    contexts = contexts.withColumns({"g1": F.col("ah"), "g2": F.lit(0).cast("long"), "low": F.lit(0), "high": F.lit(back)}).drop("ah")
+    bins = contexts.where("not hot").drop("hot")
+    large = contexts.where("hot").drop("hot").dropDuplicates(["g1", "key", "pos"])
+    if not hot.isEmpty():
+        small, equal = _parted(large, first, group, length)
+        for x in small:
+            bins = bins.unionByName(x)
+        for x in equal:
+            found = found.unionByName(x)
+
+    def sort_bin(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        names = {c: t.column(c).to_numpy() for c in ("g1", "g2", "id", "key", "pos", "need", "lft", "low", "high")}
+        by = np.lexsort((names["pos"], names["key"], names["id"], names["g2"], names["g1"]))
+        names = {c: x[by] for c, x in names.items()}
+        differ = lambda *cs: np.concatenate([[True], np.any([names[c][1:] != names[c][:-1] for c in cs], axis=0)])
+        once = differ("g1", "g2", "key", "pos")
+        by, group_ = by[once], (np.cumsum(differ("g1", "g2")) - 1)[once]
+        names = {c: x[once] for c, x in names.items()}
+        ctx = t.column("ctx").chunk(0)
+        ends = np.frombuffer(ctx.buffers()[1], np.int32)[ctx.offset : ctx.offset + len(ctx) + 1].astype(np.int64)
+        flat = np.frombuffer(ctx.buffers()[2] or b"\0", np.uint8)
+        begin, sizes = ends[:-1][by], np.diff(ends)[by]
+        # Whole groups, as many as fit a chunk.
+        starts = np.flatnonzero(np.concatenate([[True], group_[1:] != group_[:-1]]))
+        cuts = [0]
+        for a, z in zip(starts, [*starts[1:], len(by)]):
+            if z - cuts[-1] > CHUNK and a > cuts[-1]:
+                cuts.append(int(a))
+        out: list[list[np.ndarray]] = [[], [], []]
+        for a, z in zip(cuts, [*cuts[1:], len(by)]):
+            part = slice(a, z)
+            # Positions order the suffixes of a group; groups never meet.
+            gone = repeated_starts(flat, begin[part], sizes[part], names["lft"][part].astype(np.int64), group_[part], names["low"][part], names["high"][part], first, length, gram)
+            gone[~names["need"][part]] = False
+            edge = np.zeros((z - a, back + 3), np.int8)
+            edge[:, 1:-1] = gone[:, ::-1]
+            edge = np.diff(edge, axis=1)
+            (row, s), (_, e) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+            pos = names["pos"][part][row].astype(np.int64) - back
+            for x, v in zip(out, (names["key"][part][row], pos + s, pos + e - 1 + length)):
+                x.append(v)
+        key, s, e = (np.concatenate(x) for x in out)
+        return pa.table({"key": pa.array(key, pa.int64()), "s": pa.array(s.astype(np.int32)), "e": pa.array(e.astype(np.int32))})
+
+    n = bins.count()
     if n:
-        # Repeated rows fetch the same context again.
-        contexts = texts.mapInArrow(cut, "ah long, size long, id long, key long, pos int, need boolean, lft int, ctx binary")
-        contexts = stage(contexts, "contexts")
-        bins = contexts.where(F.col("size") <= group).withColumn("bin", F.pmod(F.xxhash64("ah"), F.lit(-(-n // BIN))))
-
-        def sort_bin(t: pa.Table) -> pa.Table:
-            t = t.combine_chunks()
-            key, pos, ids = (t.column(c).to_numpy() for c in ("key", "pos", "id"))
-            ah = t.column("ah").to_numpy().view(np.uint64)
-            by = np.lexsort((ah, pos, key, ids))
-            new = np.concatenate([[True], (key[by][1:] != key[by][:-1]) | (pos[by][1:] != pos[by][:-1]) | (ah[by][1:] != ah[by][:-1])])
-            by = by[new]
-            t = t.take(pa.array(by))
-            key, pos, ah = key[by], pos[by], ah[by]
-            runs = marked(t.column("ctx").to_pylist(), t.column("lft").to_numpy().astype(np.int64), t.column("need").to_numpy(), np.arange(len(by)), ah, first, length, gram)
-            k = np.array([r[0] for r in runs], np.int64)
-            s = pos[k] + np.array([r[1] for r in runs], np.int32) if runs else np.zeros(0, np.int32)
-            e = pos[k] + np.array([r[2] for r in runs], np.int32) + length if runs else np.zeros(0, np.int32)
-            return pa.table({"key": pa.array(key[k], pa.int64()), "s": pa.array(s, pa.int32()), "e": pa.array(e, pa.int32())})
-
+        bins = bins.withColumn("bin", F.pmod(F.xxhash64("g1", "g2"), F.lit(-(-n // BIN))))
         found = found.unionByName(bins.groupBy("bin").applyInArrow(sort_bin, "key long, s int, e int"))
-
-        def every(batches):
-            for b in batches:
-                out: list[list] = [[] for _ in range(6)]
-                for ah, id_, key, pos, need, left, ctx in zip(*(c.to_pylist() for c in b.columns)):
-                    for o in range(-left, min(0, len(ctx) - left - length) + 1):
-                        d = hashlib.blake2b(ctx[left + o : left + o + length], digest_size=16).digest()
-                        for x, v in zip(out, (int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), id_, key, pos + o, need)):
-                            x.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(),) * 4 + (pa.int32(), pa.bool_()))], ["h1", "h2", "id", "key", "s", "need"])
-
-        large = contexts.where(F.col("size") > group).dropDuplicates(["ah", "key", "pos"]).select("ah", "id", "key", "pos", "need", "lft", "ctx")
-        suffixes = large.mapInArrow(every, "h1 long, h2 long, id long, key long, s int, need boolean").distinct()
-        met = suffixes.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "s")).alias("least")).where("n > 1")
-        met = suffixes.where("need").join(met, ["h1", "h2"])
-        if first:
-            met = met.where(F.struct("id", "key", "s") != F.col("least"))
-        if probes.where(F.col("size") > group).limit(1).count():
-            found = found.unionByName(met.select("key", "s", (F.col("s") + length).alias("e")))
     return found.groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
