@@ -16,10 +16,11 @@ can repeat, so the suffixes are sorted there alone:
    LENGTH; those below it count as none).  With keep="first" a start goes if its previous factor
    reaches LENGTH; with keep="none" if either does.
 
-No anchor is gathered in one task beyond GROUP contexts.  Anchors with more than GROUP copies in all
-(they are counted first) never meet in a window: their contexts are counted by (anchor, context) and
-then parted by the string that a quarter of the values of l shares, again and again, until a group
-is small or all that is in it is equal.
+No task gathers an anchor beyond GROUP contexts.  Anchors with more copies are counted first; in the
+window they are salted by their contexts, and contexts with more copies by these.  Contexts that are
+still too many for a task are parted by the string that a quarter of the values of l shares, then by a
+quarter of these, until a group is small; at each step those that agree in all that the values of l can
+reach are repeats, and one of them goes on.
 
 Contexts of the first two steps, and the parts of large anchors, are told apart by two 64-bit hashes,
 suffixes by their bytes.  A document is named by a 64-bit hash of its id and text.
@@ -33,6 +34,7 @@ names may clash with nothing.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +44,11 @@ from pyspark.sql import functions as F
 from .common import checked, read, row_key, stage
 
 LENGTH, GRAM = 200, 40
-#: Most contexts of an anchor that are gathered in one task: 1.5 MB.
-GROUP = 4_096
+#: Most contexts of an anchor that are gathered in one task: 3 MB.
+GROUP = 8_192
 #: Contexts of a bin of small groups, as an average.
 BIN = 2_048
-#: Contexts that are sorted at once, but for a larger group: some 15 MB with all orders.
+#: Contexts that are sorted at once, but for a larger group: some 20 MB with all orders.
 CHUNK = 4_096
 #: Bytes of a text from which anchors are sought at once.
 SEGMENT = 1 << 20
@@ -229,55 +231,60 @@ def _place(first: bool):
     return F.struct(*([F.col("ids")[0].alias("id")] if first else []), F.col("keys")[0].alias("key"), F.col("poss")[0].alias("pos"))
 
 
-def _in_windows(rows: DataFrame, first: bool) -> tuple[DataFrame, DataFrame]:
-    """(copies to remove as (key, pos), probes) of anchors with GROUP copies at most."""
-    by, whole = Window.partitionBy("ah").orderBy("ch", "least"), Window.partitionBy("ah")
-    rows = rows.withColumn("least", _place(first))
-    rows = rows.withColumns({"same_before": F.coalesce(F.lag("ch").over(by) == F.col("ch"), F.lit(False)), "same_after": F.coalesce(F.lead("ch").over(by) == F.col("ch"), F.lit(False))})
-    rows = rows.withColumns({"twice": (F.size("keys") > 1) | F.col("same_before") | F.col("same_after"), "mixed": F.min("ch").over(whole) != F.max("ch").over(whole)})
-    rows = rows.withColumn("probe", F.col("mixed") & ~F.col("same_before"))
-    rows = stage(rows.where("twice or probe").select("ah", "keys", "poss", "least", "twice", "probe", "same_before"), "anchors")
-    copies = rows.where("twice").select("same_before", F.posexplode(F.arrays_zip("keys", "poss")).alias("i", "c"))
+def _met(rows: DataFrame, first: bool, group: int) -> tuple[DataFrame, DataFrame]:
+    """(copies to remove as (key, pos), probes (ah, id if first, key, pos, need)) of anchor_rows()."""
+    many = stage(rows.groupBy("ah").agg(F.sum(F.size("keys")).alias("n")).where(F.col("n") > group), "many")
+    rows = rows.join(checked(many), "ah", "left").withColumn("least", _place(first))  # of all copies, one in `group` at most
+    hot = F.col("n").isNotNull()
+    whole = rows.groupBy(F.when(hot, F.col("ah")).alias("ah"), F.when(hot, F.col("ch")).alias("ch")).agg(F.sum(F.size("keys")).alias("n"), F.min("least").alias("whole"))
+    rows = rows.join(checked(stage(whole.where((F.col("n") > group) & F.col("ah").isNotNull()).drop("n"), "whole")), ["ah", "ch"], "left")
+    rows = rows.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("ch"), F.ceil(F.col("n") / group))).otherwise(0))
+    rows = rows.withColumn("salt2", F.when(F.col("whole").isNotNull(), F.pmod(F.xxhash64("least.key", "least.pos"), F.ceil(F.col("n") / group))).otherwise(0))
+    part = Window.partitionBy("ah", "salt", "salt2")
+    by, same = part.orderBy("ch", "least"), lambda c: F.coalesce(c == F.col("ch"), F.lit(False))
+    rows = rows.withColumns({"same_before": same(F.lag("ch").over(by)), "same_after": same(F.lead("ch").over(by)), "mixed": hot | (F.min("ch").over(part) != F.max("ch").over(part))})
+    rows = rows.withColumn("twice", F.col("whole").isNotNull() | (F.size("keys") > 1) | F.col("same_before") | F.col("same_after"))
+    rows = rows.withColumn("probe", F.when(F.col("whole").isNotNull(), F.col("least") == F.col("whole")).otherwise(F.col("mixed") & ~F.col("same_before")))
+    rows = stage(rows.where("twice or probe").select("ah", *(["ids"] if first else []), "keys", "poss", "least", "whole", "twice", "probe", "same_before"), "anchors")
+    names = {**({"id": "ids"} if first else {}), "key": "keys", "pos": "poss"}
+    copies = rows.where("twice").select("same_before", "whole", F.posexplode(F.arrays_zip(*names.values())).alias("i", "c"))
+    copies = copies.select("same_before", "whole", "i", F.struct(*[F.col(f"c.{old}").alias(new) for new, old in names.items()]).alias("c"))
     if first:  # all but the least copy
-        copies = copies.where("i > 0 or same_before")
-    probes = rows.where("probe").select("least.*", "ah", (F.lit(first) | ~F.col("twice")).alias("need"), F.lit(False).alias("hot"))
-    return copies.select(F.col("c.keys").alias("key"), F.col("c.poss").alias("pos")), probes
-
-
-def _in_groups(rows: DataFrame, first: bool) -> tuple[DataFrame, DataFrame]:
-    """The same of anchors with more copies: no task sees all rows of an anchor or context."""
-    contexts = stage(rows.groupBy("ah", "ch").agg(F.sum(F.size("keys")).alias("n"), F.min(_place(first)).alias("least")), "contexts")
-    mixed = contexts.groupBy("ah").count().where("count > 1").select("ah")
-    copies = rows.join(contexts.where("n > 1").select("ah", "ch", "least"), ["ah", "ch"])
-    copies = copies.select("least", F.explode(F.arrays_zip(*(["ids"] if first else []), "keys", "poss")).alias("c"))
-    if first:
-        copies = copies.where(~F.col("least").eqNullSafe(F.struct(F.col("c.ids").alias("id"), F.col("c.keys").alias("key"), F.col("c.poss").alias("pos"))))
-    probes = contexts.join(mixed, "ah", "left_semi").select("least.*", "ah", (F.lit(first) | (F.col("n") == 1)).alias("need"), F.lit(True).alias("hot"))
-    return copies.select(F.col("c.keys").alias("key"), F.col("c.poss").alias("pos")), probes
-
-
-def _parted(contexts: DataFrame, first: bool, group: int, length: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Large anchors' contexts as (parts of `group` contexts at most, (key, s, e) of starts that are equal)."""
-    work, small, found = contexts, [], []
+        copies = copies.where(F.when(F.col("whole").isNull(), F.expr("i > 0 or same_before")).otherwise(F.col("c") != F.col("whole")))
+    return copies.select("c.key", "c.pos"), rows.where("probe").select("ah", "least.*", (F.lit(first) | ~F.col("twice")).alias("need"))
+
+
+def _parted(work: DataFrame, first: bool, group: int, length: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Contexts as (tables of groups of `group` contexts at most, tables of (key, s, e) found on the way)."""
+    small, found, place, seen = [], [], F.struct("id", "key", "pos"), False
     while True:
-        # Alone, a context meets none.  A join splits the rows of a large part; a window would not.
-        sizes = work.groupBy("g1", "g2").agg(F.count("*").alias("n")).where("n > 1")
-        work = stage(work.join(sizes, ["g1", "g2"]), "parts")
-        small.append(work.where(F.col("n") <= group).drop("n"))
-        work = work.where(F.col("n") > group)
-        equal = work.where("low = high")
-        if first:
-            place = F.struct("id", "key", "pos")
-            equal = equal.join(equal.groupBy("g1", "g2").agg(F.min(place).alias("least")), ["g1", "g2"]).where(place != F.col("least"))
-        found.append(equal.where("need").select("key", (F.col("pos") - F.col("low")).alias("s"), (F.col("pos") - F.col("low") + length).alias("e")))
-        work = work.where("low < high").drop("n")
-        if work.isEmpty():
+        sizes = work.groupBy("g1", "g2").count()
+        large = checked(stage(sizes.where(F.col("count") > group).select("g1", "g2"), "large"))
+        small.append(work.join(large, ["g1", "g2"], "left_anti"))
+        if large.isEmpty():
             return small, found
+        work = work.join(large, ["g1", "g2"], "left_semi").where("low < high")
+        if not seen:  # repeated rows fetch the same context again
+            work, seen = work.dropDuplicates(["g1", "g2", "key", "pos"]), True
         step = f"cast(ceil((high - low + 1) / {PARTS}) as int)"
         work = work.withColumn("part", F.explode(F.expr(f"transform(sequence(0, {PARTS - 1}), i -> struct(low + i * {step} as low, least(high, low + (i + 1) * {step} - 1) as high))")))
         work = work.withColumns({"low": F.col("part.low"), "high": F.col("part.high")}).where(f"low <= high and lft >= low and octet_length(ctx) - lft >= {length} - high")
         shared = F.expr(f"substring(ctx, lft - low + 1, {length} + low - high)")
         work = work.withColumns({"g1": F.xxhash64("g1", "low", shared), "g2": F.xxhash64(F.lit(1), "g2", "low", shared)}).drop("part")
+        # All that starts with l from low to high can reach.
+        reach = f"substring(ctx, lft - least(lft, high) + 1, least(lft, high) + least(octet_length(ctx) - lft, {length} - low))"
+        work = work.withColumns({"ctx": F.expr(reach), "lft": F.least("lft", "high")}).where(F.octet_length("ctx") >= length)
+        work = stage(work.withColumns({"c1": F.xxhash64("g1", "lft", "ctx"), "c2": F.xxhash64(F.lit(2), "g2", "lft", "ctx")}), "parts")
+        same = work.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.min(place).alias("least")).where("n > 1").drop("n")
+        work = stage(work.join(same, ["c1", "c2"], "left"), "parts")
+        equal = work.where("least is not null")
+        if first:
+            equal = equal.where(place != F.col("least"))
+        found.append(equal.select("key", (F.col("pos") - F.col("lft")).alias("s"), (F.col("pos") - F.col("lft") + F.octet_length("ctx")).alias("e")))
+        work = work.where(F.col("least").isNull() | (place == F.col("least")))
+        if not first:
+            work = work.withColumn("need", F.col("need") & F.col("least").isNull())
+        work = work.drop("c1", "c2", "least")
 
 
 def spans(docs: DataFrame, keep: str = "none", length: int = LENGTH, gram: int = GRAM, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -290,44 +297,33 @@ def spans(docs: DataFrame, keep: str = "none", length: int = LENGTH, gram: int =
     number = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62))) if first else F.lit(0).cast("long")
     source = docs.select(number.alias("id"), row_key(text_col, id_col).alias("key"), F.col(text_col).alias("text"))
     rows = stage(anchor_rows(source.where(F.octet_length("text") >= length), first, length, gram), "rows")
-    hot = stage(rows.groupBy("ah").agg(F.sum(F.size("keys")).alias("n")).where(F.col("n") > group).select("ah"), "hot")
-    some = checked(hot)  # of all copies, one in `group` at most
-    cold_copies, cold_probes = _in_windows(rows.join(some, "ah", "left_anti"), first)
-    hot_copies, hot_probes = _in_groups(rows.join(some, "ah", "left_semi"), first)
+    copies, probes = _met(rows, first, group)
     back, ahead = length - gram, length
-    copies = cold_copies.unionByName(hot_copies)
     found = copies.select("key", (F.col("pos") - back).alias("s"), (F.col("pos") + ahead).alias("e"))
-    probes = stage(cold_probes.unionByName(hot_probes), "probes")
-
-    fields = ["pos", "ah", "need", "hot", *(["id"] if first else [])]
+    fields = ["pos", "ah", "need", *(["id"] if first else [])]
     wanted = probes.groupBy("key").agg(F.collect_list(F.struct(*fields)).alias("probes"))  # a text's own anchors
     texts = source.select("key", "text").join(wanted, "key")
 
     def cut(batches):
         last = None
         for b in batches:
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(7)]
             for key, t, own in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), b.column(2)):
                 if key == last:  # a repeated row
                     continue
                 last, t = key, t.as_py()
                 for p in own.as_py():
                     lo = max(0, p["pos"] - back)
-                    for x, v in zip(out, (p["ah"], p["hot"], p.get("id", 0), key, p["pos"], p["need"], p["pos"] - lo, t[lo : p["pos"] + ahead])):
+                    for x, v in zip(out, (p["ah"], p.get("id", 0), key, p["pos"], p["need"], p["pos"] - lo, t[lo : p["pos"] + ahead])):
                         x.append(v)
-            types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, types)], ["ah", "hot", "id", "key", "pos", "need", "lft", "ctx"])
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, types)], ["ah", "id", "key", "pos", "need", "lft", "ctx"])
 
-    contexts = stage(texts.mapInArrow(cut, "ah long, hot boolean, id long, key long, pos int, need boolean, lft int, ctx binary"), "contexts")
+    contexts = stage(texts.mapInArrow(cut, "ah long, id long, key long, pos int, need boolean, lft int, ctx binary"), "contexts")
     contexts = contexts.withColumns({"g1": F.col("ah"), "g2": F.lit(0).cast("long"), "low": F.lit(0), "high": F.lit(back)}).drop("ah")
-    bins = contexts.where("not hot").drop("hot")
-    large = contexts.where("hot").drop("hot").dropDuplicates(["g1", "key", "pos"])
-    if not hot.isEmpty():
-        small, equal = _parted(large, first, group, length)
-        for x in small:
-            bins = bins.unionByName(x)
-        for x in equal:
-            found = found.unionByName(x)
+    small, equal = _parted(contexts, first, group, length)
+    bins = reduce(DataFrame.unionByName, small)
+    found = reduce(DataFrame.unionByName, equal, found)
 
     def sort_bin(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
