@@ -171,8 +171,11 @@ def repeated_starts(flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray, left
     by_right, right_shared = ordered(padded(anchor + step, step < right[:, None]))
     step = np.arange(span, dtype=np.int32)
     by_left, left_shared = ordered(padded(anchor - 1 - step, step < left[:, None]))
+    # No start reaches beyond what a context shares with its neighbours in both orders.
+    most = lambda by, shared: np.maximum(shared, np.concatenate([shared[1:], [0]]))[np.argsort(by, kind="stable")] - 4
+    low, high = np.maximum(low, length - most(by_right, right_shared)), np.minimum(high, most(by_left, left_shared))
     left_class, right_class = np.empty(n, np.int64), np.empty(n, np.int64)
-    for l in range(int(low.min()), int(high.max()) + 1):
+    for l in range(int(max(0, low.min())), int(high.max()) + 1):
         at = np.flatnonzero((low <= l) & (l <= high) & (left >= l) & (right >= length - l))
         if len(at) < 2:
             continue
