@@ -38,15 +38,16 @@ def naive_contamination(text, items):
             for j in range(len(w) - n + 1):
                 if w[j : j + n] == iw[i : i + n]:
                     hit.update(range(j, j + n))
-                    found.add(str(k))
+                    found.add(k or "")
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block", [8_000_000, 300])
-def test_contamination(spark, docs, monkeypatch, block):
-    monkeypatch.setattr(decontam, "blocks_of", lambda d, i, t, most=block, f=decontam.blocks_of: f(d, i, t, most))
+@pytest.mark.parametrize(("block", "piece"), [(1_000_000, 20_000), (300, 7)])
+def test_contamination(spark, docs, monkeypatch, block, piece):
+    monkeypatch.setattr(decontam, "blocks_of", lambda d, most=block, f=decontam.blocks_of: f(d, most))
+    monkeypatch.setattr(decontam, "pieces", lambda d, w, f=decontam.pieces: f(d, w, piece))
     all_ = texts()
-    items = [("i1", " ".join(all_[4].split()[10:40])), ("i2", "One, TWO"), ("i3", None), ("i4", ""), ("i5", "spam ham spam ham spam ham spam ham spam ham spam"), ("i1b", " ".join(all_[4].split()[12:30])), ("ü", "ünï çödé àÉ")]
+    items = [("i1", " ".join(all_[4].split()[10:40])), ("i2", "One, TWO"), ("i3", None), ("i4", ""), ("i5", "spam ham spam ham spam ham spam ham spam ham spam"), ("i1b", " ".join(all_[4].split()[12:30])), ("ü", "ünï çödé àÉ"), (None, "two one"), (None, "TWO one one")]
     bench = spark.createDataFrame([(k, t, 1) for k, t in items], BENCH)
     got = decontam.contaminated(docs, bench)
     want = sorted(naive_contamination(r["text"], items) for r in docs.collect())

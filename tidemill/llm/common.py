@@ -21,6 +21,8 @@ def scratch_dir(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_scratch:
         _own_scratch.append(tempfile.mkdtemp(prefix="tidemill-"))
     return _own_scratch[0]
@@ -35,10 +37,31 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def row_key(text_col: str = "text", id_col: str = "doc_id"):
-    """A key of a document's id and text.  Repeated rows share it, and so share their verdicts."""
+    """A key of a document's id and text.  Repeated rows share it, and so share their verdicts.
+
+    It has 64 bits: joins that decide on documents compare their ids as well (see without())."""
     return F.xxhash64(F.col(id_col), F.coalesce(F.length(text_col), F.lit(-1)), F.col(text_col))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front where df has such columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(docs: DataFrame, gone: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """docs without those whose key and id are in gone(key, id)."""
+    key, gone_key, gone_id = fresh(docs, "key", "gone_key", "gone_id")
+    gone = checked(gone.select(F.col("key").alias(gone_key), F.col(id_col).alias(gone_id)))
+    keyed = docs.withColumn(key, row_key(text_col, id_col))
+    return keyed.join(gone, (F.col(key) == F.col(gone_key)) & F.col(id_col).eqNullSafe(F.col(gone_id)), "left_anti").drop(key)
+
+
 #: Most rows of a key list that is broadcast: 16 MB as longs.
 BROADCAST_ROWS = 1_000_000
 

@@ -9,15 +9,18 @@ token: a second pass joins documents and windows on that token alone.  The lengt
 out runs of benchmark words shorter than a window, the positional bound those whose run has no
 room for the window around the token; what is left is compared word by word.
 
-The benchmark is cut into blocks of bounded size, each broadcast to one pass over the
-documents, so its size bounds no memory.  A null or empty text has no words: such a document is
-clean, such an item has no windows.  Items with equal words are found together.  Repeated rows
-get equal results.
+The benchmark is cut into pieces (long items with an overlap of a window less a word) and these into
+blocks of bounded size, each broadcast to two passes over the documents (counts, then the search), so
+its size bounds no memory.
+
+A null or empty text has no words: such a document is clean, such an item has no windows.  Items
+without an id are one item, named by the empty string.  Items with equal words are found together; of
+a window's equally rare shingles the first is its prefix.  Repeated rows get equal results.  Empty
+tables give no contamination, or an empty result.  Further columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 from functools import reduce
 
@@ -26,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked, read, row_key, share, stage
+from .common import read, row_key, share, stage, without
 
 #: Words of a window.
 WINDOW = 10
 #: Words of a shingle.
 SHINGLE = 3
-#: Most bytes of benchmark texts in a block.
-BLOCK_BYTES = 8_000_000
+#: Bytes of benchmark texts in a block, as an average, and words of a piece: an index of about 100 MB.
+BLOCK_BYTES, PIECE = 1_000_000, 20_000
 
 #: ASCII: upper case to lower, digits and lower case as they are, all else to a space.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -115,11 +118,26 @@ class Windows:
         return n, np.cumsum(hit[:n]) > 0, items
 
 
-def blocks_of(items: DataFrame, id_col: str, text_col: str, most: int = BLOCK_BYTES) -> list[DataFrame]:
-    """items in parts of about `most` bytes, dealt by a hash of the id."""
-    size = items.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+def pieces(items: DataFrame, window: int = WINDOW, most: int = PIECE) -> DataFrame:
+    """(item, piece, text) of items(item, text): pieces of `most` words, so that each window is in one."""
+
+    def run(batches):
+        for b in batches:
+            out: list[tuple] = []
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
+                w = words_of(text)
+                out += [(item, k, b" ".join(w[i : i + most + window - 1])) for k, i in enumerate(range(0, max(1, len(w) - window + 1), most)) if w]
+            cols = list(zip(*out)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.binary()))], ["item", "piece", "text"])
+
+    return items.mapInArrow(run, "item string, piece int, text binary")
+
+
+def blocks_of(cut: DataFrame, most: int = BLOCK_BYTES) -> list[DataFrame]:
+    """pieces in parts of about `most` bytes, dealt by a hash."""
+    size = cut.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // most) or 1
-    return [items.where(F.pmod(F.xxhash64(id_col), F.lit(n)) == k) for k in range(n)]
+    return [cut.where(F.pmod(F.xxhash64("item", "piece"), F.lit(n)) == k) for k in range(n)]
 
 
 def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -127,11 +145,12 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col
     spark = docs.sparkSession
     source = docs.select(row_key(text_col, id_col).alias("key"), F.col(id_col), F.col(text_col))
     kind = docs.schema[id_col].dataType.simpleString()
-    items = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text"))
+    items = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("text"))
+    cut = stage(pieces(items, window), "pieces")
     parts = []
-    for block in blocks_of(items, "item", "text"):
-        rows = [(r["item"], (r["text"] or "").encode()) for r in block.collect()]  # at most a block
-        shared = share(spark, Windows(rows, window))
+    for block in blocks_of(cut):
+        windows = Windows([(r["item"], bytes(r["text"])) for r in block.collect()], window)  # at most a block
+        shared = share(spark, windows)
 
         def tally(batches, shared=shared):
             counts: dict[int, int] = {}
@@ -141,7 +160,6 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col
                     own.count(t, counts)
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
 
-        windows = Windows(rows, window)
         counts = {}
         if len(windows):
             # One row a shingle of the block at most.
@@ -187,12 +205,8 @@ def united(column: str):
 
 def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those in which a window of an item occurs."""
-    found = stage(contaminated(docs, items, id_col=id_col, text_col=text_col).where("size(items) > 0").select(F.col("key").alias("__key")), "contaminated")
-    return docs.withColumn("__key", row_key(text_col, id_col)).join(checked(found), "__key", "left_anti").drop("__key")
-
-
-def sha256_of(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(ids).encode()).hexdigest()
+    found = contaminated(docs, items, id_col=id_col, text_col=text_col).where("size(items) > 0")
+    return without(docs, stage(found.select("key", id_col), "contaminated"), text_col, id_col)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

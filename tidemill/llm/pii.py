@@ -9,7 +9,10 @@ every candidate.  Accepted candidates that touch no base span are added as spans
 `address`, `number` and `secret`; base spans always stay.
 
 Only the texts' own scan runs over the documents; estimation and decision work on the staged
-candidates.  A null or empty text has no spans.  Repeated rows get equal spans.
+candidates.  A null or empty text has no spans.  Repeated rows get equal spans.  Of equal kinds of
+evidence ties go to the candidate that starts first.  Candidates have no longest length, and long
+texts are read whole.  An empty table gives an empty result.  Further columns pass through masked(),
+whatever their names.
 """
 
 from __future__ import annotations
@@ -21,14 +24,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from .common import checked, read, row_key, stage
+from .common import fresh, read, row_key, stage
 from .weak import Reliabilities, logistic
 
 KINDS = ("email", "ip", "card", "phone", "address", "number", "secret")
 #: Candidates that the classifier is fitted on at most.
 TRAIN_SPANS = 20_000
 BUCKETS = 1 << 12
+#: Bytes of spans that are broadcast at most.
+SPAN_BYTES = 16_000_000
 #: Probability from which a candidate counts.
 ACCEPT = 0.5
 
@@ -41,7 +47,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 _NUMBER = re.compile(r"(?<![\w])\+?\(?[0-9](?:[ ().-]{0,2}[0-9]){6,}(?!\w)")
 _SECRET = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{24,}(?![A-Za-z0-9_-])")
-_ADDRESS = re.compile(r"[^\s@<>\"']{1,64}@[^\s@<>\"']{3,64}")
+_ADDRESS = re.compile(r"(?<![^\s@<>\"'])[^\s@<>\"']+@[^\s@<>\"']{3,}")
 _NEAR_WORDS = {
     "number": re.compile(r"\b(phone|tel|telephone|mobile|cell|call|fax|whatsapp|card|visa|mastercard|amex|ssn|account|iban|passport|id|telefon|handy|konto|karte|téléphone|carte|compte|teléfono|tarjeta|cuenta)\b", re.I),
     "secret": re.compile(r"\b(token|secret|password|passwd|pwd|key|apikey|api_key|auth|bearer|credential)\b", re.I),
@@ -172,18 +178,42 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return scanned.mapInArrow(run, f"key long, {id_col} {kind}, base array<struct<{_SPAN}>>, spans array<struct<{_SPAN}>>")
 
 
+def masked_text(text: str, spans: list[dict]) -> str:
+    """The text with each span replaced by its kind; of overlapping spans the first counts."""
+    out, at = [], 0
+    for x in spans:
+        if x["start"] >= at:
+            out += (text[at : x["start"]], f"<{x['kind'].upper()}>")
+        at = max(at, x["end"])
+    return "".join(out) + text[at:]
+
+
 def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """docs with each span of personal data replaced by its kind, as <EMAIL>; overlapping spans by the first's."""
-    found = stage(pii_spans(docs, id_col, text_col).where("size(spans) > 0").select(F.col("key").alias("__key"), F.col("spans").alias("__spans")).dropDuplicates(["__key"]), "spans")
-    out = docs.withColumn("__key", row_key(text_col, id_col)).join(checked(found, 50_000), "__key", "left")
-    # Text up to each span, and where the spans so far end.
-    fold = f"""aggregate(__spans, named_struct('t', '', 'e', 0),
-      (a, x) -> case when x.start < a.e then named_struct('t', a.t, 'e', greatest(a.e, x.end))
-        else named_struct('t', concat(a.t, substring({text_col}, a.e + 1, x.start - a.e), '<', upper(x.kind), '>'), 'e', x.end) end,
-      a -> concat(a.t, substring({text_col}, a.e + 1)))"""
-    out = out.withColumn(text_col, F.expr(f"case when __spans is null then {text_col} else {fold} end"))
+    """docs with each span of personal data replaced by its kind, as <EMAIL>; overlapping spans by the first's.
+
+    Nulls stay null.  Spans join by key and id; where few rows have any, their list is broadcast by its counted bytes.
+    """
+    key, spans, span_key, span_id = fresh(docs, "key", "spans", "span_key", "span_id")
+    found = pii_spans(docs, id_col, text_col).where("size(spans) > 0").select(F.col("key").alias(span_key), F.col(id_col).alias(span_id), F.col("spans").alias(spans)).dropDuplicates([span_key])
+    found = stage(found, "spans")
+    total = found.agg(F.coalesce(F.sum(F.size(spans) * 24 + 40), F.lit(0))).first()[0]
+    keyed = docs.withColumn(key, row_key(text_col, id_col))
+    out = keyed.join(F.broadcast(found) if total <= SPAN_BYTES else found, (F.col(key) == F.col(span_key)) & F.col(id_col).eqNullSafe(F.col(span_id)), "left").select(*docs.columns, spans)
+
+    def run(batches):
+        at = docs_columns.index(text_col)
+        for b in batches:
+            texts = [t if s is None or t is None else masked_text(t, s) for t, s in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist())]
+            columns = list(b.columns[:-1])
+            columns[at] = pa.array(texts, b.schema.field(at).type)
+            columns.append(b.column(b.num_columns - 1).is_valid())
+            yield pa.RecordBatch.from_arrays(columns, [*docs_columns, changed])
+
+    docs_columns, changed = list(docs.columns), fresh(docs, "changed")[0]
+    schema = StructType([*docs.schema.fields, StructField(changed, BooleanType())])
+    out = out.mapInArrow(run, schema)
     if length_col in docs.columns:
-        out = out.withColumn(length_col, F.when(F.col("__spans").isNull(), F.col(length_col)).otherwise(F.length(text_col).cast(docs.schema[length_col].dataType)))
+        out = out.withColumn(length_col, F.when(F.col(changed), F.length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
     return out.select(*docs.columns)
 
 
@@ -191,4 +221,4 @@ def op1(spark, sf_dir: str) -> DataFrame:
     found = pii_spans(read(spark, sf_dir, "documents"))
     joined = lambda c: F.expr(f"array_join(transform({c}, x -> concat(x.kind, ':', x.start, ':', x.end)), ',')")
     count = lambda k: F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) as bigint)").alias(f"n_{k}")
-    return found.select("doc_id", *[count(k) for k in KINDS[:4]], F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return found.select("doc_id", *[count(k) for k in KINDS[:4]], F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), F.expr("cast(size(spans) - size(base) as bigint)").alias("n_added"))

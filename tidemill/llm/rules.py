@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked, read, row_key, stage
+from .common import checked, read, row_key, stage, without
 
 #: Rows below which a group has no estimate of its own.
 MIN_ROWS = 50
@@ -158,8 +158,7 @@ def verdicts(stats: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the documents that the rules reject."""
     found = verdicts(stage(statistics(docs, id_col, text_col), "statistics"), id_col)
-    gone = stage(found.where("not kept").select(F.col("key").alias("__key")).distinct(), "rejected")
-    return docs.withColumn("__key", row_key(text_col, id_col)).join(checked(gone), "__key", "left_anti").drop("__key")
+    return without(docs, stage(found.where("not kept").select("key", id_col).distinct(), "rejected"), text_col, id_col)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

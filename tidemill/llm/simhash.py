@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked, connected_components, row_key, stage
+from .common import checked, connected_components, fresh, row_key, stage, without
 
 #: Most fingerprints of a tile, as an average.
 TILE = 8192
@@ -160,16 +160,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """docs with one document of each group of near copies under `rule` (NEAR if none is given):
     the one with the smallest id, and of those without an id the one with the smallest key."""
     found = stage(near_duplicates(docs, id_col=id_col, text_col=text_col, **(rule or NEAR)), "groups")
-    best = found.groupBy("root").agg(F.min_by("key", F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("key"))).alias("__key"))
-    best = best.select("__key").distinct()
-    gone = checked(stage(found.select(F.col("key").alias("__key")).distinct().join(best, "__key", "left_anti"), "gone"))
-    repeated = stage(found.groupBy(F.col("key").alias("__key")).count().where("count > 1").join(best, "__key", "left_semi").select("__key"), "repeated")
-    kept = docs.withColumn("__key", row_key(text_col, id_col)).join(gone, "__key", "left_anti")
+    best = found.groupBy("root").agg(F.min_by(F.struct("key", id_col), F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("key"))).alias("best")).select("best.*")
+    # A key names one id, so the best rows' keys stand for them.
+    gone = stage(found.select("key", id_col).distinct().join(best.select("key"), "key", "left_anti"), "gone")
+    repeated = stage(found.groupBy("key", id_col).count().where("count > 1").join(best.select("key"), "key", "left_semi").select("key", id_col), "repeated")
+    kept = without(docs, gone, text_col, id_col)
     if repeated.isEmpty():
-        return kept.drop("__key")
-    small = checked(repeated)
-    once = kept.join(small, "__key", "left_semi").dropDuplicates(["__key"])
-    return kept.join(small, "__key", "left_anti").unionByName(once).drop("__key")
+        return kept
+    key, other = fresh(docs, "key", "repeated_key")
+    small = checked(repeated.select(F.col("key").alias(other)))
+    kept = kept.withColumn(key, row_key(text_col, id_col))
+    once = kept.join(small, F.col(key) == F.col(other), "left_semi").dropDuplicates([key])
+    return kept.join(small, F.col(key) == F.col(other), "left_anti").unionByName(once).drop(key)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
