@@ -66,11 +66,26 @@ def test_op6_draws_the_copies(spark, tmp_path):
     rows = out.collect()
     assert collected(out, "doc_id", "size", "taken", "times") == collected(want, "doc_id", "size", "taken", "times")
     assert all([c["copy"] for c in r["copies"]] == list(range(1, r["times"] + 1)) and r["taken"] == r["size"] * len(r["copies"]) for r in rows)
-    drawn = {(r["doc_id"], c["copy"], c["shard"], c["order"]) for r in rows for c in r["copies"]}
-    mixed = mixing.mixed_documents(docs).distinct().collect()
+    drawn = {(r["doc_id"], c["copy"], c["shard"], c["order"]) for r in rows for c in r["copies"] if r["doc_id"]}
+    mixed = mixing.mixed_documents(docs).where("doc_id <> 0").distinct().collect()
     assert drawn == {(r["doc_id"], r["mix_copy"], r["mix_shard"], r["mix_order"]) for r in mixed} and {s for _, _, s, _ in drawn} == set(range(mixing.SHARDS))
 
 
+def test_repeated_rows_meet_their_target(spark):
+    data = [(1, "a b c d e f g h i j", "a", 0)] * 500 + [(2, "one two three four five six seven eight nine ten", "b", k) for k in range(500)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, mix_shard int").repartition(6)
+    rows = mixing.taken_documents(docs).collect()
+    taken = collections.Counter()
+    for r in rows:
+        taken[r["doc_id"]] += r["taken"]
+        assert r["taken"] <= 30 and abs(r["target"] - 10_000 * r["doc_id"] / 3) < 1e-6
+    assert len(rows) == 1000 and abs(taken[1] - 10_000 / 3) <= 10 and abs(taken[2] - 20_000 / 3) <= 10
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == [*docs.columns, "_mix_shard", "mix_copy", "mix_order"]
+    assert mixed.groupBy("doc_id").count().collect() and {r["doc_id"]: r["count"] * 10 for r in mixed.groupBy("doc_id").count().collect()} == dict(taken)
+    assert mixed.where("doc_id = 2").groupBy("mix_shard").count().agg({"count": "max"}).first()[0] <= 3
+
+
 def test_mixing_edges(docs, empty):
     each, _ = mixing.mix(docs)
     assert each.count() == docs.count() and mixing.mixed_documents(empty).count() == 0
