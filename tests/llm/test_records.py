@@ -93,22 +93,43 @@ def test_mixing_edges(docs, empty):
     assert out.columns == [*docs.columns, "mix_shard", "mix_copy", "mix_order"] and out.count() == each.agg(F.sum("times")).first()[0]
 
 
+def audited(a, b):
+    return warc.audit(stage(warc.fixity(a), "archive"), stage(warc.fixity(b), "replica"))
+
+
 def test_audit(spark):
     data = [(i, None if i == 7 else f"payload {i}" * (i % 5)) for i in range(700)]
     a = spark.createDataFrame(data, "record_id long, payload string")
     b = a.where("record_id <> 333").withColumn("payload", F.when(F.col("record_id").isin(10, 699), "damaged").otherwise(F.col("payload")))
-    put = lambda x: stage(warc.placed(x, 3), "archive")
-    found = warc.audit(put(a), put(b)).where("status <> 'moved'")
-    assert collected(found, "record_id", "status") == [(10, "corrupt"), (333, "missing"), (699, "corrupt")]
-    assert collected(warc.audit(put(b), put(a)).where("status = 'extra'"), "record_id") == [(333,)]
-    assert warc.audit(put(a), put(a)).isEmpty() and warc.audit(put(a.where("false")), put(a.where("false"))).isEmpty()
+    assert collected(audited(a, b), "record_id", "status") == [(10, "corrupt"), (333, "missing"), (699, "corrupt")]
+    assert collected(audited(b, a).where("status = 'extra'"), "record_id") == [(333,)]
+    assert audited(a, a).isEmpty() and audited(a.where("false"), a.where("false")).isEmpty()
     one = a.where("record_id = 1")
-    assert collected(warc.audit(put(one), put(one.where("false"))), "status") == [("missing",)]
+    assert collected(audited(one, one.where("false")), "status") == [("missing",)]
 
 
-def test_tree_levels(spark):
-    levels = warc.tree(warc.placed(spark.createDataFrame([(i, str(i)) for i in range(300)], "record_id long, payload string"), 1))
-    assert [x.count() for x in levels] == [300, 19, 2, 1]
+def test_audit_of_repeated_ids(spark, monkeypatch):
+    data = [(None if i % 3 else 5, f"page {i % 40}" + "x" * (20_000 if i == 7 else 0)) for i in range(400)] + [(6, "same")] * 300 + [(9, None), (9, None), (9, "null")]
+    a = spark.createDataFrame(data, "record_id long, payload string")
+    kept = [d for i, d in enumerate(data) if i not in (3, 400, 401, 700)] + [(5, "other"), (6, "new")]
+    b = spark.createDataFrame(kept, "record_id long, payload string")
+    want = [(5, "corrupt", len("page 3")), (6, "corrupt", 4), (6, "missing", 4), (9, "missing", 0)]
+    for hot in (64, 1):
+        monkeypatch.setattr(warc, "HOT", hot)
+        for x in (b, b.repartition(5)):
+            assert collected(audited(a, x), "record_id", "status", "length") == want
+
+
+def test_only_damaged_ranges_are_reached(spark):
+    a = spark.range(5000).selectExpr("id as record_id", "concat('payload ', id) as payload")
+    b = a.where("record_id % 389 <> 5").withColumn("payload", F.when(F.col("record_id") % 97 == 0, "damaged").otherwise(F.col("payload")))
+    ours, theirs, depth = warc.ranged(warc.fixity(a), warc.fixity(b))
+    one, two = warc.tree(ours, depth), warc.tree(theirs, depth)
+    sizes = [x.count() for x in one]
+    assert depth == 3 and sizes[-1] == 1 and sizes[1] == 256 and sizes[0] > 2000
+    damaged = {x for x in range(5000) if x % 389 == 5 or x % 97 == 0}
+    reached = {r["node"] for r in warc.differing(one, two).collect()}
+    assert reached == {r["leaf"] for r in ours.where(F.col("record_id").isin(*damaged)).collect()} and len(reached) <= len(damaged)
 
 
 def test_read_warc(spark, tmp_path):
@@ -118,6 +139,11 @@ def test_read_warc(spark, tmp_path):
     (tmp_path / "x.warc").write_bytes(b"".join(payloads))
     got = warc.read_warc(spark, str(tmp_path)).orderBy("offset").collect()
     assert [bytes(r["payload"]) for r in got] == payloads and [r["offset"] for r in got] == [0, len(payloads[0])] and got[0]["record_id"] == "<urn:page:1>"
+    broken = payloads[1].replace(b"Content-Length: 2", b"Content-Length: many")
+    found = warc.records_of(b"noise" + payloads[0] + b"\x00\x01" + broken + payloads[0] + payloads[0][:-9])
+    assert [x[1] for x in found] == [None, "<urn:page:1>", None, "<urn:page:2>", "<urn:page:1>", "<urn:page:1>"]
+    assert found[0] == (0, None, b"noise") and found[3][2] == broken and b"".join(x[2] for x in found) == b"noise" + payloads[0] + b"\x00\x01" + broken + payloads[0] + payloads[0][:-9]
+    assert warc.records_of(b"") == [] and warc.records_of(b"plain") == [(0, None, b"plain")]
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><article>";</script></head><body class="nav">
@@ -208,7 +234,7 @@ def test_pipeline(spark, tmp_path, docs):
 
 def test_nothing(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
-    assert html.main_text(pages).count() == 0 and warc.files_for(warc.page_records(pages)) == 1
+    assert html.main_text(pages).count() == 0 and warc.fixity(warc.page_records(pages)).count() == 0
     docs = spark.createDataFrame([(1, None, None), (2, "", "a")], "doc_id long, text string, source string")
     each, _ = mixing.mix(docs)
     assert collected(each, "doc_id", "size", "target", "times") == [(1, 0, 0.0, 0), (2, 0, 0.0, 0)]
