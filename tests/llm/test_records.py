@@ -162,7 +162,7 @@ def test_blocks():
 
 
 def test_deep_and_implied_ends():
-    read = lambda x: [t for t, s in html.blocks_of(x) if s != html.CHROME]
+    read = lambda x: [t for t, s in html.blocks_of(x) if s in (html.MAIN, html.OTHER)]
     rows = "".join(f"<tr><td>menu {i}<td>more" for i in range(300))
     for menu in (f"<table>{rows}</table>", rows, "<dl>" + "<dt>a<dd><b>b" * 300 + "</dl>", "<ul>" + "<li><i>a" * 300 + "</ul>", "<b>" * 900 + "x", "<div>" * 900 + "x"):
         assert read(f"<aside>{menu}</aside><article><p>Story</article><div>rest</div>") == ["Story", "rest"], menu[:20]
@@ -195,9 +195,38 @@ def test_main_text(spark):
     got = {r["page_id"]: r for r in html.main_text(pages).collect()}
     assert got[3]["text"] == "Unique story one" and got[4]["text"] == "Another story two" and got[5]["text"] == got[6]["text"] == ""
     assert got[1]["text"].endswith("\n\nLast 1") and html.main_text(pages).count() == 7
-    cut = html.parsed(pages)
-    small = {(r["key"], tuple(sorted(r["starts"]))) for r in html.boilerplate(cut).collect()}
-    assert small == {(r["key"], tuple(sorted(r["starts"]))) for r in html.boilerplate(cut, most=0).collect()}
+    large = {r["page_id"]: r["text"] for r in html.main_text(pages, host_bytes=0).collect()}
+    assert large == {i: r["text"] for i, r in got.items()}
+
+
+def test_names_never_empty_a_page():
+    story = "<p>The story of the day</p>"
+    for page in (
+        f'<div class="site no-sidebar"><article>{story}</article></div>', f'<div class="content-with-sidebar"><article>{story}</article></div>', f'<article class="post comments-open">{story}</article>',
+        f'<div class="has-header"><main>{story}</main></div>', f'<article class="post category-social">{story}</article>', f'<article><section class="header">{story}</section></article>',
+        f'<div class="sidebar"><article>{story}</article></div>', f'<div class="header">{story}</div>', f'<div class="ad">{story}</div>',
+    ):
+        assert html.text_of(html.blocks_of(page), None, None) == "The story of the day", page
+    for extra in ('<div class="comments-area"><article class="comment">I like it</article></div>', '<div class="ad-slot">Buy now</div>', '<div id="sidebar-left">x</div>', "<nav>y</nav>"):
+        assert html.text_of(html.blocks_of(f"{extra}<article>{story}{extra}</article>{extra}"), None, None) == "The story of the day", extra
+
+
+def test_repetition_decides_within_articles(spark):
+    """A notice within the articles of most pages goes; texts that two pages share, and passages of some, stay."""
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("abcdef"), 6)) for _ in range(3000)]
+    fresh = lambda n: " ".join(rng.choice(words, n))
+    notice, passage, same = fresh(60), fresh(70), fresh(200)
+    story = [[fresh(30), same if i < 2 else fresh(40), f"{fresh(5)} {passage}" if i % 4 == 0 else fresh(20)] for i in range(40)]
+    page = lambda s, extra: f"<nav>menu</nav><article>{''.join(f'<p>{x}</p>' for x in s)}<p>{extra}</p></article>"
+    data = [(i, "http://one.example/", page(s, notice if i % 3 else "fin")) for i, s in enumerate(story)]
+    data += [(100 + i, f"http://two{i}.example/", page(story[i], notice)) for i in range(9)]
+    data += data[:3] * 2
+    pages = spark.createDataFrame(data, "page_id long, url string, html string").repartition(5)
+    want = {i: "\n\n".join([*s, *([] if i % 3 else ["fin"])]) for i, s in enumerate(story)} | {100 + i: "\n\n".join([*story[i], notice]) for i in range(9)}
+    for most in (html.HOST_BYTES, 0):
+        rows = html.main_text(pages, host_bytes=most).collect()
+        assert len(rows) == len(data) and {r["page_id"]: r["text"] for r in rows} == want
 
 
 def test_main_text_of_a_large_host(spark):
@@ -210,10 +239,9 @@ def test_main_text_of_a_large_host(spark):
     story = [[f"{fresh(9)} {phrases[i % 20]} {fresh(9)}", f"{fresh(12)} {phrases[(i + 7) % 20]}", copied if i < 4 else fresh(20)] for i in range(120)]
     data = [(i, "http://big.example/", f"<div>Welcome to our very nice site</div>{''.join(f'<div>{x}</div>' for x in s[:2])}<div>{s[2]} {notice}</div><div>Home</div>") for i, s in enumerate(story)]
     pages = spark.createDataFrame(data, "page_id long, url string, html string")
-    cut, got = html.parsed(pages), {r["page_id"]: r["text"] for r in html.main_text(pages).collect()}
-    assert got == {i: "\n\n".join(s) for i, s in enumerate(story)}  # the notice's run covers "Home"
-    small = {(r["key"], tuple(sorted(r["starts"]))) for r in html.boilerplate(cut).collect()}
-    assert len(small) == 120 and small == {(r["key"], tuple(sorted(r["starts"]))) for r in html.boilerplate(cut, most=50).collect()}
+    for most in (html.HOST_BYTES, 0):
+        got = {r["page_id"]: r["text"] for r in html.main_text(pages, host_bytes=most).collect()}
+        assert got == {i: "\n\n".join(s) for i, s in enumerate(story)}  # the notice's run covers "Home"
 
 
 def test_pipeline(spark, tmp_path, docs):
