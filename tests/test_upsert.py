@@ -8,12 +8,15 @@ from .conftest import rows
 TARGET = "customer_id int, name string, city string"
 
 
-def test_last_row_wins_and_twice_is_once(spark):
-    target = spark.createDataFrame([(1, "Old", "Nairobi")], TARGET)
-    new = spark.createDataFrame([(1, "Updated", "Mombasa", 1), (2, "New", "Kisumu", 2), (2, "Newest", "Nakuru", 3)], TARGET + ", seq int")
-    once = upsert(target, new, ["customer_id"], ["seq"])
-    assert rows(once) == [(1, "Updated", "Mombasa"), (2, "Newest", "Nakuru")]
-    assert rows(upsert(once, new, ["customer_id"], ["seq"])) == rows(once)
+def test_later_rows_win_and_repetition_changes_nothing(spark):
+    stock = spark.createDataFrame([("bolt", 40, 0.2), ("nut", 15, 0.1), ("washer", 7, 0.05)], "part string, pieces int, price double")
+    counted = [("nut", 90, 0.12, "b"), ("nut", 12, 0.11, "a"), ("gear", 3, 9.5, "a"), ("bolt", None, 0.25, "c"), ("nut", 88, None, "c")]
+    moves = spark.createDataFrame(counted, "part string, pieces int, price double, shift string").repartition(3)
+    merged = upsert(stock, moves, ["part"], ["shift"])
+    assert rows(merged) == [("bolt", None, 0.25), ("gear", 3, 9.5), ("nut", 88, None), ("washer", 7, 0.05)]
+    for _ in range(2):
+        merged = upsert(merged, moves, ["part"], ["shift"])
+    assert rows(merged) == [("bolt", None, 0.25), ("gear", 3, 9.5), ("nut", 88, None), ("washer", 7, 0.05)]
 
 
 def test_columns(spark):
@@ -25,8 +28,8 @@ def test_columns(spark):
 
 def test_rejections(spark):
     target = spark.createDataFrame([(1, "a", "x")], TARGET)
-    new = spark.createDataFrame([(1, "s")], "customer_id int, secret string")
-    for call in (lambda: upsert(target, new, ["customer_id"]), lambda: upsert(target, target, []), lambda: upsert(target, target, ["customer_id"], updates=["customer_id"])):
+    wider = target.withColumn("weight", F.lit(2.5))
+    for call in (lambda: upsert(target, wider, ["customer_id"]), lambda: upsert(target, target, []), lambda: upsert(target, target, ["customer_id"], updates=["customer_id"])):
         with pytest.raises(ValueError):
             call()
     with pytest.raises(Exception, match="null in a key"):

@@ -42,9 +42,9 @@ def profile(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(df.columns)).cast("long").alias("columns"), missing.cast("long").alias("missing_cells"))
 
 
-def sample(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
-    """n rows chosen by a hash of their keys: the same for every run and layout."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+def sample(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42, then: Sequence[str] = ()) -> DataFrame:
+    """n rows chosen by a hash of their keys (rows with equal keys by `then`): the same for every run and layout."""
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(seed), *keys)), *keys, *then).limit(n)
 
 
 def top(df: DataFrame, n: int, *order: str | Column) -> DataFrame:

@@ -131,9 +131,12 @@ def seller_ranking(sellers: DataFrame, orders: DataFrame, items: DataFrame, prod
         F.count_distinct("order_id").alias("total_orders"), F.count_distinct("customer_id").alias("unique_customers"), F.sum("total_value").alias("t"), F.sum("price").alias("p"), F.count(F.lit(1)).alias("n"),
         F.count_distinct("product_id").alias("unique_products_sold"), F.count_distinct("product_category_name").alias("category_diversity"), F.avg("delivery_days").alias("a"), F.sum(F.when(F.col("is_delayed"), 1).otherwise(0)).alias("late"),
     ).where(F.col("total_orders") >= least_orders)
-    # Both windows run over one row a seller; the total is joined, not windowed.
+    # The first n by revenue, with those that equal the last of them, hold all that the windows over them need.
+    s = with_total(s, "t", "whole")
+    least = s.orderBy(F.desc("t"), "seller_id").limit(n).agg(F.min("t").alias("least"))
+    s = s.join(F.broadcast(least), F.col("t") >= F.col("least"))
     running = Window.orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    s = with_total(s, "t", "whole").withColumn("upto", F.sum("t").over(running)).withColumn("seller_rank", F.row_number().over(Window.orderBy(F.desc("t"), "seller_id")))
+    s = s.withColumn("upto", F.sum("t").over(running)).withColumn("seller_rank", F.row_number().over(Window.orderBy(F.desc("t"), "seller_id")))
     d = lambda x: F.col(x).cast("double")
     return s.where(F.col("seller_rank") <= n).select(
         F.col("seller_rank").cast("long").alias("seller_rank"), "seller_id", "seller_state", "total_orders", "unique_customers", money("t").alias("total_revenue"), F.round(d("t") * 100 / d("whole"), 4).alias("market_share_pct"),

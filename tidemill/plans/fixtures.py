@@ -106,7 +106,7 @@ SQL = {
     "sales": "select l_partkey as car_id, l_suppkey as dealer_id, cast(o_orderdate as date) as sale_date, cast(l_quantity as decimal(12,2)) as quantity, cast(l_extendedprice as decimal(14,2)) as total_amount from lineitem join orders on l_orderkey = o_orderkey",
     "cars": "select p_partkey as car_id, p_brand as brand, p_name as model, 1990 + p_size % 30 as model_year, nullif(p_type, 'PROMO') as category from part",
     "dealers": "select s_suppkey as dealer_id, n_name as city, nullif(r_name, 'ASIA') as country from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey",
-    "car_prices": """select n_name as state, l_returnflag as condition, s_name as seller, p_retailprice * l_quantity as mmr, l_extendedprice as sellingprice
+    "car_prices": """select n_name as state, l_returnflag as condition, s_name as seller, l_orderkey as order_id, l_linenumber as line, l_partkey as part, p_retailprice * l_quantity as mmr, l_extendedprice as sellingprice
         from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey""",
     "stock_prices": """select l_suppkey as stock, cast(l_shipdate as date) as day, cast(max(l_extendedprice) as decimal(18,2)) as price,
         cast(sum(l_quantity) as decimal(18,2)) as volume from lineitem group by 1, 2""",

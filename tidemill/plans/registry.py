@@ -557,3 +557,5 @@ query(
     "patients",
 )(lambda t: marts.patients(t.patients()))
 query("m10_segment_dim", "select distinct c_mktsegment, c_nationkey, md5(concat_ws('_', c_mktsegment, c_nationkey)) as segment_key from customer")(lambda t: marts.attribute_dim(t.customer, ["c_mktsegment", "c_nationkey"], "segment_key"))
+
+from . import trips  # noqa: E402, F401  registers its queries, which need query()

@@ -51,6 +51,24 @@ def outcomes(runs: DataFrame) -> DataFrame:
     return latest(runs, ["run_id"]).groupBy("status").agg(F.count(F.lit(1)).alias("runs"), F.coalesce(F.sum("rows_out"), F.lit(0)).cast("long").alias("rows_out"))
 
 
+def rows_by_layer(manifests: DataFrame) -> DataFrame:
+    """(layer, runs, rows) published."""
+    return manifests.groupBy("layer").agg(F.count_distinct("run_id").alias("runs"), F.sum("row_count").alias("rows"))
+
+
+def quarantine_counts(quarantine: DataFrame) -> DataFrame:
+    """(reason, status, entries) by the latest event of each entry."""
+    return latest(quarantine, ["id"]).groupBy("reason", "status").agg(F.count(F.lit(1)).alias("entries"))
+
+
+def durations(runs: DataFrame) -> DataFrame:
+    """(dataset, runs, p50, p95, longest): seconds from the start to the end of ended runs."""
+    seconds = lambda c: F.unix_micros(c) / 1e6
+    each = runs.groupBy("dataset", "run_id").agg(F.min(F.when(F.col("status") == "running", F.col("at"))).alias("start"), F.max(F.when(F.col("status") != "running", F.col("at"))).alias("end"))
+    each = each.where("start is not null and end is not null").withColumn("s", seconds("end") - seconds("start"))
+    return each.groupBy("dataset").agg(F.count(F.lit(1)).alias("runs"), F.percentile("s", 0.5).alias("p50"), F.percentile("s", 0.95).alias("p95"), F.max("s").alias("longest"))
+
+
 def trace(lineage: DataFrame, child: str, depth: int = 10) -> DataFrame:
     """(parent, child, level) of all that a dataset comes from, up to a depth."""
     edges = lineage.select("parent", "child").distinct()
@@ -67,10 +85,21 @@ def trace(lineage: DataFrame, child: str, depth: int = 10) -> DataFrame:
 
 def resolvable(quarantine: DataFrame, runs: DataFrame) -> DataFrame:
     """Pending quarantine entries with the first later succeeded run of their dataset (replay_run_id), if any."""
-    good = runs.where("status = 'succeeded'").select(F.col("dataset").alias("__d"), F.col("run_id").alias("__r"), F.col("at").alias("__at"))
     pending = latest(quarantine, ["id"]).where("status = 'pending'")
-    later = (F.col("dataset") == F.col("__d")) & (F.col("__at") > F.col("at"))
-    own = pending.join(good, later, "left").groupBy("id").agg(F.min_by("__r", F.struct("__at", "__r")).alias("by_run"))
+    # Both in one order by time: an entry takes the next success behind it.  Days are looked at first,
+    # so that a window holds a dataset's events of one day; entries with no success on their day take
+    # the first one of the next day that has any.
+    day = lambda c: F.date_trunc("day", c)
+    good = runs.where("status = 'succeeded'").select("dataset", F.col("at").alias("when"), F.col("run_id").alias("good"), F.lit(0).alias("entry"), F.lit(None).cast("string").alias("id"))
+    asked = pending.select("dataset", F.col("at").alias("when"), F.lit(None).cast("string").alias("good"), F.lit(1).alias("entry"), "id")
+    # At one time runs come first: an entry takes a later one.
+    behind = lambda *part: Window.partitionBy("dataset", *part).orderBy(F.col("when").desc(), F.col("entry").desc(), F.col("good").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    events = good.unionByName(asked).withColumn("day", day("when"))
+    on_day = events.withColumn("next", F.last("good", ignorenulls=True).over(behind("day"))).where("entry = 1").select("dataset", "day", "id", "next")
+    first = good.groupBy("dataset", day("when").alias("when")).agg(F.min_by("good", F.struct("when", "good")).alias("good"))
+    days = first.withColumn("entry", F.lit(0)).unionByName(on_day.select("dataset", F.col("day").alias("when"), F.lit(None).cast("string").alias("good"), F.lit(1).alias("entry")).distinct())
+    later = days.withColumn("after", F.last("good", ignorenulls=True).over(behind())).where("entry = 1").select("dataset", F.col("when").alias("day"), "after")  # a row a dataset and day
+    own = on_day.join(later, ["dataset", "day"], "left").select("id", F.coalesce("next", "after").alias("by_run"))
     return pending.join(own, "id")
 
 
@@ -119,7 +148,7 @@ class Ledger:
         self._end(run_id, status="succeeded", rows_in=rows_in, rows_out=rows_out, rows_rejected=rows_rejected)
 
     def fail(self, run_id: str, error: str) -> None:
-        self._end(run_id, status="failed", error=error[:2000])
+        self._end(run_id, status="failed", error=error)
 
     def link(self, run_id: str, parent: str, child: str, **details) -> None:
         self.append("lineage", run_id=run_id, parent=parent, child=child, details=json.dumps(details, sort_keys=True), at=self.clock())
@@ -185,9 +214,9 @@ def execute(
         return run_id
     except Exception as e:
         if isinstance(e, QualityError):
-            ledger.quarantine(run_id, dataset, source_uri, "DATA_QUALITY_FAILURE", str(e)[:2000])
+            ledger.quarantine(run_id, dataset, source_uri, "DATA_QUALITY_FAILURE", str(e))
         elif isinstance(e, SourceError):
-            ledger.quarantine(run_id, dataset, source_uri, "SOURCE_EXTRACTION_FAILURE", str(e)[:2000])
+            ledger.quarantine(run_id, dataset, source_uri, "SOURCE_EXTRACTION_FAILURE", str(e))
         ledger.fail(run_id, str(e))
         raise
 

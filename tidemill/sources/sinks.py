@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from .files import table_fingerprint
 
+# Layer names, and the names that are safe in paths (at most 128 characters).
 LAYERS = ("bronze", "silver", "gold")
-_SAFE = re.compile(r"[A-Za-z0-9][A-Za-z0-9_.-]*")
+_SAFE = re.compile(r"[A-Za-z0-9][A-Za-z0-9_.-]{0,127}")
+#: Formats by the ending of a dataset's name.
+FORMATS = {"csv": "csv", "parquet": "parquet", "pq": "parquet"}
 _TABLE = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)*")
 
 
@@ -41,9 +44,9 @@ def _paths(spark: SparkSession, *names: str):
 def replace_dataset(df: DataFrame, path: str) -> None:
     """Replace a dataset as a whole (CSV or Parquet by its name): it is written beside the old one,
     which stays until the new one is complete and stays for good if writing fails."""
-    kind = path.rstrip("/").rpartition(".")[2].lower()
-    if kind not in ("csv", "parquet"):
-        raise ValueError(f"{path} is neither .csv nor .parquet")
+    kind = FORMATS.get(path.rstrip("/").rpartition(".")[2].lower())
+    if kind is None:
+        raise ValueError(f"{path} ends in none of {tuple(FORMATS)}")
     spark, new, old = df.sparkSession, f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     fs, (p_new, p_old, p) = _paths(spark, new, old, path)
     try:
@@ -51,17 +54,22 @@ def replace_dataset(df: DataFrame, path: str) -> None:
     except BaseException:
         fs.delete(p_new, True)
         raise
-    if fs.exists(p):
-        fs.rename(p, p_old)
+    # File systems swap no folders: for the time between two renames readers find none, and both are looked at.
+    moved = fs.exists(p)
+    if moved and not fs.rename(p, p_old):
+        fs.delete(p_new, True)
+        raise OSError(f"can't move the old dataset from {path}")
     if not fs.rename(p_new, p):
-        fs.rename(p_old, p)
-        raise OSError(f"can't move the new dataset to {path}")
+        if moved and not fs.rename(p_old, p):
+            raise OSError(f"can't move the new dataset to {path}; the old one is at {old}, the new one at {new}")
+        raise OSError(f"can't move the new dataset to {path}; it is at {new}")
     fs.delete(p_old, True)
 
 
 def publish_layer(df: DataFrame, root: str, layer: str, dataset: str, run_id: str, ingestion_date: str, kind: str = "parquet", source_uri: str = "", source_checksum: str = "", schema_version: str = "1") -> str:
     """Publish a run's data, once and for all, at layer/dataset/ingestion_date=/run_id=, and append
     its manifest row.  Returns the path; a second publication of the run is a FileExistsError."""
+    layer = layer.strip().lower()
     if layer not in LAYERS:
         raise ValueError(f"layer {layer!r} is none of {LAYERS}")
     if kind not in ("csv", "parquet"):
