@@ -124,11 +124,11 @@ def smaller_before(position: np.ndarray, shared: np.ndarray) -> np.ndarray:
     """For suffixes in their order, with the lengths they share with the one before, the length shared
     with the nearest one before that has a smaller position; 0 if there is none."""
     before, low = np.arange(-1, len(position) - 1), shared.copy()
-    at = np.flatnonzero((before >= 0) & (position[before] > position))
-    while len(at):  # jump to the candidate of the candidate: all between is larger
+    at = np.flatnonzero((low > 0) & (before >= 0) & (position[before] > position))
+    while len(at):  # jump to the candidate of the candidate: all between is larger; nothing shared ends it
         via = before[at]
         low[at], before[at] = np.minimum(low[at], low[via]), before[via]
-        at = at[(before[at] >= 0) & (position[before[at]] > position[at])]
+        at = at[(low[at] > 0) & (before[at] >= 0) & (position[before[at]] > position[at])]
     return np.where(before >= 0, low, 0)
 
 
