@@ -202,5 +202,55 @@ def test_lm_beats_counts(spark):
     assert out[1] > out[0] * 0.8  # both are negative
 
 
+def test_word_weights_sum_to_the_totals():
+    rng = np.random.default_rng(6)
+    own, tokens = [b"", b"the"] + [b"\x00 %d" % i for i in range(2, lm.OWN)], [b"w%d" % i for i in range(300)]
+    n = np.sort(rng.integers(1, 90, 300))[::-1]
+    cls = np.array([lm.class_of(t) for t in tokens])
+    class_n, class_v = np.bincount(cls, weights=n, minlength=lm.CLASSES), np.bincount(cls, minlength=lm.CLASSES).astype(float)
+    d = lm.Dictionary([*tokens[:200], b"the"], [*n[:200].tolist(), 9], class_n, class_v, own)  # a hundred tokens have no embedding
+    x, w = rng.standard_normal((lm.CLASSES, 5)), rng.standard_normal((200, 5))
+    weights = (n[:, None] + 1) * np.exp(np.concatenate([w, np.zeros((100, 5))]) @ x.T)
+    want = np.stack([weights[cls == k].sum(axis=0) + 1 for k in range(lm.CLASSES)])
+    assert np.allclose(lm.class_totals(d, w, x), want)
+    assert d.encode(b"w1 the w250")[5].tolist() == [1, lm.NO_WORD, lm.NO_WORD, lm.NO_WORD]
+
+
+def test_word_embeddings_find_the_ratio():
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.standard_normal((lm.CLASSES, lm.WIDTH)), np.ones((lm.CLASSES, 1))], axis=1)
+    w = rng.standard_normal((20, lm.WIDTH + 1)) / 6
+    ratio, noise = np.exp(w @ x.T), rng.uniform(500, 5000, (20, lm.CLASSES))
+    found = lm.word_embeddings(ratio * noise / lm.NOISE, noise, x)
+    assert np.abs(found - w).max() < 0.05
+    assert np.abs(lm.word_embeddings(np.zeros((1, lm.CLASSES)), np.zeros((1, lm.CLASSES)), x)).max() == 0
+    hot = np.zeros((1, lm.CLASSES))
+    hot[0, 3] = 1e9  # far from its noise, and finite
+    assert np.isfinite(lm.word_embeddings(hot, noise[:1], x)).all()
+
+
+def test_lm_learns_words_within_classes(spark):
+    rng = np.random.default_rng(8)
+    own = [f"f{i}" for i in range(lm.OWN + 20)]  # frequent words, each before one half of the others
+    data = []
+    for i in range(200):
+        words = []
+        for _ in range(150):
+            k = int(rng.integers(len(own)))
+            words += [own[k], f"{'ab'[k % 2]}{rng.integers(200)}ends"]
+        data.append((i, " ".join(words)))
+    out = lm.scores(spark.createDataFrame(data, "doc_id long, text string")).where("held_out").groupBy().sum("base_score", "score", "n_tokens").first()
+    assert (out[1] - out[0]) / out[2] > 0.1  # half of all tokens gain up to log10(2)
+
+
+def test_long_tokens_stay_out_of_the_dictionary(spark):
+    long = "y" * 5000
+    df = spark.createDataFrame([(i, f"{long} a {long}") for i in range(20)], "doc_id long, text string")
+    r = lm.scores(df).where("not held_out").first()
+    n = r["train_tokens"]
+    want = (2 * math.log10(n / 2 + 1) + 2 * math.log10(n / 4 + 1)) - 4 * math.log10(n + 3 + 1)
+    assert r["n_known"] == 4 and abs(r["base_score"] - want) < 1e-9
+
+
 def test_sha_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")

@@ -1,18 +1,25 @@
 """Language-model scores: a log-bilinear neural model trained with noise-contrastive estimation.
 
-A token's probability is P(class | two classes before) * P(token | class).  The OWN most frequent
-tokens are classes of their own; all others share classes by their last characters.  The classes
-have embeddings; the score of a class is the inner product of its embedding with the context's
-prediction (each context class's embedding, weighted by its place), plus a bias.  Training
-compares each class with noise classes drawn from the class frequencies; every task trains on its
-share of all training texts and the parameters are averaged, ROUNDS times.  Batched matrix
-products then give, for all pairs of context classes, log-probabilities that sum to one, and
-within a class P(token) = (count + 1) / (count of class + tokens of class + 1), where the last 1
-stands for all unseen tokens.
+A token's probability is P(class | two classes before) * P(token | its class, class before).  The
+OWN most frequent tokens are classes of their own; all others share classes by their last
+characters.  The classes have embeddings; the score of a class is the inner product of its
+embedding with the context's prediction (each context class's embedding, weighted by its place),
+plus a bias.  Training compares each class with noise classes drawn from the class frequencies;
+every task trains on its share of all training texts and the parameters are averaged, ROUNDS
+times.  Batched matrix products then give, for all pairs of context classes, log-probabilities
+that sum to one.
+
+Within a class a token weighs (count + 1) * exp(w . x), where x is the embedding of the class
+before and w the token's own embedding; a further 1 stands for all unseen tokens, and the sum of
+a class's weights behind each class before normalises.  The WORDS most frequent tokens of shared
+classes have a w, all others zero.  Given x, noise-contrastive estimation parts into one convex
+problem a token: its counts behind each class against noise drawn from its class, whose
+expectation is known.  Spark groups the counts by blocks of tokens, and a task solves a block.
 
 Token counts cover all training texts.  Their most frequent part, a dictionary of at most
-DICTIONARY tokens, travels to the tasks; the other tokens of each document are joined with the
-counts in a shuffle, so neither memory nor broadcast grows with the vocabulary.
+DICTIONARY tokens of at most LONGEST bytes, travels to the tasks; the other tokens of each
+document are joined with the counts in a shuffle, so neither memory nor broadcast grows with the
+vocabulary.
 
 A null or empty text has one token, its end.  A null id counts as a training document.  Repeated
 rows are trained on each and get equal scores.  Without training documents the counts are zero.
@@ -33,7 +40,9 @@ from pyspark.sql import functions as F
 from .common import read, row_key, share, stage
 
 CLASSES, OWN, WIDTH = 256, 160, 24
-DICTIONARY = 300_000
+DICTIONARY, LONGEST = 300_000, 64
+#: Tokens with embeddings of their own within their class, and how many of them a task solves at once.
+WORDS, BLOCK, NO_WORD = 1 << 15, 1 << 10, (1 << 16) - 1
 ROUNDS, NOISE, BATCH, RATE = 2, 24, 4096, 0.1
 #: Batches that a chunk trains at least, by further passes over it.
 STEPS = 48
@@ -83,10 +92,14 @@ class Dictionary:
         self.cls = np.fromiter((place.get(t, -1) if t in place else class_of(t) for t in tokens), np.uint8, len(tokens))
         self.log_n = np.log10(np.array(counts, np.float64) + 1)
         self.own, self.place = own, place
-        self.class_log = np.log10(class_n + class_v + 1.0)
+        self.class_n, self.class_mass = class_n, class_n + class_v + 1.0
+        learned = np.flatnonzero(self.cls >= OWN)[:WORDS]
+        self.word = np.full(len(tokens), NO_WORD, np.uint16)
+        self.word[learned] = np.arange(len(learned))
+        self.word_cls, self.word_n = self.cls[learned].astype(np.int64), np.array(counts, np.float64)[learned]
 
     def encode(self, text: bytes | None):
-        """(classes, known tokens, sum of log10(count + 1): of all known, of those in shared classes; other tokens)."""
+        """(classes, known tokens, sum of log10(count + 1): of all known, of those in shared classes; other tokens; words)."""
         tokens = tokens_of(text)
         at = np.fromiter(map(self.at.get, tokens, repeat(-1)), np.int64, len(tokens))
         known = at >= 0
@@ -96,7 +109,9 @@ class Dictionary:
         others = [tokens[i] for i in where]
         cls[where] = np.fromiter((self.place[t] if t in self.place else class_of(t) for t in others), np.uint8, len(others))
         logs = self.log_n[at[known]]
-        return cls, int(known.sum()), float(logs.sum()), float(logs[cls[known] >= OWN].sum()), Counter(others)
+        words = np.full(len(tokens), NO_WORD, np.uint16)
+        words[known] = self.word[at[known]]
+        return cls, int(known.sum()), float(logs.sum()), float(logs[cls[known] >= OWN].sum()), Counter(others), words
 
 
 def dictionary(counts: DataFrame) -> tuple[Dictionary, int, int, int]:
@@ -111,7 +126,7 @@ def dictionary(counts: DataFrame) -> tuple[Dictionary, int, int, int]:
         if total > DICTIONARY:
             break
         least = r["least"]
-    rows = counts.where(n >= least).collect()
+    rows = counts.where((n >= least) & (F.octet_length("token") <= LONGEST)).collect()
     rows.sort(key=lambda r: (-r["n"], bytes(r["token"])))
     tokens, ns = [bytes(r["token"]) for r in rows], [r["n"] for r in rows]
     own = [END, *[t for t in tokens if t != END][: OWN - 1]]
@@ -195,6 +210,92 @@ class LogBilinear:
         return out
 
 
+def pair_counts(encoded: DataFrame) -> DataFrame:
+    """(block, word, before, n): how often a word stands behind a class, over rows of encoded(classes, words);
+    in block -1 word is a class."""
+
+    def run(batches):
+        seen, waiting = 0, []
+
+        def flush():
+            codes, n = np.unique(np.concatenate(waiting), return_counts=True)
+            waiting.clear()
+            word, before = codes >> 8, codes & 255
+            arrays = [np.where(word < WORDS, word // BLOCK, -1), np.where(word < WORDS, word, word - WORDS), before]
+            return pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in arrays), pa.array(n)], ["block", "word", "before", "n"])
+
+        for b in batches:
+            for c, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                cls, word = np.frombuffer(c, np.uint8).astype(np.int64), np.frombuffer(w, np.uint16).astype(np.int64)
+                before = np.concatenate([np.zeros(1, np.int64), cls[:-1]])
+                waiting += [(word << 8 | before)[word != NO_WORD], (WORDS + cls << 8 | before)[cls >= OWN]]
+                seen += len(cls)
+                if seen >= CHUNK:
+                    yield flush()
+                    seen = 0
+        if waiting:
+            yield flush()
+
+    return encoded.select("classes", "words").mapInArrow(run, "block int, word int, before int, n long").groupBy("block", "word", "before").agg(F.sum("n").alias("n"))
+
+
+def contexts(model: LogBilinear, frequency: np.ndarray) -> np.ndarray:
+    """What words see of the class before them: its embedding, of mean 0 and variance 1, and a 1."""
+    mean = frequency @ model.r
+    spread = np.sqrt(frequency @ (model.r - mean) ** 2 + 1e-6)
+    return np.concatenate([(model.r - mean) / spread, np.ones((CLASSES, 1))], axis=1)
+
+
+def word_embeddings(n: np.ndarray, noise: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The embedding of each row of n, counts behind each class, against expected noise counts, by damped Newton steps.
+
+    A word's weight over its class's noise is exp(w . x) / NOISE.  The penalty stands for a w . x of variance 1."""
+    w, both = np.zeros((len(n), x.shape[1])), n + noise
+    squares = (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
+    for _ in range(8):
+        p = _sigmoid(w @ x.T - np.log(NOISE))
+        slope = (n - both * p) @ x - WIDTH * w
+        curve = ((both * p * (1 - p)) @ squares).reshape(len(n), x.shape[1], -1) + WIDTH * np.eye(x.shape[1])
+        step = np.linalg.solve(curve, slope[:, :, None])[:, :, 0]
+        w += step / np.maximum(1, np.abs(step @ x.T).max(axis=1, keepdims=True) / 1.5)
+    return w
+
+
+def train_words(encoded: DataFrame, words: Dictionary, x: np.ndarray) -> np.ndarray:
+    """The embeddings of all words, a row each."""
+    spark = encoded.sparkSession
+    pairs = stage(pair_counts(encoded), "pairs")
+    behind = np.zeros((CLASSES, CLASSES))
+    for r in pairs.where("block = -1").collect():  # at most a row for two classes
+        behind[r["word"], r["before"]] = r["n"]
+    shared = share(spark, (behind, x, words.word_cls, words.word_n / np.maximum(1, words.class_n[words.word_cls])))
+
+    def solve(table):
+        behind_, x_, cls, part = pickle.loads(shared.value)
+        word, before, n = (table.column(c).to_numpy() for c in ("word", "before", "n"))
+        mine, at = np.unique(word, return_inverse=True)
+        counts = np.zeros((len(mine), CLASSES))
+        counts[at, before] = n
+        found = word_embeddings(counts, NOISE * behind_[cls[mine]] * part[mine, None], x_).astype(np.float32)
+        return pa.table({"word": pa.array(mine, pa.int32()), "w": pa.array([v.tobytes() for v in found], pa.binary())})
+
+    out = np.zeros((len(words.word_cls), x.shape[1]), np.float32)
+    for r in pairs.where("block >= 0").groupBy("block").applyInArrow(solve, "word int, w binary").collect():  # at most WORDS rows
+        out[r["word"]] = np.frombuffer(r["w"], np.float32)
+    return out
+
+
+def class_totals(words: Dictionary, w: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The sum of the weights of each class's tokens behind each class."""
+    out = np.repeat(words.class_mass[:, None], CLASSES, axis=1)
+    for i in range(0, len(w), 4096):
+        cls = words.word_cls[i : i + 4096]
+        hot = np.zeros((CLASSES, len(cls)))
+        hot[cls, np.arange(len(cls))] = words.word_n[i : i + 4096] + 1
+        out += hot @ np.expm1(w[i : i + 4096] @ x.T)
+    return out
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -264,37 +365,48 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                     b.column(0), b.column(1), b.column(2), pa.array([len(r[0]) for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
                     pa.array([r[2] for r in rows]), pa.array([r[3] for r in rows]), pa.array([r[0].tobytes() for r in rows], pa.binary()),
                     pa.array([list(r[4]) for r in rows], pa.list_(pa.binary())), pa.array([list(r[4].values()) for r in rows], pa.list_(pa.int32())),
+                    pa.array([r[5].tobytes() for r in rows], pa.binary()),
                 ],
-                ["key", id_col, "held_out", "n_tokens", "known", "log_all", "log_shared", "classes", "others", "times"],
+                ["key", id_col, "held_out", "n_tokens", "known", "log_all", "log_shared", "classes", "others", "times", "words"],
             )
 
     source = docs.select(row_key(text_col, id_col).alias("key"), F.col(id_col), held.alias("held_out"), F.col(text_col))
-    encoded = stage(source.mapInArrow(encode, f"key long, {id_col} {kind}, held_out boolean, n_tokens long, known long, log_all double, log_shared double, classes binary, others array<binary>, times array<int>"), "encoded")
+    encoded = stage(source.mapInArrow(encode, f"key long, {id_col} {kind}, held_out boolean, n_tokens long, known long, log_all double, log_shared double, classes binary, others array<binary>, times array<int>, words binary"), "encoded")
     own_n = np.zeros(CLASSES)
     in_own = [10 ** words.log_n[words.at[t]] - 1 if t in words.at else 0.0 for t in words.own]
     own_n[:OWN] = in_own
-    frequency = own_n + np.maximum(10**words.class_log - 1, 0) * (np.arange(CLASSES) >= OWN) + 1
-    model = train(encoded.where("not held_out"), frequency / frequency.sum())
+    frequency = own_n + (words.class_mass - 1) * (np.arange(CLASSES) >= OWN) + 1
+    frequency /= frequency.sum()
+    model = train(encoded.where("not held_out"), frequency)
+    x = contexts(model, frequency)
+    w = train_words(encoded.where("not held_out"), words, x)
 
     # Tokens beyond the dictionary meet their counts in a shuffle; unseen ones add nothing and fall out.
     pairs = encoded.select("key", F.explode(F.arrays_zip("others", "times")).alias("o")).select("key", F.col("o.others").alias("token"), F.col("o.times").alias("times"))
-    found = pairs.join(counts.where(F.col("n") < least), "token")
+    found = pairs.join(counts.where((F.col("n") < least) | (F.octet_length("token") > LONGEST)), "token")
     found = found.groupBy("key").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_log"))
     rows = encoded.groupBy("key").agg(F.count("*").alias("rows"))  # repeated rows share a key
-    flat = spark.sparkContext.broadcast(model.flat())
-    class_log = words.class_log
+    # At most WORDS embeddings and some tables of the classes.
+    trained = share(spark, (model.flat(), w, (x / np.log(10)).astype(np.float32), np.log10(class_totals(words, w, x)).astype(np.float32)))
 
     def score(batches):
-        table = LogBilinear().load(flat.value).table()
+        flat, own_w, own_x, totals = pickle.loads(trained.value)
+        table = LogBilinear().load(flat).table()
         for b in batches:
             out = []
-            for x in b.column(0).to_pylist():
-                codes = trigrams(np.frombuffer(x, np.uint8).astype(np.int64))
-                cls = codes & 255
-                out.append(float(table[codes >> 8, cls].sum(dtype=np.float64) - class_log[cls[cls >= OWN]].sum()))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(out, pa.float64())], ["key", id_col, "held_out", "n_tokens", "known", "log_all", "log_shared", "class_score"])
-
-    scored = encoded.select("classes", "key", id_col, "held_out", "n_tokens", "known", "log_all", "log_shared")
+            for c, word in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                codes = trigrams(np.frombuffer(c, np.uint8).astype(np.int64))
+                cls, before, word = codes & 255, codes >> 8 & 255, np.frombuffer(word, np.uint16)
+                total, far = table[codes >> 8, cls].sum(dtype=np.float64), cls >= OWN
+                total -= totals[cls[far], before[far]].sum(dtype=np.float64)
+                own = np.flatnonzero(word != NO_WORD)
+                for i in range(0, len(own), BATCH):
+                    at = own[i : i + BATCH]
+                    total += np.einsum("ij,ij->", own_w[word[at]], own_x[before[at]])
+                out.append(float(total))
+            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(out, pa.float64())], ["key", id_col, "held_out", "n_tokens", "known", "log_all", "log_shared", "class_score"])
+
+    scored = encoded.select("classes", "words", "key", id_col, "held_out", "n_tokens", "known", "log_all", "log_shared")
     scored = scored.mapInArrow(score, f"key long, {id_col} {kind}, held_out boolean, n_tokens long, known long, log_all double, log_shared double, class_score double")
     joined = scored.join(found.join(rows, "key").select("key", (F.col("more") / F.col("rows")).cast("long").alias("more"), (F.col("more_log") / F.col("rows")).alias("more_log")), "key", "left")
     more, more_log = F.coalesce("more", F.lit(0)), F.coalesce("more_log", F.lit(0.0))
