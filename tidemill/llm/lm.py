@@ -221,7 +221,7 @@ def pair_counts(encoded: DataFrame) -> DataFrame:
             codes, n = np.unique(np.concatenate(waiting), return_counts=True)
             waiting.clear()
             word, before = codes >> 8, codes & 255
-            arrays = [np.where(word < WORDS, word // BLOCK, -1), np.where(word < WORDS, word, word - WORDS), before]
+            arrays = [np.where(word < WORDS, word % (WORDS // BLOCK), -1), np.where(word < WORDS, word, word - WORDS), before]
             return pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in arrays), pa.array(n)], ["block", "word", "before", "n"])
 
         for b in batches:
