@@ -25,6 +25,8 @@ from .common import checked, connected_components, fresh, row_key, stage, withou
 
 #: Most fingerprints of a tile, as an average.
 TILE = 8192
+#: Parts in which the members of a component meet its root.
+SALTS = 16
 
 
 def signature(text: bytes | None, words: int = 3, bits: int = 64) -> np.ndarray:
@@ -145,9 +147,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, bits: int
     own = stage(fingerprints(docs, words, bits, id_col, text_col), "fingerprints")
     nodes = stage(own.groupBy("fp").agg(F.min(id_col).alias("least"), F.first("sig").alias("sig")), "nodes")
     roots = connected_components(tiled_links(nodes.select("fp", "sig"), radius, first, blocks, tile))
-    nodes = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.join(nodes.join(smallest, "root").select("fp", "root", "component_id"), "fp").select("key", id_col, "fp", "root", "component_id")
+    members = nodes.join(roots, nodes.fp == roots.node).select("fp", "least", "root")
+    smallest = members.groupBy("root").agg(F.min("least").alias("m"))
+    tops = nodes.join(roots, nodes.fp == roots.node, "left_anti").select("fp", "least").join(smallest, F.col("fp") == F.col("root"), "left")
+    tops = stage(tops.select("fp", F.col("fp").alias("root"), F.least("least", "m").alias("component_id"), F.col("root").isNotNull().alias("group")), "tops")
+    # A root may have most of all members: they meet it in SALTS parts.
+    salted = tops.where("group").select("root", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    named = members.withColumn("salt", F.expr(f"cast(pmod(xxhash64(fp, 11), {SALTS}) as int)")).join(salted, ["root", "salt"]).select("fp", "root", "component_id")
+    return own.join(tops.drop("group").unionByName(named), "fp").select("key", id_col, "fp", "root", "component_id")
 
 
 #: For documents whose sets of five-word shingles have a similarity of 0.8 or more: two texts at
