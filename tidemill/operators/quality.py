@@ -172,13 +172,16 @@ def contract_violations(df: DataFrame, contract: Contract) -> DataFrame:
         blank = is_blank(c) if c in contract.required_columns else F.col(c).isNull()
         if c in contract.required_columns or not contract.required_columns:
             tests.append(F.when((n > 0) & (F.count_if(~blank) == 0), row("no_values", c, n, "missing, blank or nan throughout")))
-    for c, values in contract.allowed_values.items():
-        if c in df.columns:
-            bad = F.col(c).isNotNull() & ~F.col(c).cast("string").isin([str(v) for v in values])
-            first = F.array_join(F.slice(F.array_sort(F.collect_set(F.when(bad, F.substring(F.col(c).cast("string"), 1, 100)))), 1, 10), ", ")
-            tests.append(F.when(F.count_if(bad) > 0, F.struct(F.lit("allowed_values").alias("rule"), F.lit(c).alias("column"), F.count_if(bad).cast("double").alias("found"), first.alias("detail"))))
     found = df.agg(F.array_compact(F.array(*tests)).alias("v")).select(F.explode("v").alias("v")).select("v.*")
     out = out.unionByName(found)
+    for c, values in contract.allowed_values.items():
+        if c in df.columns:
+            text = F.col(c).cast("string")
+            by = df.where(F.col(c).isNotNull() & ~text.isin([str(v) for v in values])).groupBy(text.alias("value")).agg(n.alias("n"))
+            # The count is over all values; the detail names the first ten of them.
+            named = by.select("value").orderBy("value").limit(10).select(F.lit(0).cast("long").alias("n"), "value")
+            one = by.select("n", F.lit(None).cast("string").alias("value")).unionByName(named).agg(F.sum("n").cast("double").alias("found"), F.array_join(F.array_sort(F.collect_list("value")), ", ").alias("detail"))
+            out = out.unionByName(one.where("found > 0").select(F.lit("allowed_values").alias("rule"), F.lit(c).alias("column"), "found", "detail"))
     for c in contract.unique_columns:
         if c in df.columns:  # repeated nulls count
             again = df.groupBy(c).count().where("count > 1").agg(F.sum(F.col("count") - 1).alias("found")).where("found > 0")

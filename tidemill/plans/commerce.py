@@ -6,11 +6,12 @@ seller's delay rate divides items by orders.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_ratio, whole_days_between
 from ..operators.aggregate import with_total
+from ..sources.scratch import staged
 
 DELIVERED = "delivered"
 
@@ -69,21 +70,32 @@ def customer_metrics(customers: DataFrame, orders: DataFrame, items: DataFrame,
     return m.withColumn("recency_days", whole_days_between(F.lit(as_of).cast("timestamp"), "last_purchase_date"))
 
 
-def fifths(df: DataFrame, name: str, *order) -> DataFrame:
-    """df with its rank's fifth (1 to 5) in an order with a unique last column: the global order is
-    found by range partitions and their sizes, not in a single task."""
-    ranked = df.select("customer_id", *[o.alias(f"__o{i}") for i, o in enumerate(order)])
-    keys = [F.col(f"__o{i}") for i in range(len(order))]
-    parted = ranked.repartitionByRange(*keys, "customer_id").withColumn("__p", F.spark_partition_id())
-    local = parted.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*keys, "customer_id")))
-    sizes = local.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))  # a row a partition
-    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("__all", F.sum("__n").over(Window.partitionBy()))
-    at = local.join(F.broadcast(sizes), "__p").withColumn("__g", F.col("__before") + F.col("__r") - 1)
+def with_fifths(df: DataFrame, key: str, orders: dict[str, Column]) -> DataFrame:
+    """df (a row a key) with each name's fifth, 1 to 5, in the order of its column and then the key.
+
+    Every row stands once for each order; range partitions put all orders into one sequence, which is
+    written before sizes and places are read from it, so that both see the same borders.  A place is a
+    row's place in its partition and what lies before that: no order is sorted in a single task.
+    """
+    names, n = list(orders), F.count(F.lit(1))
+    marks = F.explode(F.array(*[F.lit(i) for i in range(len(names))]))
+    keys = [F.when(F.col("__which") == i, o).alias(f"__o{i}") for i, o in enumerate(orders.values())]
+    at = [F.col(f"__o{i}") for i in range(len(names))]
+    long = df.withColumn("__which", marks).select("*", *keys).repartitionByRange("__which", *at, key)
+    long = staged(long.withColumn("__p", F.spark_partition_id()))
+    sizes = long.groupBy("__which", "__p").agg(n.alias("__n"))  # a row or few a partition
+    whole = Window.partitionBy("__which")
+    before = F.coalesce(F.sum("__n").over(whole.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("__which", "__p", before.alias("__before"), F.sum("__n").over(whole).alias("__all"))
+    place = F.row_number().over(Window.partitionBy("__which", "__p").orderBy(*at, key)) - 1
+    placed = long.withColumn("__r", place).join(F.broadcast(sizes), ["__which", "__p"]).withColumn("__g", F.col("__before") + F.col("__r"))
     # The first n mod 5 tiles hold one row more.
     size, more = F.floor(F.col("__all") / 5), F.col("__all") % 5
     big = more * (size + 1)
     tile = F.when(F.col("__g") < big, F.floor(F.col("__g") / (size + 1))).otherwise(more + F.floor((F.col("__g") - big) / F.greatest(size, F.lit(1)))) + 1
-    return at.select("customer_id", tile.cast("int").alias(name))
+    own = [F.first(F.col(c)).alias(c) for c in df.columns if c != key]  # equal in all rows of a key
+    tiles = [F.max(F.when(F.col("__which") == i, tile)).cast("int").alias(name) for i, name in enumerate(names)]
+    return placed.groupBy(key).agg(*own, *tiles)
 
 
 def rfm_segments(customers: DataFrame, orders: DataFrame, items: DataFrame, as_of, status: str = DELIVERED, best_is_high: bool = False) -> DataFrame:
@@ -92,9 +104,7 @@ def rfm_segments(customers: DataFrame, orders: DataFrame, items: DataFrame, as_o
     best_is_high turns the fifths round."""
     m = customer_metrics(customers, orders, items, as_of, status)
     sign = -1 if best_is_high else 1
-    scores = [fifths(m, n, sign * F.col(c)) for n, c in (("r", "recency_days"),)] + [fifths(m, n, -sign * F.col(c)) for n, c in (("f", "frequency"), ("m", "monetary"))]
-    for s in scores:
-        m = m.join(s, "customer_id")
+    m = with_fifths(m.drop("customer_state", "customer_city", "last_purchase_date"), "customer_id", {"r": sign * F.col("recency_days"), "f": -sign * F.col("frequency"), "m": -sign * F.col("monetary")})
     label = F
     for rule, name in SEGMENTS:
         label = label.when(F.expr(rule), F.lit(name))

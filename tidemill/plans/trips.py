@@ -4,7 +4,6 @@ its own, reads them again through the operator, and is compared with SQL over th
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 import uuid
 
 import pandas as pd
@@ -15,6 +14,7 @@ from ..operators import aggregate as agg
 from ..operators import conform, quality
 from ..operators.upsert import upsert
 from ..sources import files, runs, sinks
+from ..sources.scratch import scratch_path
 from ..streaming import streams
 from . import star
 from .fixtures import AS_OF, Tables
@@ -24,13 +24,7 @@ RUN = dt.datetime(2002, 1, 1)
 
 
 def scratch(t: Tables) -> str:
-    """A new folder below spark.checkpoint.dir, which the whole cluster sees; without one, only a local session may have its own."""
-    shared = t.spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not t.spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = tempfile.mkdtemp(prefix="tidemill-")
-    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+    return scratch_path(t.spark)
 
 
 def _lines(t: Tables) -> DataFrame:
@@ -262,3 +256,19 @@ def _(t: Tables) -> DataFrame:
         e.where(F.col("event_id") % 2 == k).write.mode("append").parquet(f"{root}/in")
         streams.upsert_stream(streams.file_stream(t.spark, f"{root}/in", e.schema), f"{root}/out", f"{root}/check", ["user_id"], ["event_id"]).awaitTermination()
     return upsert(streams.current(t.spark, f"{root}/out", e.schema), e, ["user_id"], ["event_id"])
+
+
+query(
+    "s6_differences",
+    """select coalesce(e, f) as k, case when f is null then 'missing' else 'extra' end as state from
+    (select distinct r_regionkey + 100 as e from region union all select distinct n_nationkey from nation where n_nationkey <> 3) x full join (select distinct c_nationkey as f from customer) on e = f where e is null or f is null""",
+)(
+    lambda t: files.differences(
+        t.customer.select(F.col("c_nationkey").alias("k")), t.nation.where("n_nationkey <> 3").select(F.col("n_nationkey").alias("k")).unionByName(t.region.select((F.col("r_regionkey") + 100).alias("k"))), "k"
+    )
+)
+query(
+    "q12_allowed_values",
+    """with b as (select o_orderpriority as v, count(*) as n from orders where o_orderpriority not in ('1-URGENT', '2-HIGH') group by 1)
+    select 'allowed_values' as rule, 'o_orderpriority' as "column", cast(sum(n) as double) as found, (select string_agg(v, ', ' order by v) from (select v from b order by v limit 10)) as detail from b having sum(n) > 0""",
+)(lambda t: quality.contract_violations(t.orders, quality.Contract(allowed_values={"o_orderpriority": ("1-URGENT", "2-HIGH")})))

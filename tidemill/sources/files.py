@@ -82,13 +82,29 @@ def landing_check(files: DataFrame) -> DataFrame:
     return files.agg(n.alias("files"), F.coalesce(F.round(F.sum("bytes") / 1048576, 2), F.lit(0.0)).alias("megabytes"), F.coalesce(F.sum("rows"), F.lit(0)).cast("long").alias("rows"), (n > 0).alias("verified"))
 
 
-def completeness(found: DataFrame, expected: DataFrame, c: str) -> DataFrame:
-    """One row: is_valid, expected_count, actual_count, missing, extra: expected values of c against those found."""
+def differences(found: DataFrame, expected: DataFrame, c: str) -> DataFrame:
+    """(c, state) of each value that is expected and not found (missing) or found and not expected (extra)."""
+    both = _compared(found, expected, c).where("__e is null or __f is null")
+    return both.select(c, F.when(F.col("__f").isNull(), "missing").otherwise("extra").alias("state"))
+
+
+def completeness(found: DataFrame, expected: DataFrame, c: str, names: int = 1000) -> DataFrame:
+    """One row: is_valid, expected_count, actual_count, missing, extra: expected values of c against those found.
+
+    Counts and verdict are over all values; the lists report the first `names` in order, and differences() gives every one."""
+    both = _compared(found, expected, c)
+    counts = both.agg(F.count("__e").alias("expected_count"), F.count("__f").alias("actual_count"), (F.count_if(F.col("__f").isNull()) == 0).alias("is_valid"))
+    listed = differences(found, expected, c).select(F.col(c).cast("string").alias("name"), "state")
+    first = lambda state: listed.where(F.col("state") == state).orderBy("name").limit(names)
+    own = lambda state: F.array_sort(F.collect_list(F.when(F.col("state") == state, F.col("name")))).alias(state)
+    lists = first("missing").unionByName(first("extra")).agg(own("missing"), own("extra"))
+    one = lambda df: df.withColumn("__one", F.lit(1))
+    return one(counts).join(one(lists), "__one").select("is_valid", "expected_count", "actual_count", "missing", "extra")
+
+
+def _compared(found: DataFrame, expected: DataFrame, c: str) -> DataFrame:
     f, e = found.select(c).distinct(), expected.select(c).distinct()
-    both = e.withColumn("__e", F.lit(True)).join(f.withColumn("__f", F.lit(True)), c, "full_outer")
-    names = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col(c).cast("string"))))
-    out = both.agg(F.count("__e").alias("expected_count"), F.count("__f").alias("actual_count"), names(F.col("__f").isNull()).alias("missing"), names(F.col("__e").isNull()).alias("extra"))
-    return out.select((F.size("missing") == 0).alias("is_valid"), "*")
+    return e.withColumn("__e", F.lit(True)).join(f.withColumn("__f", F.lit(True)), c, "full_outer")
 
 
 def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
