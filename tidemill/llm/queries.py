@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, html, lm, mixing, pii, quality, rules, simhash, substrings, warc
+from . import decontam, html, lm, mixing, negatives, pii, quality, rules, simhash, substrings, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_warc_audit": warc.op8,
         "op9_main_text": html.op9,
         "op10_simhash": simhash.op10,
+        "op11_hard_negatives": negatives.op11,
     }
 
 
