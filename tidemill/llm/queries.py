@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, html, lm, mixing, negatives, pii, quality, rules, simhash, substrings, warc
+from . import decontam, html, lm, mixing, negatives, neighbours, pii, quality, rules, simhash, substrings, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_main_text": html.op9,
         "op10_simhash": simhash.op10,
         "op11_hard_negatives": negatives.op11,
+        "op12_near_vectors": neighbours.op12,
     }
 
 
