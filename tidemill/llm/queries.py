@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, html, lm, mixing, negatives, neighbours, pii, quality, rules, simhash, substrings, warc
+from . import decontam, html, lm, mixing, negatives, neighbours, phrases, pii, quality, rules, simhash, substrings, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_simhash": simhash.op10,
         "op11_hard_negatives": negatives.op11,
         "op12_near_vectors": neighbours.op12,
+        "op13_collocations": phrases.op13,
     }
 
 
