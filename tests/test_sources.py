@@ -1,11 +1,13 @@
 import datetime as dt
 import itertools
+import threading
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemill.operators.quality import Contract, QualityError, enforce, split_rows
-from tidemill.sources import files, runs, sinks
+from tidemill.sources import files, runs, sinks, snapshots
 
 from .conftest import rows
 
@@ -65,16 +67,81 @@ def test_partitioned_and_dynamic_overwrite(spark, tmp_path):
 
 
 def test_replace_keeps_old_on_failure(spark, tmp_path):
-    p = str(tmp_path / "d.parquet")
-    sinks.replace_dataset(spark.range(3), p)
-    sinks.replace_dataset(spark.range(5), p)
-    assert spark.read.parquet(p).count() == 5
-    broken = spark.range(2).select(F.raise_error(F.lit("no")).cast("string").alias("x"))
-    with pytest.raises(Exception):
-        sinks.replace_dataset(broken, p)
-    assert spark.read.parquet(p).count() == 5 and [x.name for x in tmp_path.iterdir()] == ["d.parquet"]
-    with pytest.raises(ValueError):
-        sinks.replace_dataset(spark.range(1), str(tmp_path / "d.xls"))
+    for name in ("d.parquet", "d.csv"):
+        p = str(tmp_path / name)
+        sinks.replace_dataset(spark.range(3), p)
+        sinks.replace_dataset(spark.range(5), p)
+        assert sinks.read_dataset(spark, p).count() == 5 and sinks.read_dataset(spark, p).dtypes == [("id", "bigint")]
+        files = snapshots.files_below(spark, f"{p}/_data")
+        broken = spark.range(2).select(F.raise_error(F.lit("no")).cast("string").alias("x"))
+        with pytest.raises(Exception):
+            sinks.replace_dataset(broken, p)
+        assert sinks.read_dataset(spark, p).count() == 5 and snapshots.files_below(spark, f"{p}/_data") == files
+    for bad in ("d.xls", "d"):
+        with pytest.raises(ValueError):
+            sinks.replace_dataset(spark.range(1), str(tmp_path / bad))
+    with pytest.raises(FileNotFoundError):
+        sinks.read_dataset(spark, str(tmp_path / "none.parquet"))
+
+
+def test_readers_find_a_dataset_at_any_moment(spark, tmp_path):
+    p, seen, stop = str(tmp_path / "d.parquet"), [], threading.Event()
+    sinks.replace_dataset(spark.range(1).select(F.lit(0).alias("v")), p)
+
+    def look():
+        while not stop.is_set():
+            seen.append([r[0] for r in sinks.read_dataset(spark, p).collect()])
+
+    with ThreadPoolExecutor(1) as pool:
+        reader = pool.submit(look)
+        for k in range(1, 51):
+            sinks.replace_dataset(spark.range(2).select(F.lit(k).alias("v")).coalesce(1), p)
+        stop.set()
+        reader.result()
+    assert len(seen) > 5 and all(len(set(x)) == 1 and len(x) == (2 if x[0] else 1) for x in seen) and seen == sorted(seen)
+    assert len(snapshots.Snapshots(spark, p).versions()) == 10 and len(snapshots.files_below(spark, f"{p}/_data")) == 10
+
+
+def test_one_writer_gets_a_number(spark, tmp_path):
+    p = f"{tmp_path}/log/1.json"
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda k: snapshots.put_if_absent(spark, p, str(k) * 1000), range(8)))
+    assert sum(won) == 1 and snapshots.read_text(spark, p) == str(won.index(True)) * 1000 and snapshots.names(spark, f"{tmp_path}/log") == ["1.json"]
+
+
+def test_upserts_rewrite_what_they_touch(spark, tmp_path):
+    t = snapshots.Snapshots(spark, str(tmp_path / "t"), keep=3)
+    frame = lambda *r: spark.createDataFrame(list(r), "k long, seq int, v string")
+    t.upsert(frame(*[(k, 1, "a") for k in range(60)]), ["k"], ["seq"], parts=8)
+    before = t.snapshot()[1]["parts"]
+    t.upsert(frame((7, 2, "b"), (7, 1, "x")), ["k"], ["seq"])
+    after = t.snapshot()[1]["parts"]
+    changed = [p for p in before if before[p] != after[p]]
+    assert len(before) == 8 and len(changed) == 1 and t.read().where("v = 'b'").count() == 1 and t.read().count() == 60
+    t.upsert(frame((7, 1, "older"), (8, None, "older"), (100, None, None)), ["k"], ["seq"])
+    assert rows(t.read().where("k in (7, 8, 100)")) == [(100, None, None), (7, 2, "b"), (8, 1, "a")]
+    assert t.upsert(frame(), ["k"], ["seq"]) == 4 and t.read().count() == 61 and t.versions() == [2, 3, 4]
+    with pytest.raises(FileNotFoundError):
+        t.read(1)
+    with pytest.raises(Exception, match="null in a key"):
+        t.upsert(frame((None, 1, "a")), ["k"], ["seq"])
+    stray = tmp_path / "t" / "_data" / "stray"
+    stray.mkdir()
+    (stray / "x.parquet").write_text("left behind")
+    assert t.vacuum() == 0 and t.vacuum(-1) == 1 and t.read().count() == 61
+
+
+def test_writers_of_one_dataset_lose_nothing(spark, tmp_path):
+    """Upserts that race for a number: those in other parts are carried over, those in the same part merge again."""
+    t = lambda: snapshots.Snapshots(spark, str(tmp_path / "t"))
+    frame = lambda w: spark.createDataFrame([(k, w * (1 if k % 2 else -1), f"w{w}") for k in range(w, w + 9)], "k long, seq int, v string")
+    with ThreadPoolExecutor(4) as pool:
+        numbers = list(pool.map(lambda w: t().upsert(frame(w), ["k"], ["seq"], parts=4, batch=(f"w{w}", 0)), range(6)))
+    want = {}
+    for w in range(6):
+        for k, seq, v in frame(w).collect():
+            want[k] = max(want.get(k, (-99, "")), (seq, v))
+    assert sorted(numbers) == [1, 2, 3, 4, 5, 6] and rows(t().read()) == sorted(((k, *x) for k, x in want.items()), key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
 def test_layers(spark, tmp_path):

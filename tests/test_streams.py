@@ -24,16 +24,17 @@ def test_ingest_takes_new_files_only(spark, tmp_path):
 
 def test_upsert_stream(spark, tmp_path):
     src, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
-    put(spark, src, [(1, 1, "a", "2024-01-01 00:00:00"), (1, 2, "b", "2024-01-01 00:00:00")])
-    streams.upsert_stream(streams.file_stream(spark, src, EVENTS), out, cp, ["k"], ["seq"]).awaitTermination()
-    put(spark, src, [(1, 3, "c", "2024-01-02 00:00:00"), (2, 1, "d", "2024-01-02 00:00:00")])
-    streams.upsert_stream(streams.file_stream(spark, src, EVENTS), out, cp, ["k"], ["seq"]).awaitTermination()
-    schema = spark.read.parquet(src).schema
-    assert rows(streams.current(spark, out, schema).select("k", "v")) == [(1, "c"), (2, "d")]
-    # A repeated batch has the same effect.
-    batch = spark.read.parquet(src).where("seq = 3 or k = 2")
-    streams.upsert_batches(out, ["k"], ["seq"])(batch, streams.versions(spark, out)[-1])
-    assert rows(streams.current(spark, out, schema).select("k", "v")) == [(1, "c"), (2, "d")]
+    batches = [[(1, 5, "late", "2024-01-01 00:00:00"), (1, 2, "b", "2024-01-01 00:00:00")], [(1, 3, "c", "2024-01-02 00:00:00"), (2, 1, "d", "2024-01-02 00:00:00")], [(2, 1, "same", "2024-01-03 00:00:00"), (3, None, "n", "2024-01-03 00:00:00")]]
+    for data in batches:  # an older row never replaces a newer one, whatever batch it is in
+        put(spark, src, data)
+        streams.upsert_stream(streams.file_stream(spark, src, EVENTS), out, cp, ["k"], ["seq"]).awaitTermination()
+    want = [(1, "late"), (2, "d"), (3, "n")]
+    assert rows(streams.current(spark, out).select("k", "v")) == want
+    again = spark.read.parquet(src)
+    for number in (0, 2):  # repeated batches
+        streams.upsert_batches(out, ["k"], ["seq"])(again.withColumn("v", F.lit("wrong")).withColumn("seq", F.lit(9).cast("long")), number)
+    assert rows(streams.current(spark, out).select("k", "v")) == want
+    assert streams.current(spark, str(tmp_path / "none"), again.schema).count() == 0
 
 
 def test_windows_agree_with_batch(spark, tmp_path):

@@ -1,7 +1,7 @@
 """Idempotent upserts and merges as joins.
 
 Plain Parquet takes no MERGE: the result is a new DataFrame, to be written to a new place (or,
-by partition, with replace_partitions) and swapped in.
+by partition, with replace_partitions) and swapped in, as sources/snapshots.py does it.
 """
 
 from __future__ import annotations
@@ -31,13 +31,14 @@ def _checked(target: DataFrame, rows: DataFrame, keys: Sequence[str], updates: S
     return updates
 
 
-def upsert(target: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column] | None = None, updates: Sequence[str] | None = None, require_keys: bool = True) -> DataFrame:
+def upsert(target: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column] | None = None, updates: Sequence[str] | None = None, require_keys: bool = True, newest: Sequence[str] = ()) -> DataFrame:
     """target with rows merged in by keys.
 
     Of rows with equal keys the last by `order` counts (without an order they must be unique).
     Matched keys take the update columns (all others by default; with [] they stay), columns that
     the input lacks keep the target's values, new keys come in with nulls there.  Null keys are
-    an error, raised when the result is computed.
+    an error, raised when the result is computed.  With `newest`, columns of both, a stored row that
+    isn't before the new one by them (nulls first) stays as it is.
     """
     new = keep_last(rows, keys, order) if order else rows
     # Columns that only order the input aren't the target's.
@@ -49,12 +50,15 @@ def upsert(target: DataFrame, rows: DataFrame, keys: Sequence[str], order: Seque
     n = new.select(*[F.col(c).alias(f"__n_{c}") for c in own], F.lit(True).alias("__new"))
     t = target.withColumn("__old", F.lit(True))
     joined = t.join(n, [F.col(k) == F.col(f"__n_{k}") for k in keys], "full_outer")
+    takes = F.col("__new")
+    if newest:
+        takes = takes & (F.col("__old").isNull() | (F.struct(*[F.col(f"__n_{c}").alias(c) for c in newest]) > F.struct(*newest)))
     out = []
     for c in target.columns:
         if c in keys:
             value = F.coalesce(F.col(c), F.col(f"__n_{c}"))
         elif c in updates:
-            value = F.when(F.col("__new"), F.col(f"__n_{c}")).otherwise(F.col(c))
+            value = F.when(takes, F.col(f"__n_{c}")).otherwise(F.col(c))
         elif c in own:
             value = F.when(F.col("__old"), F.col(c)).otherwise(F.col(f"__n_{c}"))
         else:

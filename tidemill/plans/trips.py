@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregate as agg
 from ..operators import conform, quality
-from ..operators.upsert import upsert
 from ..sources import files, runs, sinks
 from ..sources.scratch import scratch_path
 from ..streaming import streams
@@ -107,7 +106,7 @@ def _(t: Tables) -> DataFrame:
     path, o = f"{scratch(t)}/orders.pq", t.orders.select("o_orderkey", "o_orderstatus")
     sinks.replace_dataset(o, path)
     sinks.replace_dataset(o.where("o_orderstatus = 'O'"), path)
-    return t.spark.read.parquet(path)
+    return sinks.read_dataset(t.spark, path)
 
 
 def _published(t: Tables) -> tuple[str, str]:
@@ -251,11 +250,14 @@ def _(t: Tables) -> DataFrame:
 
 @query("r2_streaming_upsert", "select user_id, arg_max(event_type, event_id) as event_type, max(event_id) as event_id from events group by 1")
 def _(t: Tables) -> DataFrame:
+    """Batches come out of order, a file each, and one of them twice; the stream's own table is the result."""
     root, e = scratch(t), t.events.select("user_id", "event_type", "event_id")
-    for k in (1, 0):
-        e.where(F.col("event_id") % 2 == k).write.mode("append").parquet(f"{root}/in")
-        streams.upsert_stream(streams.file_stream(t.spark, f"{root}/in", e.schema), f"{root}/out", f"{root}/check", ["user_id"], ["event_id"]).awaitTermination()
-    return upsert(streams.current(t.spark, f"{root}/out", e.schema), e, ["user_id"], ["event_id"])
+    own, args = e.schema, (["user_id"], ["event_id"])
+    for k in (1, 0, 2):
+        e.where(F.col("event_id") % 3 == k).repartition(2, "event_id").write.mode("append").parquet(f"{root}/in")
+        streams.upsert_stream(streams.file_stream(t.spark, f"{root}/in", own, files_a_batch=1), f"{root}/out", f"{root}/check", *args).awaitTermination()
+    streams.upsert_batches(f"{root}/out", *args)(e.where(F.col("event_id") % 3 == 1), 0)
+    return streams.current(t.spark, f"{root}/out")
 
 
 query(

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import table_fingerprint
+from .snapshots import Snapshots
 
 # Layer names, and the names that are safe in paths (at most 128 characters).
 LAYERS = ("bronze", "silver", "gold")
@@ -41,29 +41,23 @@ def _paths(spark: SparkSession, *names: str):
     return paths[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), paths
 
 
-def replace_dataset(df: DataFrame, path: str) -> None:
-    """Replace a dataset as a whole (CSV or Parquet by its name): it is written beside the old one,
-    which stays until the new one is complete and stays for good if writing fails."""
+def _dataset(spark: SparkSession, path: str) -> Snapshots:
     kind = FORMATS.get(path.rstrip("/").rpartition(".")[2].lower())
     if kind is None:
         raise ValueError(f"{path} ends in none of {tuple(FORMATS)}")
-    spark, new, old = df.sparkSession, f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    fs, (p_new, p_old, p) = _paths(spark, new, old, path)
-    try:
-        df.write.option("header", True).format(kind).save(new)
-    except BaseException:
-        fs.delete(p_new, True)
-        raise
-    # File systems swap no folders: for the time between two renames readers find none, and both are looked at.
-    moved = fs.exists(p)
-    if moved and not fs.rename(p, p_old):
-        fs.delete(p_new, True)
-        raise OSError(f"can't move the old dataset from {path}")
-    if not fs.rename(p_new, p):
-        if moved and not fs.rename(p_old, p):
-            raise OSError(f"can't move the new dataset to {path}; the old one is at {old}, the new one at {new}")
-        raise OSError(f"can't move the new dataset to {path}; it is at {new}")
-    fs.delete(p_old, True)
+    return Snapshots(spark, path, kind)
+
+
+def replace_dataset(df: DataFrame, path: str) -> None:
+    """Replace a dataset as a whole (CSV or Parquet by its name).  A snapshot file points to the new data
+    when they are complete: readers (read_dataset) find the old or the new ones at any moment, and the
+    old ones stay if writing fails."""
+    _dataset(df.sparkSession, path).replace(df)
+
+
+def read_dataset(spark: SparkSession, path: str) -> DataFrame:
+    """A dataset that replace_dataset has written, as it is now."""
+    return _dataset(spark, path).read()
 
 
 def publish_layer(df: DataFrame, root: str, layer: str, dataset: str, run_id: str, ingestion_date: str, kind: str = "parquet", source_uri: str = "", source_checksum: str = "", schema_version: str = "1") -> str:

@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.upsert import upsert
-from ..sources.sinks import _paths
+from ..sources.snapshots import Snapshots
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType | str, kind: str = "parquet", files_a_batch: int = 1000) -> DataFrame:
@@ -27,35 +26,24 @@ def ingest(stream: DataFrame, out: str, checkpoint: str, partitions: Sequence[st
     return (writer.partitionBy(*partitions) if partitions else writer).start(out)
 
 
-def versions(spark: SparkSession, root: str) -> list[int]:
-    """Complete versions of a dataset that upsert_stream keeps."""
-    fs, (p,) = _paths(spark, root)
-    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-    done = [int(n[8:]) for n in names if n.startswith("version=")]
-    return sorted(v for v in done if fs.exists(_paths(spark, f"{root}/version={v}/_SUCCESS")[1][0]))
+def current(spark: SparkSession, root: str, schema: StructType | None = None) -> DataFrame:
+    """The rows of an upserted dataset as they are now; no rows before its first batch."""
+    return Snapshots(spark, root).read(schema=schema)
 
 
-def current(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
-    """The last complete version, or no rows."""
-    all_ = versions(spark, root)
-    return spark.read.schema(schema).parquet(f"{root}/version={all_[-1]}") if all_ else spark.createDataFrame([], schema)
-
-
-def upsert_batches(root: str, keys: Sequence[str], order: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: batch n makes version n from the version before it.  A repeated batch
-    overwrites its own version from the same base, so it has the same effect."""
+def upsert_batches(root: str, keys: Sequence[str], order: Sequence[str], name: str = "stream", parts: int = 16) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that merges batches into a dataset by snapshots.  Of a key's rows in any
+    batch the last by `order` stays; a batch that is repeated after a failure is left out by its number,
+    which the snapshot holds; other parts of the dataset than those of the batch's keys aren't touched."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = [v for v in versions(spark, root) if v < batch_id]
-        base = spark.read.schema(batch.schema).parquet(f"{root}/version={before[-1]}") if before else spark.createDataFrame([], batch.schema)
-        upsert(base, batch, keys, order).write.mode("overwrite").parquet(f"{root}/version={batch_id}")
+        Snapshots(batch.sparkSession, root).upsert(batch, keys, order, parts, (name, batch_id))
 
     return step
 
 
-def upsert_stream(stream: DataFrame, root: str, checkpoint: str, keys: Sequence[str], order: Sequence[str]) -> StreamingQuery:
-    return stream.writeStream.foreachBatch(upsert_batches(root, keys, order)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def upsert_stream(stream: DataFrame, root: str, checkpoint: str, keys: Sequence[str], order: Sequence[str], name: str = "stream", parts: int = 16) -> StreamingQuery:
+    return stream.writeStream.foreachBatch(upsert_batches(root, keys, order, name, parts)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def window_stream(windows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
