@@ -232,3 +232,49 @@ def test_ledger_rules(spark, ledger):
     _, bad = split_rows(spark.createDataFrame([(7, -2)], "order_id int, amount int"), {"INVALID_AMOUNT": F.col("amount") >= 0})
     ledger.quarantine_rows(r, "d", "u", bad)
     assert rows(ledger.table("quarantine").select("reason", "payload")) == [("INVALID_AMOUNT", '{"order_id":7,"amount":-2}')]
+
+
+def test_of_two_racing_runs_one_commits(spark, tmp_path):
+    control, gate = str(tmp_path / "control"), threading.Barrier(2)
+    ledgers = [runs.Ledger(spark, control, every=4) for _ in range(2)]
+
+    def one(ledger):
+        def transform(df):
+            gate.wait()  # both have started before either commits
+            return df
+
+        return runs.execute(ledger, "orders", "in.csv", "c1", lambda: spark.range(3), transform, str(tmp_path / "lake"), "2026-10-31", "v1")
+
+    with ThreadPoolExecutor(2) as pool:
+        got = list(pool.map(one, ledgers))
+    assert sum(r is not None for r in got) == 1
+    assert rows(runs.outcomes(ledgers[0].table("runs")).select("status", "runs")) == [("failed", 1), ("succeeded", 1)]
+    assert runs.checkpoints(ledgers[1].table("runs")).first()["run_id"] == next(r for r in got if r)
+    assert run(ledgers[0], tmp_path, spark.range(3), checksum="c1", version="v1") is None
+
+
+def test_ledger_folds_its_entries(spark, tmp_path):
+    """Concurrent writers lose nothing; entries become Parquet files, and old ones go."""
+    control = str(tmp_path / "control")
+    with ThreadPoolExecutor(3) as pool:
+        keys = list(pool.map(lambda k: runs.Ledger(spark, control, every=5).quarantine("r", f"d{k}", "u", "BAD", str(k)), range(23)))
+    ledger = runs.Ledger(spark, control, every=5)
+    found = ledger.table("quarantine")
+    assert rows(found.select("dataset", "payload")) == sorted((f"d{k}", str(k)) for k in range(23)) and sorted(r["id"] for r in found.collect()) == sorted(keys)
+    assert sorted(r["seq"] for r in found.collect()) == list(range(1, 24))
+    log = snapshots.names(spark, f"{control}/_log")
+    assert [n for n in log if "checkpoint" in n] == [f"{n:020d}.checkpoint.json" for n in (15, 20)] and [n for n in log if "checkpoint" not in n] == [f"{n:020d}.json" for n in range(16, 24)]
+    r = ledger.start("d", "u", "c", None)
+    for k in range(8):
+        ledger.link(r, f"p{k}", f"p{k + 1}", k=k)
+    ledger.finish(r, 5, 4, 1, files_processed=2)
+    assert ledger.run(r)["files_processed"] == 2 and ledger.table("lineage").count() == 8
+
+
+@pytest.mark.parametrize("cycle", [False, True])
+def test_lineage_of_any_depth(spark, cycle):
+    edges = [(f"n{k + 1}", f"n{k}") for k in range(40)] + [("side", "n20"), ("x", "y")] + ([("n0", "n40")] if cycle else [])
+    found = runs.trace(spark.createDataFrame(edges + edges[:3], "parent string, child string"), "n0")
+    want = [(f"n{k + 1}", f"n{k}", k + 1) for k in range(40)] + [("side", "n20", 21)] + ([("n0", "n40", 41)] if cycle else [])
+    assert rows(found) == sorted(want, key=lambda r: tuple((x is None, str(x)) for x in r))
+    assert runs.trace(spark.createDataFrame(edges, "parent string, child string"), "nobody").count() == 0

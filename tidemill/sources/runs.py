@@ -1,7 +1,8 @@
 """Incremental runs on tables: ledger, checkpoints, lineage, quarantine, replay.
 
-All control tables are append-only; the state of a thing is its latest event.  One writer a
-dataset is assumed.  The last write of a run is its success event, which is its commit.
+All control tables are append-only; the state of a thing is its latest event.  The last write of a run
+is its success event, which is its commit.  Writers race for the ledger's next number: of two runs over
+one source one commits.
 """
 
 from __future__ import annotations
@@ -9,20 +10,24 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import json
+import re
 import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, TimestampType
 
 from ..operators.quality import QualityError
 from .files import SourceError
-from .sinks import publish_layer
+from .scratch import staged
+from .sinks import publish_layer, read_manifests
+from .snapshots import names, put_if_absent, read_text, remove
 
 SCHEMAS = {
-    "runs": "run_id string, dataset string, source_uri string, source_checksum string, version string, status string, at timestamp, rows_in long, rows_out long, rows_rejected long, error string",
-    "lineage": "run_id string, parent string, child string, details string, at timestamp",
-    "quarantine": "id string, run_id string, dataset string, source_uri string, reason string, payload string, status string, replay_run_id string, at timestamp",
+    "runs": "run_id string, dataset string, source_uri string, source_checksum string, version string, status string, at timestamp, rows_in long, rows_out long, rows_rejected long, error string, files_processed long, files_failed long, rows_transformed long, seq long",
+    "lineage": "run_id string, parent string, child string, details string, at timestamp, seq long",
+    "quarantine": "id string, run_id string, dataset string, source_uri string, reason string, payload string, status string, replay_run_id string, at timestamp, seq long",
 }
 
 
@@ -69,16 +74,16 @@ def durations(runs: DataFrame) -> DataFrame:
     return each.groupBy("dataset").agg(F.count(F.lit(1)).alias("runs"), F.percentile("s", 0.5).alias("p50"), F.percentile("s", 0.95).alias("p95"), F.max("s").alias("longest"))
 
 
-def trace(lineage: DataFrame, child: str, depth: int = 10) -> DataFrame:
-    """(parent, child, level) of all that a dataset comes from, up to a depth."""
-    edges = lineage.select("parent", "child").distinct()
-    found = edges.where(F.col("child") == child).withColumn("level", F.lit(1))
-    step = found
-    for level in range(2, depth + 1):
+def trace(lineage: DataFrame, child: str) -> DataFrame:
+    """(parent, child, level) of all that a dataset comes from.  Each level joins the parents that the one
+    before has found, until none is new; an edge counts at its first level, so cycles end."""
+    edges = staged(lineage.select("parent", "child").distinct())
+    step = staged(edges.where(F.col("child") == child).withColumn("level", F.lit(1)))
+    found, level = step, 1
+    while not step.isEmpty():
+        level += 1
         ups = step.select(F.col("parent").alias("child")).distinct()
-        step = edges.join(ups, "child").select("parent", "child").join(found.select("parent", "child"), ["parent", "child"], "left_anti").withColumn("level", F.lit(level))
-        if step.isEmpty():
-            break
+        step = staged(edges.join(ups, "child").select("parent", "child").join(found.select("parent", "child"), ["parent", "child"], "left_anti").withColumn("level", F.lit(level)))
         found = found.unionByName(step)
     return found
 
@@ -107,23 +112,90 @@ def version_of(contract: object, required: Iterable[str], transform_version: str
     return hashlib.sha256(json.dumps([contract, sorted(required), transform_version], sort_keys=True, default=str).encode()).hexdigest()
 
 
-class Ledger:
-    """Control tables in a folder."""
+class RunConflict(RuntimeError):
+    """Another run has committed the same source since this one started."""
+
+
+_ENTRY, _CHECKPOINT = re.compile(r"([0-9]{20})\.json"), re.compile(r"([0-9]{20})\.checkpoint\.json")
 
-    def __init__(self, spark: SparkSession, root: str, clock: Callable[[], dt.datetime] = lambda: dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)):
-        self.spark, self.root, self.clock = spark, root, clock
+
+class Ledger:
+    """Control tables in a folder, as a log of numbered entries that are put in place only if no other
+    writer has put that number there.  Every `every` entries are folded into Parquet files that a checkpoint
+    lists, so that a table is the checkpoint's files and the few entries behind it."""
+
+    def __init__(self, spark: SparkSession, root: str, clock: Callable[[], dt.datetime] = lambda: dt.datetime.now(dt.timezone.utc).replace(tzinfo=None), every: int = 50):
+        self.spark, self.root, self.clock, self.every = spark, root, clock, every
+
+    def _path(self, n: int, kind: str = "json") -> str:
+        return f"{self.root}/_log/{n:020d}.{kind}"
+
+    def _state(self) -> tuple[int, int, dict[str, list[str]], list[dict]]:
+        """(last number, checkpoint's number, files by table, entries' rows behind the checkpoint)."""
+        while True:
+            found = names(self.spark, f"{self.root}/_log")
+            marks = [int(m[1]) for m in map(_CHECKPOINT.fullmatch, found) if m]
+            base = max(marks, default=0)
+            tail = sorted(n for n in (int(m[1]) for m in map(_ENTRY.fullmatch, found) if m) if n > base)
+            texts = [read_text(self.spark, self._path(base, "checkpoint.json")) if base else "{}"] + [read_text(self.spark, self._path(n)) for n in tail]
+            if None in texts:
+                continue  # folded meanwhile
+            files, rows = json.loads(texts[0]), []
+            for n, text in zip(tail, texts[1:]):
+                entry = json.loads(text)
+                rows += [{**r, "seq": n} for r in entry["rows"]]
+                for table, new in entry["files"].items():
+                    files[table] = [*files.get(table, []), *new]
+            return max([base, *tail]), base, files, rows
+
+    def _frame(self, name: str, rows: list[dict]) -> DataFrame:
+        schema = StructType.fromDDL(SCHEMAS[name])
+        value = lambda r, f: dt.datetime.fromisoformat(r[f.name]) if isinstance(f.dataType, TimestampType) and r.get(f.name) else r.get(f.name)
+        return self.spark.createDataFrame([tuple(value(r, f) for f in schema) for r in rows if r["table"] == name], schema)
 
     def table(self, name: str) -> DataFrame:
-        # The folder may not be there yet: the first append makes it.
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        if not p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}")
+        _, _, files, rows = self._state()
+        own = self._frame(name, rows)
+        if not files.get(name):
+            return own
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.root}/{f}" for f in files[name]]).unionByName(own)
+
+    def commit(self, make: Callable[[], list[dict]], files: dict[str, list[str]] | None = None) -> int:
+        """Put the rows that make() gives, and files of rows, under the next number.  make() checks what it
+        needs; when another writer has taken the number, it is asked again."""
+        while True:
+            n, _, _, _ = self._state()
+            entry = {"rows": [{k: v.isoformat() if isinstance(v, dt.datetime) else v for k, v in r.items()} for r in make()], "files": files or {}}
+            if put_if_absent(self.spark, self._path(n + 1), json.dumps(entry)):
+                if self._state()[1] > n + 1:  # this writer has slept while its number was folded away
+                    remove(self.spark, self._path(n + 1))
+                    continue
+                if (n + 1) % self.every == 0:
+                    self._fold()
+                return n + 1
+
+    def _fold(self) -> None:
+        """Fold the entries into a checkpoint; the entries of the one before go."""
+        n, base, files, rows = self._state()
+        out = {}
+        for name in SCHEMAS:
+            own, new = files.get(name, []), [r for r in rows if r["table"] == name]
+            if new:
+                path = f"{name}/{uuid.uuid4().hex}"
+                df = self._frame(name, new)
+                if len(own) >= 16:  # few large files in place of many small ones
+                    df, own = self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.root}/{f}" for f in own]).unionByName(df), []
+                df.coalesce(1 if own else 8).write.parquet(f"{self.root}/{path}")
+                own = [*own, path]
+            out[name] = own
+        if put_if_absent(self.spark, self._path(n, "checkpoint.json"), json.dumps(out)):
+            for name in names(self.spark, f"{self.root}/_log"):
+                m = _ENTRY.fullmatch(name) or _CHECKPOINT.fullmatch(name)
+                if m and int(m[1]) < base or _ENTRY.fullmatch(name) and int(m[1]) <= base:
+                    remove(self.spark, f"{self.root}/_log/{name}")
 
     def append(self, name: str, **row) -> None:
-        columns = [c.split(" ")[0] for c in SCHEMAS[name].split(", ")]
-        self.spark.createDataFrame([tuple(row.get(c) for c in columns)], SCHEMAS[name]).coalesce(1).write.mode("append").parquet(f"{self.root}/{name}")
+        self.commit(lambda: [{"table": name, **row}])
 
     def run(self, run_id: str) -> dict | None:
         r = latest(self.table("runs").where(F.col("run_id") == run_id), ["run_id"]).first()
@@ -131,24 +203,38 @@ class Ledger:
 
     def start(self, dataset: str, source_uri: str, checksum: str, version: str | None, run_id: str | None = None) -> str:
         run_id = run_id or uuid.uuid4().hex
-        if self.run(run_id):
-            raise ValueError(f"run {run_id} exists")
-        self.append("runs", run_id=run_id, dataset=dataset, source_uri=source_uri, source_checksum=checksum, version=version, status="running", at=self.clock())
+
+        def make():
+            if self.run(run_id):
+                raise ValueError(f"run {run_id} exists")
+            return [{"table": "runs", "run_id": run_id, "dataset": dataset, "source_uri": source_uri, "source_checksum": checksum, "version": version, "status": "running", "at": self.clock()}]
+
+        self.commit(make)
         return run_id
 
     def _end(self, run_id: str, **more) -> None:
-        own = self.run(run_id)
-        if own is None or own["status"] != "running":
-            raise ValueError(f"run {run_id} isn't running")
-        self.append("runs", **{**own, "at": self.clock(), **more})
-
-    def finish(self, run_id: str, rows_in: int, rows_out: int, rows_rejected: int = 0) -> None:
-        if min(rows_in, rows_out, rows_rejected) < 0:
+        def make():
+            runs = self.table("runs")
+            own = latest(runs.where(F.col("run_id") == run_id), ["run_id"]).first()
+            if own is None or own["status"] != "running":
+                raise ValueError(f"run {run_id} isn't running")
+            if more["status"] == "succeeded":
+                same = [F.col(c).eqNullSafe(F.lit(own[c])) for c in ("dataset", "source_uri", "source_checksum", "version")]
+                other = runs.where((F.col("status") == "succeeded") & (F.col("seq") > own["seq"])).where(same[0] & same[1] & same[2] & same[3]).first()
+                if other:
+                    raise RunConflict(f"run {other['run_id']} has committed the source of run {run_id}")
+            return [{"table": "runs", **own.asDict(), "at": self.clock(), **more}]
+
+        self.commit(make)
+
+    def finish(self, run_id: str, rows_in: int, rows_out: int, rows_rejected: int = 0, **counts: int) -> None:
+        """Commit a run.  If another run has committed the same source since this one started, it is a RunConflict."""
+        if min(rows_in, rows_out, rows_rejected, *counts.values()) < 0:
             raise ValueError("counts can't be negative")
-        self._end(run_id, status="succeeded", rows_in=rows_in, rows_out=rows_out, rows_rejected=rows_rejected)
+        self._end(run_id, status="succeeded", rows_in=rows_in, rows_out=rows_out, rows_rejected=rows_rejected, **counts)
 
-    def fail(self, run_id: str, error: str) -> None:
-        self._end(run_id, status="failed", error=error)
+    def fail(self, run_id: str, error: str, **counts: int) -> None:
+        self._end(run_id, status="failed", error=error, **counts)
 
     def link(self, run_id: str, parent: str, child: str, **details) -> None:
         self.append("lineage", run_id=run_id, parent=parent, child=child, details=json.dumps(details, sort_keys=True), at=self.clock())
@@ -163,19 +249,25 @@ class Ledger:
         own = rejected.select(
             F.sha2(F.concat(F.lit(run_id), F.to_json(F.struct(*rejected.columns)), F.monotonically_increasing_id().cast("string")), 256).alias("id"), F.lit(run_id).alias("run_id"), F.lit(dataset).alias("dataset"),
             F.lit(source_uri).alias("source_uri"), F.array_join("reasons", ",").alias("reason"), F.to_json(F.struct(*[c for c in rejected.columns if c != "reasons"])).alias("payload"),
-            F.lit("pending").alias("status"), F.lit(None).cast("string").alias("replay_run_id"), F.lit(self.clock()).cast("timestamp").alias("at"),
+            F.lit("pending").alias("status"), F.lit(None).cast("string").alias("replay_run_id"), F.lit(self.clock()).cast("timestamp").alias("at"), F.lit(None).cast("long").alias("seq"),
         )
-        own.write.mode("append").parquet(f"{self.root}/quarantine")
+        path = f"quarantine/{uuid.uuid4().hex}"
+        own.write.parquet(f"{self.root}/{path}")
+        self.commit(list, {"quarantine": [path]})
 
     def mark_replayed(self, key: str, run_id: str) -> None:
         """Close a pending entry by a later succeeded run of its dataset."""
-        entry = latest(self.table("quarantine").where(F.col("id") == key), ["id"]).first()
-        run = self.run(run_id)
-        if entry is None or entry["status"] != "pending":
-            raise ValueError(f"{key} isn't pending")
-        if run is None or run["status"] != "succeeded" or run["dataset"] != entry["dataset"] or run["at"] < entry["at"]:
-            raise ValueError(f"run {run_id} can't close {key}")
-        self.append("quarantine", **{**entry.asDict(), "status": "replayed", "replay_run_id": run_id, "at": self.clock()})
+
+        def make():
+            entry = latest(self.table("quarantine").where(F.col("id") == key), ["id"]).first()
+            run = self.run(run_id)
+            if entry is None or entry["status"] != "pending":
+                raise ValueError(f"{key} isn't pending")
+            if run is None or run["status"] != "succeeded" or run["dataset"] != entry["dataset"] or run["at"] < entry["at"]:
+                raise ValueError(f"run {run_id} can't close {key}")
+            return [{"table": "quarantine", **entry.asDict(), "status": "replayed", "replay_run_id": run_id, "at": self.clock()}]
+
+        self.commit(make)
 
 
 def execute(
@@ -184,8 +276,9 @@ def execute(
 ) -> str | None:
     """One layered run: extract, check, transform, check, bronze, silver, gold, sink, commit.
 
-    Returns the run's id, or None if a committed run covers the source.  Quality failures and
-    extraction failures go to quarantine too; all failures end the run as failed and are raised.
+    Returns the run's id, or None if a committed run covers the source, also one that has overtaken this
+    one.  Quality failures and extraction failures go to quarantine too; all failures end the run as
+    failed and are raised.
     """
     spark = ledger.spark
     own = spark.createDataFrame([(dataset, source_uri, checksum, version)], "dataset string, source_uri string, source_checksum string, version string")
@@ -209,9 +302,12 @@ def execute(
                 out = spark.read.schema(df.schema).parquet(path)
         if sink:
             sink(out)
-        rows = {r["layer"]: r["row_count"] for r in spark.read.parquet(f"{layer_root}/_manifests").where((F.col("run_id") == run_id) & (F.col("dataset") == dataset)).collect()}
+        rows = {r["layer"]: r["row_count"] for r in read_manifests(spark, layer_root).where((F.col("run_id") == run_id) & (F.col("dataset") == dataset)).collect()}
         ledger.finish(run_id, rows["bronze"], rows.get("gold", rows["silver"]))
         return run_id
+    except RunConflict as e:
+        ledger.fail(run_id, str(e))
+        return None
     except Exception as e:
         if isinstance(e, QualityError):
             ledger.quarantine(run_id, dataset, source_uri, "DATA_QUALITY_FAILURE", str(e))

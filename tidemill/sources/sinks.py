@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,12 +83,13 @@ def publish_layer(df: DataFrame, root: str, layer: str, dataset: str, run_id: st
         F.col("rows").alias("row_count"), F.array(*[F.lit(c) for c in df.columns]).alias("column_names"), "fingerprint", F.lit(source_uri).alias("source_uri"),
         F.lit(source_checksum).alias("source_checksum"), F.lit(schema_version).alias("schema_version"),
     )
-    facts.coalesce(1).write.mode("append").parquet(f"{root}/_manifests")
+    # A folder each: writers that append to one folder at the same time disturb one another.
+    facts.coalesce(1).write.parquet(f"{root}/_manifests/{uuid.uuid4().hex}")
     return path
 
 
 def read_manifests(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/_manifests")
+    return spark.read.option("recursiveFileLookup", True).parquet(f"{root}/_manifests")
 
 
 def load_table(df: DataFrame, table: str, mode: str = "append", url: str | None = None, batch: int = 10_000, **options: str) -> int:
