@@ -64,14 +64,6 @@ def test_calendar_comparison(spark):
     assert [r[0] for r in got] == [50.0, None] and commerce.monthly_revenue(o, i, "F").where("yoy_growth_pct is not null").isEmpty()
 
 
-def test_fifths_match_ntile(spark):
-    from pyspark.sql import Window
-
-    df = spark.range(23).select(F.col("id").alias("customer_id"), (F.col("id") % 4).alias("x"))
-    want = df.withColumn("n", F.ntile(5).over(Window.orderBy("x", "customer_id"))).select("customer_id", "n")
-    assert rows(commerce.fifths(df, "n", F.col("x"))) == rows(want)
-
-
 def test_shares_sum_to_100(spark):
     t = Tables(spark, FOLDER)
     seg = commerce.rfm_segments(t.dim_customers(), t.fact_orders(), t.fact_order_items(), "2002-01-01", "F")
@@ -86,7 +78,21 @@ def test_sample_is_repeatable(spark):
 def test_quantile_cuts(spark):
     df = spark.range(1001)
     low, high = agg.quantile_cuts(df, "id")
-    assert abs(low - 330) <= 20 and abs(high - 670) <= 20 and agg.quantile_cuts(df, "id", error=None) == [330.0, 670.0]
+    assert abs(low - 330) <= 20 and abs(high - 670) <= 20 and agg.quantile_cuts(df, "id", exact=True) == [330.0, 670.0]
+    assert agg.quantile_cuts(df.where("false"), "id") == [None, None] and agg.quantile_cuts(df.where("false"), "id", exact=True) == [None, None]
+
+
+def test_sketches_merge(spark, tmp_path):
+    """A new day is merged with kept ones; nulls don't count, a group without values has no quantiles."""
+    df = spark.range(40_000).select((F.col("id") % 8).alias("day"), F.when(F.col("id") % 5 > 0, (F.col("id") * 7919) % 40_009).alias("v")).unionByName(spark.createDataFrame([(9, None)], "day long, v long"))
+    for day in (F.col("day") < 7, F.col("day") >= 7):
+        agg.quantile_sketches(df.where(day), "v", ["day"]).write.mode("append").parquet(str(tmp_path / "s"))
+    kept = spark.read.parquet(str(tmp_path / "s"))
+    q = agg.sketch_quantiles(agg.merged_sketches(kept), {"p10": 0.1, "p99": 0.99}).first()
+    assert q["n"] == 32_000
+    for name, share in (("p10", 0.1), ("p99", 0.99)):
+        assert abs(df.where(F.col("v") <= q[name]).count() / 32_000 - share) < 0.01
+    assert rows(agg.sketch_quantiles(kept.where("day = 9"), {"p50": 0.5}, ["day"])) == [(9, 0, None)]
 
 
 def test_build_star(spark, tmp_path):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
+from .ordered import percentiles
 
 FUNCTIONS = {"sum": F.sum, "avg": F.avg, "count": F.count, "min": F.min, "max": F.max}
 
@@ -57,8 +58,29 @@ def with_total(df: DataFrame, value: str, name: str = "total") -> DataFrame:
     return df.join(F.broadcast(df.agg(F.sum(value).alias(name))))
 
 
-def quantile_cuts(df: DataFrame, c: str, at: Sequence[float] = (0.33, 0.67), error: float | None = 0.01) -> list[float]:
-    """Cut points, approximate with an error, or exact if error is None."""
-    if error is not None:
-        return df.approxQuantile(c, list(at), error)
-    return list(df.agg(F.percentile(c, F.array(*[F.lit(x) for x in at])).alias("p")).first()["p"])
+#: Accuracy of quantile sketches: ranks are within 1 % at 200 (with a probability of 99 %), 0.3 % at 800.
+SKETCH = 800
+
+
+def quantile_sketches(df: DataFrame, c: str, by: Sequence[str] = (), k: int = SKETCH) -> DataFrame:
+    """(*by, sketch): a KLL sketch of a column for each group, of some KB whatever its rows, nulls aside.  To be kept by day, say."""
+    return df.groupBy(*by).agg(F.kll_sketch_agg_double(F.col(c).cast("double"), F.lit(k)).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(*by, sketch) of coarser groups, from sketches alone: the rows behind them aren't read again."""
+    return sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, at: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """(*by, n, names of at): row counts and approximate quantiles; null where a group has no values."""
+    n = F.kll_sketch_get_n_double("sketch")
+    q = lambda x: F.when(n > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(float(x))))
+    return sketches.select(*by, n.alias("n"), *[q(x).alias(name) for name, x in at.items()])
+
+
+def quantile_cuts(df: DataFrame, c: str, at: Sequence[float] = (0.33, 0.67), exact: bool = False) -> list[float]:
+    """Cut points of a column: from a sketch of one pass, or exact."""
+    names = {f"q{i}": x for i, x in enumerate(at)}
+    found = (percentiles(df, c, names) if exact else sketch_quantiles(quantile_sketches(df, c), names)).first()
+    return [found[n] if found else None for n in names]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import safe_ratio, whole_days_between
 from ..operators.aggregate import with_total
+from ..operators.ordered import ordered, percentiles, tile
 from ..sources.scratch import staged
 
 DELIVERED = "delivered"
@@ -73,29 +74,15 @@ def customer_metrics(customers: DataFrame, orders: DataFrame, items: DataFrame,
 def with_fifths(df: DataFrame, key: str, orders: dict[str, Column]) -> DataFrame:
     """df (a row a key) with each name's fifth, 1 to 5, in the order of its column and then the key.
 
-    Every row stands once for each order; range partitions put all orders into one sequence, which is
-    written before sizes and places are read from it, so that both see the same borders.  A place is a
-    row's place in its partition and what lies before that: no order is sorted in a single task.
-    """
-    names, n = list(orders), F.count(F.lit(1))
-    marks = F.explode(F.array(*[F.lit(i) for i in range(len(names))]))
-    keys = [F.when(F.col("__which") == i, o).alias(f"__o{i}") for i, o in enumerate(orders.values())]
-    at = [F.col(f"__o{i}") for i in range(len(names))]
-    long = df.withColumn("__which", marks).select("*", *keys).repartitionByRange("__which", *at, key)
-    long = staged(long.withColumn("__p", F.spark_partition_id()))
-    sizes = long.groupBy("__which", "__p").agg(n.alias("__n"))  # a row or few a partition
-    whole = Window.partitionBy("__which")
-    before = F.coalesce(F.sum("__n").over(whole.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("__which", "__p", before.alias("__before"), F.sum("__n").over(whole).alias("__all"))
-    place = F.row_number().over(Window.partitionBy("__which", "__p").orderBy(*at, key)) - 1
-    placed = long.withColumn("__r", place).join(F.broadcast(sizes), ["__which", "__p"]).withColumn("__g", F.col("__before") + F.col("__r"))
-    # The first n mod 5 tiles hold one row more.
-    size, more = F.floor(F.col("__all") / 5), F.col("__all") % 5
-    big = more * (size + 1)
-    tile = F.when(F.col("__g") < big, F.floor(F.col("__g") / (size + 1))).otherwise(more + F.floor((F.col("__g") - big) / F.greatest(size, F.lit(1)))) + 1
-    own = [F.first(F.col(c)).alias(c) for c in df.columns if c != key]  # equal in all rows of a key
-    tiles = [F.max(F.when(F.col("__which") == i, tile)).cast("int").alias(name) for i, name in enumerate(names)]
-    return placed.groupBy(key).agg(*own, *tiles)
+    All orders are groups of one sequence of keys and order columns, which ordered() deals to range
+    partitions; df is written once, and the fifths are joined to it."""
+    names, df = list(orders), staged(df)
+    which = F.explode(F.array(*[F.lit(i) for i in range(len(names))]))
+    at = [F.when(F.col("__which") == i, o).alias(f"__a{i}") for i, o in enumerate(orders.values())]
+    long = df.withColumn("__which", which).select(key, "__which", *at)
+    placed = ordered(long, [f"__a{i}" for i in range(len(names))], ["__which"], [key])
+    tiles = placed.groupBy(key).agg(*[F.max(F.when(F.col("__which") == i, tile(5))).alias(name) for i, name in enumerate(names)])
+    return df.join(tiles, key)
 
 
 def rfm_segments(customers: DataFrame, orders: DataFrame, items: DataFrame, as_of, status: str = DELIVERED, best_is_high: bool = False) -> DataFrame:
@@ -122,15 +109,17 @@ def rfm_segments(customers: DataFrame, orders: DataFrame, items: DataFrame, as_o
 
 def delivery_by_state(orders: DataFrame, customers: DataFrame, items: DataFrame, status: str = DELIVERED, least_orders: int = 50, n: int = 30) -> DataFrame:
     o = orders.where(F.col("order_delivered_customer_date").isNotNull() & F.col("delivery_days").isNotNull())
-    by = _delivered(o, items, status).join(customers, "customer_id").groupBy("customer_state")
-    s = by.agg(
-        F.count_distinct("order_id").alias("total_orders"), F.count_distinct(F.when(F.col("is_delayed"), F.col("order_id"))).alias("delayed_orders"), F.avg("delivery_days").alias("a"),
-        F.percentile("delivery_days", F.array(F.lit(0.5), F.lit(0.95))).alias("q"), F.min("delivery_days").alias("min_delivery_days"), F.max("delivery_days").alias("max_delivery_days"),
-        F.sum("total_value").alias("t"), F.count_distinct("customer_id").alias("unique_customers"),
+    # A row an order first: an order has one state and one delivery, so only customers are counted distinctly.
+    each = _delivered(o, items, status).groupBy("order_id", "customer_id", "delivery_days", "is_delayed").agg(F.sum("total_value").alias("v"), F.count(F.lit(1)).alias("items"))
+    each = staged(each.join(customers, "customer_id").select("customer_state", "customer_id", "delivery_days", "is_delayed", "v", "items"))
+    s = each.groupBy("customer_state").agg(
+        F.count(F.lit(1)).alias("total_orders"), F.count_if("is_delayed").alias("delayed_orders"), (F.sum(F.col("delivery_days") * F.col("items")) / F.sum("items")).alias("a"),
+        F.min("delivery_days").alias("min_delivery_days"), F.max("delivery_days").alias("max_delivery_days"), F.sum("v").alias("t"), F.count_distinct("customer_id").alias("unique_customers"),
     ).where(F.col("total_orders") >= least_orders)
+    s = s.join(percentiles(each, "delivery_days", {"q50": 0.5, "q95": 0.95}, ["customer_state"], "items"), "customer_state")
     return s.orderBy(F.desc("t"), "customer_state").limit(n).select(
         "customer_state", "total_orders", "delayed_orders", F.round(safe_ratio(F.col("delayed_orders") * 100.0, F.col("total_orders")), 2).alias("delay_rate_pct"), F.round("a", 1).alias("avg_delivery_days"),
-        F.round(F.col("q")[0], 1).alias("median_delivery_days"), F.round(F.col("q")[1], 1).alias("p95_delivery_days"), "min_delivery_days", "max_delivery_days", money("t").alias("total_revenue"), "unique_customers",
+        F.round("q50", 1).alias("median_delivery_days"), F.round("q95", 1).alias("p95_delivery_days"), "min_delivery_days", "max_delivery_days", money("t").alias("total_revenue"), "unique_customers",
     )
 
 
@@ -141,15 +130,10 @@ def seller_ranking(sellers: DataFrame, orders: DataFrame, items: DataFrame, prod
         F.count_distinct("order_id").alias("total_orders"), F.count_distinct("customer_id").alias("unique_customers"), F.sum("total_value").alias("t"), F.sum("price").alias("p"), F.count(F.lit(1)).alias("n"),
         F.count_distinct("product_id").alias("unique_products_sold"), F.count_distinct("product_category_name").alias("category_diversity"), F.avg("delivery_days").alias("a"), F.sum(F.when(F.col("is_delayed"), 1).otherwise(0)).alias("late"),
     ).where(F.col("total_orders") >= least_orders)
-    # The first n by revenue, with those that equal the last of them, hold all that the windows over them need.
-    s = with_total(s, "t", "whole")
-    least = s.orderBy(F.desc("t"), "seller_id").limit(n).agg(F.min("t").alias("least"))
-    s = s.join(F.broadcast(least), F.col("t") >= F.col("least"))
-    running = Window.orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    s = s.withColumn("upto", F.sum("t").over(running)).withColumn("seller_rank", F.row_number().over(Window.orderBy(F.desc("t"), "seller_id")))
-    d = lambda x: F.col(x).cast("double")
-    return s.where(F.col("seller_rank") <= n).select(
-        F.col("seller_rank").cast("long").alias("seller_rank"), "seller_id", "seller_state", "total_orders", "unique_customers", money("t").alias("total_revenue"), F.round(d("t") * 100 / d("whole"), 4).alias("market_share_pct"),
-        F.round(d("upto") * 100 / d("whole"), 2).alias("cumulative_market_share_pct"), money(d("p") / F.col("n")).alias("avg_product_price"), "unique_products_sold", "category_diversity", F.round("a", 1).alias("avg_delivery_days"),
+    # One pass over the base: rank, running and whole revenue come from the ordered sellers, which are written once.
+    s, d = ordered(s, [-F.col("t")], (), ["seller_id"], "t"), lambda x: F.col(x).cast("double")
+    return s.where(F.col("__place") <= n).select(
+        F.col("__place").alias("seller_rank"), "seller_id", "seller_state", "total_orders", "unique_customers", money("t").alias("total_revenue"), F.round(d("t") * 100 / d("__total"), 4).alias("market_share_pct"),
+        F.round(d("__running") * 100 / d("__total"), 2).alias("cumulative_market_share_pct"), money(d("p") / F.col("n")).alias("avg_product_price"), "unique_products_sold", "category_diversity", F.round("a", 1).alias("avg_delivery_days"),
         F.round(safe_ratio(F.col("late") * 100.0, F.col("total_orders")), 2).alias("delay_rate_pct"), money(safe_ratio(d("t"), F.col("total_orders"))).alias("revenue_per_order"), money(safe_ratio(d("t"), F.col("unique_customers"))).alias("revenue_per_customer"),
     ).orderBy("seller_rank")

@@ -11,6 +11,7 @@ from ..functions import columns as fn
 from ..functions.naming import plain_names, snake_names
 from ..operators import aggregate as agg
 from ..operators import conform, dedupe, quality, upsert
+from ..operators.ordered import lagged, ordered, percent_rank, percentiles, tile
 from ..sources import files, runs
 from . import commerce, marts, sales, slo, star
 from .fixtures import AS_OF, Tables, sql
@@ -142,7 +143,6 @@ query(
 query(
     "c15_profile", "select count(*) as rows, 6 as columns, count(*) - count(nullif(o_orderpriority, '4-NOT SPECIFIED')) as missing_cells from orders",
 )(lambda t: agg.profile(t.orders.withColumn("o_orderpriority", F.nullif("o_orderpriority", F.lit("4-NOT SPECIFIED")))))
-query("c16_sampled_pairs")(lambda t: agg.sample(t.car_prices(), 1000, ["order_id", "line", "part", "seller", "sellingprice"]).select("mmr", "sellingprice", "condition"))
 
 # ---------------------------------------------------------------- sources and sinks
 
@@ -236,10 +236,14 @@ query(
 query("p11_price_tier", "select p_partkey, case when p_retailprice <= 1000 then 'Low' when p_retailprice <= 1500 then 'Medium' else 'High' end as tier from part")(lambda t: t.part.select("p_partkey", fn.price_tier("p_retailprice", 1000, 1500).alias("tier")))
 
 
-@query("p11_price_tier_approx")
+@query("p11_price_tier_cuts", "select tier, count(*) between n * (s - 0.02) and n * (s + 0.02) as near from (select unnest(['Low', 'Medium', 'High']) as tier, unnest([0.33, 0.34, 0.33]) as s), (select count(*) as n from part), part "
+       "where case when p_retailprice <= (select quantile_disc(p_retailprice, 0.33) from part) then 'Low' when p_retailprice <= (select quantile_disc(p_retailprice, 0.67) from part) then 'Medium' else 'High' end = tier group by tier, n, s")
 def _tier(t: Tables) -> DataFrame:
+    """Tiers by cuts from a sketch hold their shares of the parts within its error."""
     low, high = agg.quantile_cuts(t.part, "p_retailprice")
-    return t.part.select("p_partkey", fn.price_tier("p_retailprice", low, high).alias("tier"))
+    share = F.when(F.col("tier") == "Medium", 0.34).otherwise(0.33)
+    tiers = t.part.select(fn.price_tier("p_retailprice", low, high).alias("tier")).groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
+    return agg.with_total(tiers, "n").select("tier", F.col("n").between(F.col("total") * (share - 0.02), F.col("total") * (share + 0.02)).alias("near"))
 
 
 query("p12_size_band", "select p_partkey, cast(p_size * 10 * (p_size % 7) as bigint) as v, case when p_size * 10 * (p_size % 7) < 1000 then 'Small' when p_size * 10 * (p_size % 7) < 10000 then 'Medium' else 'Large' end as size from part")(
@@ -345,10 +349,30 @@ query("j5_semi_join", "select l_orderkey, l_linenumber from lineitem where l_ord
 query(
     "a1_daily_rollup", "select cast(ts as date) as date, event_type, round(sum(value), 2) as value_sum, round(avg(value), 2) as value_avg, count(value) as value_count, min(value) as value_min, max(value) as value_max, count(user_id) as user_id_count from events group by 1, 2",
 )(lambda t: agg.daily_rollup(t.events, "ts", ["event_type"], {"value": ["sum", "avg", "count", "min", "max", "other"], "user_id": ["count"]}).withColumns({c: F.round(c, 2) for c in ("value_sum", "value_avg")}))
-query("a12_approximate_quantiles")(lambda t: t.lineitem.groupBy("l_returnflag").agg(F.percentile_approx("l_quantity", F.array(F.lit(0.33), F.lit(0.67)), 10000).alias("cuts")))
+
+
+def _running(t: Tables) -> DataFrame:
+    """Running totals over all orders, and within each status, by day."""
+    o = t.orders.select("o_orderkey", "o_orderstatus", F.to_date("o_orderdate").alias("day"), F.col("o_totalprice").cast("decimal(14,2)").alias("price"))
+    names = ["o_orderkey", "o_orderstatus", "day", "price"]
+    o = ordered(o, ["day"], (), ["o_orderkey"], "price").select(*names, F.col("__running").cast("double").alias("upto"), F.round(F.col("price").cast("double") / F.col("__total").cast("double"), 12).alias("share"))
+    return ordered(o, ["day"], ["o_orderstatus"], ["o_orderkey"], "price").select("o_orderkey", "upto", F.col("__running").cast("double").alias("of_status"), "share")
+
+
 query("a8_percentiles", "select l_returnflag, quantile_cont(l_extendedprice, 0.5) as p50, quantile_cont(l_extendedprice, 0.95) as p95 from lineitem group by 1")(
-    lambda t: t.lineitem.groupBy("l_returnflag").agg(F.percentile("l_extendedprice", 0.5).alias("p50"), F.percentile("l_extendedprice", 0.95).alias("p95"))
+    lambda t: percentiles(t.lineitem, "l_extendedprice", {"p50": 0.5, "p95": 0.95}, ["l_returnflag"])
 )
+_PLACES = "row_number() over (order by o_custkey, o_orderkey) as place, rank() over (order by o_custkey) as rnk, dense_rank() over (order by o_custkey) as dense, round(percent_rank() over (order by o_custkey), 9) as share, ntile(5) over (order by o_custkey, o_orderkey) as fifth"
+query("w8_ranks", f"select o_orderkey, {_PLACES}, lag(o_orderkey, 12) over (order by o_custkey, o_orderkey) as back from orders")(
+    lambda t: lagged(ordered(t.orders.select("o_orderkey", "o_custkey"), ["o_custkey"], (), ["o_orderkey"]), "o_orderkey", 12, "back").select(
+        "o_orderkey", F.col("__place").alias("place"), F.col("__rank").alias("rnk"), F.col("__dense").alias("dense"), F.round(percent_rank(), 9).alias("share"), tile(5).cast("long").alias("fifth"), "back")
+)
+_PRICE = "cast(o_totalprice as decimal(14,2))"
+query(
+    "w7_running_total",
+    f"""select o_orderkey, cast(sum({_PRICE}) over (order by cast(o_orderdate as date) range unbounded preceding) as double) as upto, cast(sum({_PRICE}) over (partition by o_orderstatus order by cast(o_orderdate as date) range unbounded preceding) as double) as of_status,
+    round(cast({_PRICE} as double) / cast(sum({_PRICE}) over () as double), 12) as share from orders""",
+)(lambda t: _running(t))
 query("a16_missing_cells", _HOLES + "select count(*) as rows, 5 as columns, count(*) - count(flag) + count(*) - count(quantity) + count(*) - count(tax) as missing_cells from h")(lambda t: agg.profile(_holes(t)))
 _DUP = "select *, row_number() over (partition by l_orderkey, l_linenumber order by {o}, l_partkey {d}, l_suppkey {d}, l_extendedprice {d}, l_quantity {d}) as k from (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, nullif(l_shipdate, timestamp '1998-01-01') as shipped from lineitem)"
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordered import ordered, percentiles
+
 
 def windowed_counts(events: DataFrame, size: str, slide: str | None = None, by: tuple[str, ...] = (), ts: str = "ts", watermark: str | None = None) -> DataFrame:
     """Counts a window (and key): (window_start, window_end, *by, n)."""
@@ -22,10 +24,10 @@ def failure_ratio(runs: DataFrame, size: str, objective: float = 0.995, ts: str
 
 
 def latency(runs: DataFrame, size: str, p95: float = 300.0, p99: float = 600.0, duration: str = "duration", ts: str = "ts") -> DataFrame:
-    """Exact 95th and 99th percentiles of durations a window, against their limits."""
-    g = runs.groupBy(F.window(ts, size).alias("w")).agg(F.percentile(duration, F.array(F.lit(0.95), F.lit(0.99))).alias("q"))
-    q = lambda i: F.round(F.col("q")[i], 4)
-    return g.select(F.col("w.start").alias("window_start"), q(0).alias("p95"), q(1).alias("p99"), (F.col("q")[0] > p95).alias("p95_breached"), (F.col("q")[1] > p99).alias("p99_breached"))
+    """Exact 95th and 99th percentiles of durations a window, against their limits; a window without durations has none."""
+    timed = runs.select(F.window(ts, size)["start"].alias("window_start"), F.col(duration).alias("duration"))
+    q = percentiles(timed, "duration", {"q95": 0.95, "q99": 0.99}, ["window_start"])
+    return q.select("window_start", F.round("q95", 4).alias("p95"), F.round("q99", 4).alias("p99"), (F.col("q95") > p95).alias("p95_breached"), (F.col("q99") > p99).alias("p99_breached"))
 
 
 def freshness(runs: DataFrame, as_of: str, most_seconds: int = 3600, key: str = "source", ts: str = "ts") -> DataFrame:
@@ -50,6 +52,7 @@ def dead_letters(quarantine: DataFrame, key: str = "dataset") -> DataFrame:
 def sustained(windows: DataFrame, breached: Column, size_seconds: int, least_seconds: int, by: tuple[str, ...] = (), start: str = "window_start") -> DataFrame:
     """Runs of adjoining breached windows that last long enough: (first_start, last_start, windows)."""
     hit = windows.where(breached).withColumn("__s", F.unix_timestamp(start))
-    hit = hit.withColumn("__g", F.col("__s") - size_seconds * F.row_number().over(Window.partitionBy(*by).orderBy("__s")))
+    # Windows of one run keep their distance to their place.
+    hit = ordered(hit, ["__s"], by).withColumn("__g", F.col("__s") - size_seconds * F.col("__place"))
     g = hit.groupBy(*by, "__g").agg(F.min(start).alias("first_start"), F.max(start).alias("last_start"), F.count(F.lit(1)).alias("windows"))
     return g.where(F.col("windows") * size_seconds >= least_seconds).drop("__g")
