@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.operators.quality import Contract, QualityError, enforce, split_rows
-from tidemill.sources import files, runs, sinks, snapshots
+from tidemill.sources import files, landing, runs, sinks, snapshots
 
 from .conftest import rows
 
@@ -278,3 +278,57 @@ def test_lineage_of_any_depth(spark, cycle):
     want = [(f"n{k + 1}", f"n{k}", k + 1) for k in range(40)] + [("side", "n20", 21)] + ([("n0", "n40", 41)] if cycle else [])
     assert rows(found) == sorted(want, key=lambda r: tuple((x is None, str(x)) for x in r))
     assert runs.trace(spark.createDataFrame(edges, "parent string, child string"), "nobody").count() == 0
+
+
+def test_files_of_a_run(spark, tmp_path):
+    d = tmp_path / "in"
+    (d / "deep").mkdir(parents=True)
+    write(d / "good.csv", "id,name\n1,a\n1,a\n2,b\n,\n")
+    write(d / "deep" / "quoted.csv", 'id,name\n3,"x,y"\n4,\n')
+    write(d / "long.csv", "id,name\n5,a\n6,b,c\n")
+    write(d / "headless.csv", "7,a\n8,b\n")
+    write(d / "other.csv", "key,title\n9,a\n")
+    write(d / "head.csv", "id,name\n")
+    write(d / "empty.csv", "")
+    write(d / "x.txt", "no")
+    landed = landing.run_files(spark, str(d), str(tmp_path / "out"), ["id", "name"])
+    name = F.regexp_extract("source_file", "([a-z]+).csv", 1)
+    assert rows(landed.files.select(name, "status", "rows_extracted", "rows_transformed", "rows_loaded", "error")) == [
+        ("empty", "failed", 0, 0, 0, "no rows"), ("good", "processed", 4, 2, 2, None), ("head", "failed", 0, 0, 0, "no rows"), ("headless", "failed", 2, 0, 0, "no header"),
+        ("long", "failed", 2, 0, 0, "1 rows with another number of fields"), ("other", "failed", 2, 0, 0, "no header"), ("quoted", "processed", 2, 2, 2, None),
+    ]
+    assert landed.totals == {"files_processed": 2, "files_failed": 5, "rows_extracted": 12, "rows_bad": 1, "rows_transformed": 4, "rows_loaded": 4}
+    assert rows(landed.rows.select("id", "name")) == [("1", "a"), ("2", "b"), ("3", "x,y"), ("4", None)]
+    with pytest.raises(RuntimeError):  # a load that fails leaves the dataset and says so
+        landing.run_files(spark, str(d), str(tmp_path / "out2"), ["id", "name"], load=lambda df: (_ for _ in ()).throw(RuntimeError("load")))
+
+
+def test_file_runs_in_the_ledger(spark, tmp_path, ledger):
+    d = tmp_path / "in"
+    d.mkdir()
+    write(d / "a.csv", "id,name\n1,a\n")
+    write(d / "b.csv", "id,name\n,b\n3,c\n")
+    landing.record_files(ledger, "d", str(d), "c1", str(tmp_path / "out"), ["id", "name"], required=["id"])
+    r = ledger.table("runs").where("status = 'succeeded'").first()
+    assert (r["rows_in"], r["rows_out"], r["rows_rejected"], r["files_processed"], r["files_failed"], r["rows_transformed"]) == (3, 1, 1, 1, 1, 1)
+    assert r["error"] == "b.csv: 1 rows without a required value" and ledger.table("quarantine").first()["reason"] == "FILE_FAILURE"
+    (tmp_path / "none").mkdir()
+    landed = landing.record_files(ledger, "d", str(tmp_path / "none"), "c2", str(tmp_path / "out"), ["id"], version="2")
+    assert landed.totals == landing.zero_totals() and landed.rows.count() == 0
+    with pytest.raises(Exception, match="wrong"):
+        landing.record_files(ledger, "d", str(d), "c3", str(tmp_path / "out"), ["id", "name"], transform=lambda df: df.select(F.raise_error(F.lit("wrong")).alias("x"), "source_file"))
+    assert rows(runs.outcomes(ledger.table("runs")).select("status", "runs")) == [("failed", 1), ("succeeded", 2)]
+
+
+def test_database_tables(spark):
+    url = "jdbc:derby:memory:tests;create=true"
+    df = spark.range(50).select("id", F.when(F.col("id") % 5 > 0, F.col("id") * 2).alias("k"), F.timestamp_seconds(F.col("id") * 86400).alias("at"))
+    assert sinks.load_table(df, "t", "fail", url) == 50 and sinks.load_table(df.limit(0), "t", "replace", url) == 0
+    for c, parts in (("id", 4), ("k", 3), ("at", 2)):
+        got = files.read_table(spark, "t", url, split_by=c, parts=parts)
+        assert got.rdd.getNumPartitions() == parts and rows(got) == rows(df)  # also the rows without a value
+    assert files.read_table(spark, "t", url).count() == 50
+    with pytest.raises(Exception, match="already exists"):
+        sinks.load_table(df, "t", "fail", url)
+    assert sinks.load_table(df.where("id = 7"), "t", "replace", url) == 1 and files.read_table(spark, "t", url, split_by="id").count() == 1
+    assert sinks.load_table(df.where("id < 3"), "t", "append", url, batch=2) == 3 and rows(files.read_table(spark, "t", url).select("id")) == [(0,), (1,), (2,), (7,)]

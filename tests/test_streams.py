@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tidemill.plans import slo
@@ -53,3 +54,49 @@ def test_sustained(spark):
     df = spark.createDataFrame(data, "h int, failed int").select(F.timestamp_seconds(F.col("h") * 3600).alias("window_start"), "failed")
     out = slo.sustained(df, F.col("failed") >= 3, 3600, 7200)
     assert [r[0] for r in rows(out.select("windows"))] == [2, 3]
+
+
+def test_dead_letters_arrive_once_after_a_crash(spark, tmp_path, monkeypatch):
+    """The run ends between its two sinks; the batch is repeated, and each sink has it once."""
+    src, good, dead, cp = (str(tmp_path / n) for n in ("in", "good", "dead", "cp"))
+    rules = {"NO_V": F.col("v").isNotNull(), "SEQ": F.col("seq") > 0}
+    put(spark, src, [(1, 1, "a", "2024-01-01 00:00:00"), (2, 0, None, "2024-01-01 00:00:00"), (3, None, "c", "2024-01-01 00:00:00")])
+    append, broken = streams.Snapshots.append, [True]
+
+    def fails_once(self, df, batch=None):
+        if self.root == dead and broken.pop():
+            raise RuntimeError("crash")
+        return append(self, df, batch)
+
+    monkeypatch.setattr(streams.Snapshots, "append", fails_once)
+    run = lambda: streams.split_stream(streams.file_stream(spark, src, EVENTS), good, dead, cp, rules).awaitTermination()
+    with pytest.raises(Exception, match="crash"):
+        run()
+    assert streams.current(spark, good).count() == 1 and not (tmp_path / "dead").exists()
+    broken.append(False)
+    run()
+    broken.append(False)
+    put(spark, src, [(4, 2, "d", "2024-01-01 00:00:00")])
+    run()
+    assert rows(streams.current(spark, good).select("k")) == [(1,), (4,)]
+    assert rows(streams.current(spark, dead).select("k", F.array_join("reasons", ","), "batch")) == [(2, "NO_V,SEQ", 0), (3, "SEQ", 0)]
+
+
+def test_sustained_by_source(spark, tmp_path):
+    src, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    hours = {"x": (1, 2, 5, 7, 8, 9), "y": (3, 4, 5, 6)}
+    data = [(s, "failed", f"2024-01-01 {h:02d}:{m:02d}:00") for s, hs in hours.items() for h in hs for m in (0, 10, 20)] + [("x", "failed", "2024-01-01 03:00:00"), ("z", "ok", "2024-06-01 00:00:00")]
+    df = spark.createDataFrame(data, "source string, status string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    df.coalesce(1).write.parquet(src)
+    found = slo.sustained_stream(streams.file_stream(spark, src, df.schema), "1 hour", 3600, 3, 7200, "1 hour", by=("source",))
+    streams.window_stream(found, out, cp).awaitTermination()
+    hit = df.groupBy("source", F.window("ts", "1 hour")["start"].alias("window_start")).agg(F.count_if(F.col("status") == "failed").alias("failed"))
+    batch = slo.sustained(hit, F.col("failed") >= 3, 3600, 7200, ("source",))
+    assert rows(spark.read.schema(found.schema).parquet(out)) == rows(batch.select("source", "first_start", "last_start", "windows")) and batch.count() == 3
+
+
+def test_deduplicated_stream(spark, tmp_path):
+    src, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    put(spark, src, [(1, 1, "a", "2024-01-01 00:00:00"), (1, 2, "b", "2024-01-01 00:05:00"), (2, 1, "c", "2024-01-01 00:00:00")])
+    streams.ingest(streams.deduplicated(streams.file_stream(spark, src, EVENTS), ["k"], "ts", "1 hour"), out, cp).awaitTermination()
+    assert rows(spark.read.parquet(out).select("k")) == [(1,), (2,)]

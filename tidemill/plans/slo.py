@@ -56,3 +56,16 @@ def sustained(windows: DataFrame, breached: Column, size_seconds: int, least_sec
     hit = ordered(hit, ["__s"], by).withColumn("__g", F.col("__s") - size_seconds * F.col("__place"))
     g = hit.groupBy(*by, "__g").agg(F.min(start).alias("first_start"), F.max(start).alias("last_start"), F.count(F.lit(1)).alias("windows"))
     return g.where(F.col("windows") * size_seconds >= least_seconds).drop("__g")
+
+
+def sustained_stream(runs: DataFrame, size: str, size_seconds: int, failures: int, least_seconds: int, delay: str, by: tuple[str, ...] = (), ts: str = "ts") -> DataFrame:
+    """sustained() for a stream: windows of failures under a watermark, and breached ones that adjoin as sessions.
+
+    A run of windows is appended when the watermark has passed its end by a window."""
+    counted = runs.withWatermark(ts, delay).groupBy(F.window(ts, size).alias("w"), *by).agg(F.count_if(F.col("status") == "failed").alias("failed"))
+    hit = counted.where(F.col("failed") >= failures).select("w", *by, F.window_time("w").alias("at"))
+    # A session goes on while the next window begins before its end: a second more than a window.  Streams
+    # want a key beside a session; without one it is 0 for all windows.
+    key = [] if by else [F.pmod(F.unix_timestamp("w.start"), F.lit(1)).alias("key")]
+    g = hit.groupBy(F.session_window("at", f"{size_seconds + 1} seconds").alias("s"), *by, *key).agg(F.min("w.start").alias("first_start"), F.max("w.start").alias("last_start"), F.count(F.lit(1)).alias("windows"))
+    return g.where(F.col("windows") * size_seconds >= least_seconds).select(*by, "first_start", "last_start", "windows")

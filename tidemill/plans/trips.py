@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregate as agg
 from ..operators import conform, quality
-from ..sources import files, runs, sinks
+from ..sources import files, landing, runs, sinks, snapshots
 from ..sources.scratch import scratch_path
 from ..streaming import streams
-from . import star
+from . import slo, star
 from .fixtures import AS_OF, Tables
 from .registry import query
 
@@ -64,6 +64,33 @@ def _(t: Tables) -> DataFrame:
     return files.read_table(t.spark, name).where("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice")
 
 
+def _database(t: Tables) -> str:
+    """A new in-memory database of the driver; a cluster's tasks need one that they can reach."""
+    return f"jdbc:derby:memory:tidemill{uuid.uuid4().hex};create=true"
+
+
+@query("s3_database_read", "select o_orderkey, o_totalprice, o_orderpriority, cast(o_orderdate as date) as day from orders where o_orderstatus <> 'P'")
+def _(t: Tables) -> DataFrame:
+    """A database table, read back in parts by its key."""
+    url, o = _database(t), t.orders.select("o_orderkey", "o_totalprice", "o_orderpriority", F.to_date("o_orderdate").alias("day"), "o_orderstatus")
+    sinks.load_table(o, "orders", url=url, createTableColumnTypes="o_orderpriority varchar(20), o_orderstatus varchar(1)")
+    return files.read_table(t.spark, "orders", url, split_by="o_orderkey", parts=4).where("o_orderstatus <> 'P'").drop("o_orderstatus")
+
+
+@query("k5_database_load", "select o_orderstatus, count(*) * case when o_orderstatus = 'F' then 3 else 1 end as n, cast(sum(cast(o_totalprice as decimal(14,2))) as double) * case when o_orderstatus = 'F' then 3 else 1 end as price, 0 as of_nothing from orders group by 1")
+def _(t: Tables) -> DataFrame:
+    """A load, a replacement, two appended parts, and an empty one."""
+    url, o = _database(t), t.orders.select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(14,2)").alias("price"))
+    load = lambda df, mode: sinks.load_table(df, "orders", mode, url, batch=500, createTableColumnTypes="o_orderstatus varchar(1)")
+    load(o.where("o_orderstatus = 'P'"), "fail")
+    load(o, "replace")
+    for _ in range(2):
+        load(o.where("o_orderstatus = 'F'"), "append")
+    none = load(o.where("false"), "replace")
+    got = files.read_table(t.spark, "orders", url, split_by="o_orderkey", parts=3)
+    return got.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("price").cast("double").alias("price"), F.lit(none).alias("of_nothing"))
+
+
 @query("s4_directory", "select cast(o_orderkey as varchar) as o_orderkey, o_orderstatus, true as from_csv from orders")
 def _(t: Tables) -> DataFrame:
     path = scratch(t)
@@ -164,9 +191,17 @@ query("t4_sample", "select o_orderkey, o_totalprice from orders order by md5('42
 
 # ---------------------------------------------------------------- quality
 
-query("q3_schema", "select 'schema' as \"check\", false as passed, 2.0::double as value, count(*) as rows from orders")(
-    lambda t: quality.Checks(t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice")).schema(["o_orderkey", "o_orderstatus", "o_city"], strict=True).results().select("check", "passed", "value").crossJoin(t.orders.agg(F.count(F.lit(1)).alias("rows")))
-)
+@query("q3_schema", """select 'schema' as "check", missing + extra = 0 as passed, cast(missing + extra as double) as value from (select
+       (select count(*) from (select distinct n_name from nation where n_regionkey < 4 except select n_name from nation join customer on n_nationkey = c_nationkey where c_acctbal > 9900)) as missing,
+       (select count(*) from (select n_name from nation join customer on n_nationkey = c_nationkey where c_acctbal > 9900 except select n_name from nation where n_regionkey < 4)) as extra)""")
+def _(t: Tables) -> DataFrame:
+    """Columns that the data make: nations of rich customers, against the nations of the first regions."""
+    rich = t.customer.where("c_acctbal > 9900").join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    wide = rich.groupBy().pivot("n_name").agg(F.count(F.lit(1)))
+    expected = [r[0] for r in t.nation.where("n_regionkey < 4").select("n_name").distinct().collect()]
+    return quality.Checks(wide).schema(expected, strict=True).results().select("check", "passed", "value")
+
+
 query(
     "q9_configured_checks",
     """select 'row_count' as "check", count(*) between 10 and 1000000000 as passed, count(*)::double as value from orders
@@ -187,18 +222,20 @@ query("q11_validity", "select 'required_columns' as rule, 'city' as \"column\" u
 )
 
 
-@query("q15_gate", "select o_orderstatus, count(*) < 1000000000 as passes, count(*) >= 1000000000 as fails from orders group by 1")
+@query("q15_gate", "select o_orderstatus, count(*) >= (select count(*) // 4 from orders) as passes, count(*) <= (select count(*) // 4 from orders) as few from orders group by 1")
 def _(t: Tables) -> DataFrame:
-    """Whether a gate on each status lets it through, with a bound that holds and one that doesn't."""
+    """Whether a gate lets each status through that has a quarter of the orders at least, and at most."""
+    quarter = t.orders.count() // 4
 
-    def held(least: int | None, most: int | None) -> bool:
+    def held(status: str, least: int | None, most: int | None) -> bool:
         try:
-            quality.gate(quality.Checks(t.orders).row_count(least, most).results())
+            quality.gate(quality.Checks(t.orders.where(F.col("o_orderstatus") == status)).row_count(least, most).results())
             return True
         except quality.QualityError:
             return False
 
-    return t.orders.select("o_orderstatus").distinct().select("o_orderstatus", F.lit(held(1, None)).alias("passes"), F.lit(held(10**9, None)).alias("fails"))
+    each = [(r[0], held(r[0], quarter, None), held(r[0], None, quarter)) for r in t.orders.select("o_orderstatus").distinct().collect()]
+    return t.spark.createDataFrame(each, "o_orderstatus string, passes boolean, few boolean")
 
 
 # ---------------------------------------------------------------- runs and streams
@@ -235,20 +272,67 @@ query(
 query("i2_run_counts", "select 'succeeded' as status, 2 as runs, 2 * count(*) as rows_in, 2 * count(distinct o_orderstatus) filter (where o_orderstatus <> 'P') as rows_out from orders union all select 'failed', 1, 0, 0")(
     lambda t: runs.latest(_ledger(t)[0].table("runs"), ["run_id"]).groupBy("status").agg(F.count(F.lit(1)).alias("runs"), F.coalesce(F.sum("rows_in"), F.lit(0)).alias("rows_in"), F.coalesce(F.sum("rows_out"), F.lit(0)).alias("rows_out"))
 )
-query("i6_lineage", "select 'gold' as layer, 3 as level, true as from_source, count(*) > 0 as some from orders")(
-    lambda t: (lambda ledger: (lambda edges, gold: runs.trace(edges, gold).agg(F.lit("gold").alias("layer"), F.max("level").alias("level"), F.bool_or(F.col("parent") == "a").alias("from_source"), (F.count(F.lit(1)) > 0).alias("some")))(
-        ledger.table("lineage"), ledger.table("lineage").where("child like '%/gold/%'").agg(F.min("child")).first()[0]
-    ))(_ledger(t)[0])
+_PARENTS = "select c_custkey as child, c_custkey * 3 // 5 as parent from customer where c_custkey > 0"
+
+
+def _parents(t: Tables) -> DataFrame:
+    return t.customer.where("c_custkey > 0").select(F.expr("c_custkey * 3 div 5").cast("string").alias("parent"), F.col("c_custkey").cast("string").alias("child"))
+
+
+def _last(t: Tables) -> str:
+    return str(t.customer.agg(F.max("c_custkey")).first()[0])
+
+
+@query("i6_lineage", f"with recursive e as ({_PARENTS}), u as (select parent, child, 1 as level from e where child = (select max(child) from e) union all select e.parent, e.child, level + 1 from e join u on e.child = u.parent) select cast(parent as varchar) as parent, cast(child as varchar) as child, level from u")
+def _(t: Tables) -> DataFrame:
+    """A ledger's lineage with a link a customer: all that the last one comes from, a dozen levels up."""
+    return runs.trace(_parents(t), _last(t))
+
+
+@query("i6_lineage_cycle", f"with recursive e as ({_PARENTS} union all select 0, (select max(c_custkey) from customer) - 1 union all select 2, 3 union all select 3, 2), u as (select parent, child from e where child = (select max(child) from e) union select e.parent, e.child from e join u on e.child = u.parent) select cast(parent as varchar) as parent, cast(child as varchar) as child from u")
+def _(t: Tables) -> DataFrame:
+    """As i6_lineage, with links that go round."""
+    last = int(_last(t))
+    more = t.spark.createDataFrame([(str(last - 1), "0"), ("2", "3"), ("3", "2")], "parent string, child string")
+    return runs.trace(_parents(t).unionByName(more), str(last)).select("parent", "child")
+
+
+query("i9_quarantine_counts", "select event_type as reason, case when user_id % 3 = 0 then 'replayed' else 'pending' end as status, count(*) as entries from events group by 1, 2")(
+    lambda t: runs.quarantine_counts(t.events.withColumn("later", F.explode(F.array(F.lit(0), F.lit(1)))).where("later = 0 or user_id % 3 = 0").select(
+        F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("reason"), F.when(F.col("later") == 0, "pending").otherwise("replayed").alias("status"), (F.col("ts") + F.make_interval(secs="later")).alias("at")))
 )
-query("i9_quarantine_counts", "select 'DATA_QUALITY_FAILURE' as reason, 'pending' as status, 1 as entries, count(*) > 0 as some from orders")(
-    lambda t: runs.quarantine_counts(_ledger(t)[0].table("quarantine")).crossJoin(t.orders.agg((F.count(F.lit(1)) > 0).alias("some")))
-)
-query("i9_durations", "select event_type as dataset, count(*) as runs, 1.0::double as p50, 1.0::double as p95, 1.0::double as longest from events group by 1")(
+query("i9_durations", """with d as (select event_type as dataset, cast(floor(value * 100) as bigint) / 100.0::double as s from events)
+      select dataset, count(*) as runs, round(quantile_cont(s, 0.5), 6) as p50, round(quantile_cont(s, 0.95), 6) as p95, round(max(s), 6) as longest from d group by 1""")(
     lambda t: runs.durations(t.events.withColumn("phase", F.explode(F.array(F.lit(0), F.lit(1)))).select(
-        F.col("event_id").cast("string").alias("run_id"), F.col("event_type").alias("dataset"), F.when(F.col("phase") == 0, "running").otherwise("succeeded").alias("status"), (F.col("ts") + F.make_interval(secs="phase")).alias("at")))
+        F.col("event_id").cast("string").alias("run_id"), F.col("event_type").alias("dataset"), F.when(F.col("phase") == 0, "running").otherwise("succeeded").alias("status"),
+        F.timestamp_micros(F.unix_micros("ts") + F.col("phase") * F.floor(F.col("value") * 100) * 10_000).alias("at"))).select("dataset", "runs", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "longest")])
 )
 
 
+@query(
+    "i2_file_counts",
+    """with l as (select *, case when l_linenumber = 6 and l_orderkey % 50 = 0 then null else l_returnflag end as flag from lineitem where l_linenumber < 8), f as (select l_linenumber as k, count(*) as n, count(*) filter (where flag is null) as missing, count(distinct l_orderkey || '|' || flag) as d from l group by 1)
+    select 'file=' || k as file, case when k = 5 or missing > 0 then 'failed' else 'processed' end as status, n + case when k = 1 then n else 0 end as rows_extracted, case when k = 5 or missing > 0 then 0 else d end as rows_transformed,
+      case when k = 5 or missing > 0 then 0 else d end as rows_loaded, case when k = 5 then 'no header' when missing > 0 then missing || ' rows without a required value' end as error from f
+    union all select 'file=0', 'failed', 0, 0, 0, 'no rows' union all select 'all', (select count(*) from f where k <> 5 and missing = 0) || '/' || (select count(*) + 1 from f where k = 5 or missing > 0),
+      (select sum(n) + max(case when k = 1 then n end) from f), (select sum(d) from f where k <> 5 and missing = 0), (select sum(d) from f where k <> 5 and missing = 0), null""",
+)
+def _(t: Tables) -> DataFrame:
+    """A file a line number: one without a header, one with missing values, one with each row twice, and one without a byte."""
+    path, out = scratch(t), scratch(t)
+    k = F.col("l_linenumber")
+    lines = t.lineitem.where(k < 8).select(F.col("l_orderkey").alias("order"), k.alias("number"), F.when(~((k == 6) & (F.col("l_orderkey") % 50 == 0)), F.col("l_returnflag")).alias("flag"), k.alias("file"))
+    lines = lines.unionByName(lines.where("file = 1"))
+    for part, header in ((F.col("file") != 5, True), (F.col("file") == 5, False)):
+        lines.where(part).repartition("file").write.mode("append").partitionBy("file").option("header", header).csv(path)
+    snapshots.put_if_absent(t.spark, f"{path}/file=0/part-0.csv", "")
+    ledger = runs.Ledger(t.spark, scratch(t))
+    landed = landing.record_files(ledger, "lines", path, "c1", out, ["order", "number", "flag"], required=["order", "flag"])
+    run = ledger.table("runs").where("status = 'succeeded'").select(
+        F.lit("all").alias("file"), F.concat_ws("/", "files_processed", "files_failed").alias("status"), F.col("rows_in").alias("rows_extracted"), "rows_transformed", F.col("rows_out").alias("rows_loaded"), F.lit(None).cast("string").alias("error"))
+    return landed.files.withColumn("source_file", F.regexp_extract("source_file", "(file=[0-9]+)", 1)).withColumnRenamed("source_file", "file").unionByName(run)
+
+
 @query("r1_incremental_ingest", "select event_id, event_type, value from events")
 def _(t: Tables) -> DataFrame:
     """Two arrivals and a third run without news: each file is taken once."""
@@ -272,6 +356,38 @@ def _(t: Tables) -> DataFrame:
     return streams.current(t.spark, f"{root}/out")
 
 
+def _dead_letters(t: Tables, dead: bool) -> DataFrame:
+    """Two arrivals, a file a batch, and the first batch once more; rows with a large value or without a user are dead letters."""
+    root, e = scratch(t), t.events.select("event_id", F.when(F.col("user_id") % 5 > 0, F.col("user_id")).alias("user_id"), "value")
+    rules = {"NO_USER": F.col("user_id").isNotNull(), "LARGE": F.col("value") <= 400}
+    for k in (0, 1):
+        e.where(F.col("event_id") % 2 == k).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        streams.split_stream(streams.file_stream(t.spark, f"{root}/in", e.schema, files_a_batch=1), f"{root}/good", f"{root}/dead", f"{root}/check", rules).awaitTermination()
+    streams.split_batches(f"{root}/good", f"{root}/dead", rules)(e, 0)
+    return streams.current(t.spark, f"{root}/dead" if dead else f"{root}/good")
+
+
+query("r1_stream_rows", "select event_id, user_id, value from events where user_id % 5 > 0 and value <= 400")(lambda t: _dead_letters(t, False))
+query("r8_stream_dead_letters", "select event_id, nullif(user_id % 5, 0) * 0 + user_id as user_id, value, concat_ws(',', case when user_id % 5 = 0 then 'NO_USER' end, case when value > 400 then 'LARGE' end) as reasons from events where user_id % 5 = 0 or value > 400")(
+    lambda t: _dead_letters(t, True).select("event_id", "user_id", "value", F.array_join("reasons", ",").alias("reasons"))
+)
+
+
+@query("r9_sustained_stream", """with w as (select date_trunc('hour', ts) as s, count(*) filter (where event_type = 'error') as failed from events group by 1), h as (select s, epoch(s) / 3600 - row_number() over (order by s) as g from w where failed >= 3)
+       select min(s) as first_start, max(s) as last_start, count(*) as windows from h group by g having count(*) >= 2""")
+def _(t: Tables) -> DataFrame:
+    """Events arrive in four files by time, and one run a year later closes the last windows."""
+    root, jobs = scratch(t), t.job_runs().select("status", "ts")
+    first, last = jobs.agg(F.unix_timestamp(F.min("ts")), F.unix_timestamp(F.max("ts"))).first()
+    quarter = F.least(F.lit(3), F.floor((F.unix_timestamp("ts") - first) * 4 / max(1, last - first)))
+    for k in range(4):
+        jobs.where(quarter == k).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    jobs.limit(1).select(F.lit("succeeded").alias("status"), F.timestamp_seconds(F.lit(last + 366 * 86400)).alias("ts")).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    found = slo.sustained_stream(streams.file_stream(t.spark, f"{root}/in", jobs.schema, files_a_batch=1), "1 hour", 3600, 3, 7200, "2 hours")
+    streams.window_stream(found, f"{root}/out", f"{root}/check").awaitTermination()
+    return t.spark.read.schema(found.schema).parquet(f"{root}/out")
+
+
 query(
     "s6_differences",
     """select coalesce(e, f) as k, case when f is null then 'missing' else 'extra' end as state from

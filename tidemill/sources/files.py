@@ -55,12 +55,22 @@ def read_directory(spark: SparkSession, path: str, pattern: str = "*.csv", schem
     return reader.csv(path).withColumn("source_file", F.col("_metadata.file_path"))
 
 
-def read_table(spark: SparkSession, name: str, url: str | None = None, **options: str) -> DataFrame:
-    """A table of the catalogue, or of a database if a JDBC url is given (options such as
-    partitionColumn, lowerBound, upperBound and numPartitions split the read)."""
+def read_table(spark: SparkSession, name: str, url: str | None = None, split_by: str | None = None, parts: int = 8, **options: str) -> DataFrame:
+    """A table of the catalogue, or of a database if a JDBC url is given.
+
+    split_by, a whole number, date or timestamp column, parts the read: the database is asked for its ends
+    first, and `parts` tasks then read a range each (rows without a value go with the first)."""
     if url is None:
         return spark.table(name)
-    return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
+    reader = spark.read.format("jdbc").options(url=url, **options)
+    if split_by:
+        c = spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(split_by)
+        low, high = reader.option("query", f"select min({c}) as low_end, max({c}) as high_end from {name}").load().first()
+        if low is not None and low != high:
+            reader = spark.read.format("jdbc").options(url=url, **options).options(partitionColumn=split_by, lowerBound=str(low), upperBound=str(high), numPartitions=str(parts))
+        else:
+            reader = spark.read.format("jdbc").options(url=url, **options)
+    return reader.option("dbtable", name).load()
 
 
 def latest_partition(df: DataFrame, c: str) -> DataFrame:

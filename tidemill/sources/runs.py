@@ -227,11 +227,11 @@ class Ledger:
 
         self.commit(make)
 
-    def finish(self, run_id: str, rows_in: int, rows_out: int, rows_rejected: int = 0, **counts: int) -> None:
-        """Commit a run.  If another run has committed the same source since this one started, it is a RunConflict."""
+    def finish(self, run_id: str, rows_in: int, rows_out: int, rows_rejected: int = 0, error: str | None = None, **counts: int) -> None:
+        """Commit a run; `error` tells of files that failed in it.  If another run has committed the same source since this one started, it is a RunConflict."""
         if min(rows_in, rows_out, rows_rejected, *counts.values()) < 0:
             raise ValueError("counts can't be negative")
-        self._end(run_id, status="succeeded", rows_in=rows_in, rows_out=rows_out, rows_rejected=rows_rejected, **counts)
+        self._end(run_id, status="succeeded", rows_in=rows_in, rows_out=rows_out, rows_rejected=rows_rejected, error=error, **counts)
 
     def fail(self, run_id: str, error: str, **counts: int) -> None:
         self._end(run_id, status="failed", error=error, **counts)

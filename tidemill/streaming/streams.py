@@ -6,13 +6,14 @@ that is repeated after a failure has the same id and the same effect.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..operators.quality import split_rows
 from ..sources.snapshots import Snapshots
 
 
@@ -46,6 +47,23 @@ def upsert_stream(stream: DataFrame, root: str, checkpoint: str, keys: Sequence[
     return stream.writeStream.foreachBatch(upsert_batches(root, keys, order, name, parts)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def split_batches(good: str, bad: str, rules: Mapping[str, Column], name: str = "stream") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function with two sinks: rows that satisfy all rules, and the others as dead letters with
+    their reasons.  Both datasets hold the number of the last batch that they have taken, so a batch that
+    is repeated, also after a crash between the two, reaches each exactly once."""
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        rows, dead = split_rows(batch, rules)
+        for root, df in ((good, rows), (bad, dead.withColumn("batch", F.lit(batch_id).cast("long")))):
+            Snapshots(batch.sparkSession, root).append(df, (name, batch_id))
+
+    return step
+
+
+def split_stream(stream: DataFrame, good: str, bad: str, checkpoint: str, rules: Mapping[str, Column], name: str = "stream") -> StreamingQuery:
+    return stream.writeStream.foreachBatch(split_batches(good, bad, rules, name)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def window_stream(windows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Append closed windows (of a windowed aggregate with a watermark) to Parquet."""
     return windows.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
