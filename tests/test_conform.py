@@ -102,3 +102,11 @@ def test_dedupe(spark):
     assert rows(dedupe.keep_first(df, ["k"], ["o", "v"])) == [(1, None, "a"), (2, None, "d")]
     assert rows(dedupe.keep_last(df, ["k"], ["o", "v"])) == [(1, 3, "c"), (2, None, "d")]
     assert dedupe.stacked(df, df.drop("v")).count() == 8
+
+
+def test_callers_steps(spark):
+    from tidemill.operators.conform import computed, transformed
+
+    df = spark.createDataFrame([(1, "a"), (2, None)], "x int, s string")
+    got = transformed(df, lambda d: d.where("s is not null"), lambda d: computed(d, y=F.col("x") * 2, s=F.upper("s")))
+    assert [tuple(r) for r in got.collect()] == [(1, "A", 2)] and transformed(df).count() == 2

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import ordered as o
 from tidemill.plans import commerce
+from tidemill.sources import snapshots
+from tidemill.sources.scratch import workspace
 
 from .conftest import rows
 
@@ -70,3 +72,10 @@ def test_fifths_match_ntile(many, n):
     orders = {"a": F.col("x"), "b": -F.col("y"), "c": F.col("z")}
     want = df.select("customer_id", *[F.ntile(5).over(Window.orderBy(c, "customer_id")).alias(k) for k, c in orders.items()])
     assert rows(commerce.with_fifths(df, "customer_id", orders).select("customer_id", "a", "b", "c")) == rows(want)
+
+
+def test_tables_between_steps_go_with_their_workspace(many, tmp_path):
+    with workspace(many) as path:
+        o.percentiles(table(many), "x", {"p50": 0.5}, ["g"]).write.parquet(str(tmp_path / "out"))
+        assert snapshots.names(many, path)
+    assert not snapshots.names(many, path) and many.read.parquet(str(tmp_path / "out")).count() == 9

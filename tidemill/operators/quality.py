@@ -9,7 +9,7 @@ import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_blank
@@ -123,10 +123,11 @@ def run_checks(df: DataFrame, config: Mapping[str, object]) -> DataFrame:
 
 
 def gate(results: DataFrame) -> None:
-    """Raise if any check failed."""
-    bad = [r.asDict() for r in results.where("not passed").limit(20).collect()]
+    """Raise if any check failed; the message has the number of all and names the first 20."""
+    failed = results.where("not passed")
+    bad = [r.asDict() for r in failed.limit(20).collect()]
     if bad:
-        raise QualityError(f"failed checks: {bad}")
+        raise QualityError(f"{failed.count()} failed checks: {bad}")
 
 
 @dataclass(frozen=True)
@@ -190,10 +191,11 @@ def contract_violations(df: DataFrame, contract: Contract) -> DataFrame:
 
 
 def enforce(df: DataFrame, contract: Contract) -> DataFrame:
-    """df, or an error that lists the violations."""
-    bad = contract_violations(df, contract).limit(50).collect()
+    """df, or an error with the number of violations and the first 50 of them."""
+    found = contract_violations(df, contract)
+    bad = found.limit(50).collect()
     if bad:
-        raise QualityError("; ".join(f"{r['rule']} {r['column']}: {r['found']:g} ({r['detail']})" for r in bad))
+        raise QualityError(f"{len(bad) if len(bad) < 50 else found.count()} violations: " + "; ".join(f"{r['rule']} {r['column']}: {r['found']:g} ({r['detail']})" for r in bad))
     return df
 
 
@@ -214,8 +216,3 @@ def failing_unique(df: DataFrame, c: str) -> DataFrame:
 
 def failing_accepted(df: DataFrame, c: str, values: Sequence[str]) -> DataFrame:
     return df.groupBy(F.col(c).alias("value_field")).agg(F.count(F.lit(1)).alias("n_records")).where(F.col("value_field").isNotNull() & ~F.col("value_field").isin(list(values)))
-
-
-def make_checks(spark: SparkSession, rows) -> DataFrame:
-    """Results kept elsewhere, as a table of checks."""
-    return spark.createDataFrame(rows, RESULT)

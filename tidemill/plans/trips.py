@@ -4,6 +4,7 @@ its own, reads them again through the operator, and is compared with SQL over th
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import uuid
 
 import pandas as pd
@@ -17,7 +18,7 @@ from ..sources.scratch import scratch_path
 from ..streaming import streams
 from . import slo, star
 from .fixtures import AS_OF, Tables
-from .registry import query
+from .registry import _raw_orders, query
 
 RUN = dt.datetime(2002, 1, 1)
 
@@ -388,6 +389,36 @@ def _(t: Tables) -> DataFrame:
     return t.spark.read.schema(found.schema).parquet(f"{root}/out")
 
 
+@query(
+    "b8_star_job",
+    """select 'fact_orders' as name, cast(order_id as varchar) as id, concat_ws('|', customer_id, case when order_status = 'P' then 'unknown' else order_status end, delivery_days, is_delayed, order_year, order_month) as detail from fact_orders
+    union all select 'dim_customers', cast(c_custkey as varchar), concat_ws('|', 'u' || c_custkey, c_mktsegment, upper(n_name), md5(cast(c_custkey as varchar))) from customer join nation on c_nationkey = n_nationkey
+    union all select 'dim_products', cast(p_partkey as varchar), concat_ws('|', case when p_type <> 'PROMO' then lower(p_type) end, p_size * 20 * (p_size % 9), case when p_size * 20 * (p_size % 9) < 1000 then 'Small' when p_size * 20 * (p_size % 9) < 10000 then 'Medium' else 'Large' end) from part
+    union all select 'dim_sellers', cast(s_suppkey as varchar), concat_ws('|', upper(n_name), md5(cast(s_suppkey as varchar))) from supplier join nation on s_nationkey = n_nationkey
+    union all select 'fact_order_items', cast(l_orderkey * 2 as varchar), concat_ws('|', l_linenumber, cast(l_extendedprice as decimal(14,2)) + l_linenumber, order_year, order_month) from lineitem left join fact_orders on order_id = l_orderkey * 2""",
+    "fact_orders",
+)
+def _(t: Tables) -> DataFrame:
+    """Six delimited files from the tables, with copies, late versions and items of unknown orders; the job builds and writes five."""
+    raw, out, both = scratch(t), scratch(t), F.explode(F.array(F.lit(0), F.lit(1)))
+    put = lambda df, name: df.write.option("header", True).csv(f"{raw}/{name}.csv")
+    put(_raw_orders(t), "orders")
+    people = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    put(people.withColumn("copy", both).select(F.col("c_custkey").alias("customer_id"), F.concat(F.lit("u"), "c_custkey").alias("customer_unique_id"), F.col("c_mktsegment").alias("customer_city"), F.lower("n_name").alias("customer_state")), "customers")
+    put(t.part.withColumn("copy", both).select(F.col("p_partkey").alias("product_id"), F.col("p_type").alias("product_category_name"), F.col("p_size").alias("product_length_cm"), F.lit(20).alias("product_height_cm"), (F.col("p_size") % 9).alias("product_width_cm")), "products")
+    put(t.part.where("p_type <> 'PROMO'").select(F.col("p_type").alias("product_category_name"), F.lower("p_type").alias("product_category_name_english")).distinct(), "categories")
+    put(t.dim_sellers().withColumn("copy", both).select("seller_id", F.lower("seller_state").alias("seller_state")), "sellers")
+    put(t.lineitem.select((F.col("l_orderkey") * 2).alias("order_id"), F.col("l_linenumber").alias("order_item_id"), F.col("l_extendedprice").cast("decimal(14,2)").alias("price"), F.col("l_linenumber").alias("freight_value")), "order_items")
+    made = star.build_star(t.spark, raw, out, RUN)
+    detail = {
+        "fact_orders": ("order_id", ["customer_id", "order_status", "delivery_days", "is_delayed", "order_year", "order_month"]), "dim_customers": ("customer_id", ["customer_unique_id", "customer_city", "customer_state", "customer_key"]),
+        "dim_products": ("product_id", ["product_category_name_english", F.col("product_volume_cm3").cast("long"), "product_size_category"]), "dim_sellers": ("seller_id", ["seller_state", "seller_key"]),
+        "fact_order_items": ("order_id", ["order_item_id", F.col("total_value").cast("decimal(14,2)"), "order_year", "order_month"]),
+    }
+    parts = [made[n].select(F.lit(n).alias("name"), F.col(key).cast("string").alias("id"), F.concat_ws("|", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in own]).alias("detail")) for n, (key, own) in detail.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 query(
     "s6_differences",
     """select coalesce(e, f) as k, case when f is null then 'missing' else 'extra' end as state from
