@@ -81,6 +81,9 @@ def test_equal_hashes_are_told_apart():
     w.hash[0] = np.zeros(6, np.uint64)
     first, n = phrases.tally(w, np.arange(6), 1, np.ones(6, np.int64))
     assert sorted((text[w.start[i] : w.end[i]], int(k)) for i, k in zip(first, n)) == [(b"aa", 3), (b"bb", 2), (b"cc", 1)]
+    u = lambda *x: np.array(x, np.uint64)
+    parts = [(u(5, 5, 5, 1), u(2, 1, 2, 9), np.array([1, 2, 3, 4]), np.array([8, 7, 6, 5])), (u(5), u(1), np.array([10]), np.array([3]))]
+    assert [tuple(r.values()) for r in phrases.summed(parts).to_pylist()] == [(1, 9, 4, 5), (5, 1, 12, 3), (5, 2, 4, 6)]
 
 
 def test_op13(spark, tmp_path):

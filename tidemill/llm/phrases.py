@@ -6,10 +6,11 @@ that window.  Equal chunks are one row of a dictionary with their frequency in t
 counted inside the distinct chunks, weighted by it; one that starts within the overlap belongs to the
 chunk that starts there, so each occurrence counts once.
 
-Counting runs in levels: a phrase can be frequent only if the phrases of two words in it are, and those
-only if their words are.  What is frequent is kept as a filter of bits (at most 2^27, 16 MB, whatever the
-corpus), made from counts by hash; a filter lets more through on a larger corpus, and never less.  The
-last pass counts what it lets through by text, so hashes decide on nothing.
+Counting runs in levels, of two, three, and more words: a phrase can be frequent only if the shorter ones
+in it are.  What is frequent is kept as a filter of bits (at most 2^27, 16 MB, whatever the
+corpus); a filter lets more through on a larger corpus, and never less.  Words are counted by their text.
+Phrases are counted by two independent 64-bit hashes, with the first chunk that holds them, where their
+text is read once they have turned out to be frequent.
 
 A null text has no words; a null language is `und`.  Repeated rows count as often as they stand there.
 Long texts are taken in parts that end with a piece.  An empty table gives an empty result.  Columns
@@ -18,6 +19,7 @@ besides the language and the text are not looked at.
 
 from __future__ import annotations
 
+import functools
 import pickle
 import re
 
@@ -33,7 +35,7 @@ from .simhash import mixed
 #: One window in so many is a trigger.
 TRIGGER = 16
 #: Bytes of text that a task takes at once, and entries that it gathers before it passes them on.
-SLICE, GATHER = 1 << 21, 1 << 22
+SLICE, GATHER = 1 << 20, 1 << 21
 #: Most bits of a filter, as a power of two.
 BITS = 27
 #: Parts in which a language's phrases are ranked first.
@@ -192,13 +194,13 @@ def has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 class Rows:
     """The words of dictionary rows; `owned` marks the places whose phrases belong to their row."""
 
-    def __init__(self, b: pa.RecordBatch, overlap: int, both: bool):
+    def __init__(self, b: pa.RecordBatch, overlap: int):
         lang, text = b.column(0).dictionary_encode(), b.column(1)
         offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1]
         buf = np.frombuffer(text.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
         self.names, code = lang.dictionary.to_pylist(), lang.indices.to_numpy()
-        self.words = w = Words(buf, offsets[:-1] - offsets[0], np.array([seed(x) for x in self.names], np.uint64)[code], both)
-        self.lang, self.n = code[w.row], b.column(3).to_numpy()[w.row]
+        self.words = w = Words(buf, offsets[:-1] - offsets[0], np.array([seed(x) for x in self.names], np.uint64)[code], True)
+        self.lang, self.n, self.id = code, b.column(3).to_numpy()[w.row], b.column(4).to_numpy()[w.row]
         size = np.bincount(w.row, minlength=len(text))
         place = np.arange(len(w.row)) - (np.cumsum(size) - size)[w.row]
         self.owned = (b.column(2).to_numpy()[w.row] != INNER) | (place < size[w.row] - overlap)
@@ -209,102 +211,109 @@ class Rows:
         n = max(0, len(self.left) - k + 1)
         return self.owned[:n] & (self.left[:n] >= k)
 
+    def keys(self, k: int, mask: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(hash, second hash, weight, chunk) of the phrases of k words at the places of a mask."""
+        at = np.flatnonzero(mask)
+        return self.words.longer(0, k)[at], self.words.longer(1, k)[at], self.n[at], self.id[at]
+
+
+KEYED = "h long, h2 long, n long, id long"
+
+
+def summed(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """Keys with their summed weights and first chunks."""
+    h, h2, n, first = (np.concatenate(c) for c in zip(*parts))
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    if (same & (h2[order][1:] != h2[order][:-1])).any():
+        order = np.lexsort((h2, h))
+    h, h2, n, first = h[order], h2[order], n[order], first[order]
+    begin = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])]))
+    return pa.RecordBatch.from_arrays([pa.array(h[begin].view(np.int64)), pa.array(h2[begin].view(np.int64)), pa.array(np.add.reduceat(n, begin)), pa.array(np.minimum.reduceat(first, begin))], ["h", "h2", "n", "id"])
+
 
 def counted(rows: DataFrame, pick, least: int) -> DataFrame:
-    """The hashes h that pick(batch) yields with their weights, and that come to `least` in all."""
+    """The keys that pick(batch) yields, with weights that come to `least` or more in all, and their first chunks."""
 
     def run(batches):
         held, size = [], 0
-
-        def summed():
-            h, back = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-            n = np.zeros(len(h), np.int64)
-            np.add.at(n, back, np.concatenate([x for _, x in held]))
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
-
         for b in batches:
             if b.num_rows:
-                held += pick(b)
-                size = sum(len(x) for x, _ in held)
+                held += [x for x in pick(b) if len(x[0])]
+                size = sum(len(x[0]) for x in held)
                 if size >= GATHER:
-                    yield summed()
+                    yield summed(held)
                     held, size = [], 0
         if size:
-            yield summed()
+            yield summed(held)
+
+    return rows.mapInArrow(run, KEYED).groupBy("h", "h2").agg(F.sum("n").alias("n"), F.min("id").alias("id")).where(F.col("n") >= least)
+
 
-    return rows.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h")
+def loaded(shared) -> np.ndarray:
+    """A filter, unpacked once for each of a worker's tasks."""
+    if not hasattr(shared, "unpacked"):
+        shared.unpacked = pickle.loads(shared.value)
+    return shared.unpacked
 
 
 def frequent(docs: DataFrame, least: int, longest: int, lang_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(lang, k, phrase, f) of all phrases of 1 to `longest` words that stand there `least` times, and (lang, n) of all words."""
-    overlap = longest - 1
-    entries = stage(dictionary(docs, overlap, lang_col, text_col), "chunks")
+    overlap, spark = longest - 1, docs.sparkSession
+    entries = stage(dictionary(docs, overlap, lang_col, text_col).withColumn("id", F.monotonically_increasing_id()), "chunks")
     words, chunks = entries.where(F.col("kind") == WORD), entries.where(F.col("kind") != WORD)
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    common = words.where(F.col("n") >= least).select("lang", F.lit(1).alias("k"), F.col("text").alias("phrase"), F.col("n").alias("f"))
-
-    def own_hash(b):
-        return [(Rows(b, overlap, False).words.hash[0], b.column(3).to_numpy())]
-
-    spark = docs.sparkSession
-    bits1 = share(spark, bits_of(stage(counted(words.where(F.col("n") >= least), own_hash, least), "frequent")))
-
-    def pairs(b):
-        r, bits = Rows(b, overlap, False), loaded(bits1)
-        good = has(bits, r.words.hash[0])
-        at = np.flatnonzero(r.places(2) & good[:-1] & good[1:]) if len(good) > 1 else np.zeros(0, np.int64)
-        return [(r.words.longer(0, 2)[at], r.n[at])]
-
-    two = stage(counted(chunks, pairs, least), "frequent")
-    bits2 = share(spark, bits_of(two))
-
-    def longer(b):
-        r, bits, out = Rows(b, overlap, False), loaded(bits2), []
-        good = has(bits, r.words.longer(0, 2))
-        for k in range(3, longest + 1):
-            whole = good[: max(0, len(good) - k + 2)].copy()
-            for j in range(1, k - 1):
-                whole &= good[j : j + len(whole)]
-            at = np.flatnonzero(r.places(k) & whole) if len(whole) else np.zeros(0, np.int64)
-            out.append((r.words.longer(0, k)[at], r.n[at]))
-        return out
-
-    more = stage(counted(chunks, longer, least), "frequent") if longest > 2 else two.limit(0)
-    bits3 = share(spark, bits_of(two.unionByName(more)))
+    common = words.where(F.col("n") >= least)
+
+    def own(b):
+        w = Rows(b, overlap)
+        return [w.keys(1, w.owned)]
+
+    def level(known, k: int, last: int):
+        """Keys of phrases of k to `last` words whose parts of k - 1 words are all known."""
+
+        def pick(b):
+            r, out = Rows(b, overlap), []
+            good = has(loaded(known), r.words.longer(0, k - 1))
+            for n in range(k, last + 1):
+                whole = good[: max(0, len(good) - n + k - 1)].copy()
+                for j in range(1, n - k + 2):
+                    whole &= good[j : j + len(whole)]
+                out.append(r.keys(n, r.places(n) & whole))
+            return out
+
+        return stage(counted(chunks, pick, least), "frequent")
+
+    shorter, found = stage(counted(common, own, least), "frequent"), []
+    for k, last in ((2, 2), (3, 3), (4, longest)):
+        if k <= last <= longest:
+            shorter = level(share(spark, bits_of(shorter)), k, last)
+            found.append(shorter)
+    every = functools.reduce(DataFrame.unionByName, found)
+    wanted = stage(every.groupBy("id").agg(F.collect_list("h").alias("h"), F.collect_list("h2").alias("h2"), F.collect_list("n").alias("f")), "wanted")  # the phrases of one chunk
+    homes = stage(chunks.join(checked(wanted.select("id")), "id", "left_semi"), "homes")
 
     def texts(batches):
-        held, size = [], 0
-
-        def told():
-            b = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            r, bits = Rows(b, overlap, True), loaded(bits3)
-            for k in range(2, longest + 1):
-                found = r.places(k)
-                at = np.flatnonzero(found & has(bits, r.words.longer(0, k))) if len(found) else np.zeros(0, np.int64)
-                if len(at):
-                    first, n = tally(r.words, at, k, r.n[at])
-                    names = np.array(r.names, object)[r.lang[first]]
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(np.full(len(first), k, np.int32)), strings(r.words.buf, r.words.start[first], r.words.end[first + k - 1]), pa.array(n)], ["lang", "k", "phrase", "f"])
-
+        """The text of each wanted phrase, from its first chunk."""
         for b in batches:
-            if b.num_rows:
-                held.append(b)
-                size += b.column(1).nbytes
-                if size >= 4 * SLICE:
-                    yield from told()
-                    held, size = [], 0
-        if held:
-            yield from told()
-
-    phrases = chunks.mapInArrow(texts, "lang string, k int, phrase string, f long").groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    return stage(common.unionByName(phrases), "phrases"), totals
-
-
-def loaded(shared) -> np.ndarray:
-    """A filter, unpacked once for each of a worker's tasks."""
-    if not hasattr(shared, "unpacked"):
-        shared.unpacked = pickle.loads(shared.value)
-    return shared.unpacked
+            if not b.num_rows:
+                continue
+            r, out = Rows(b, overlap), []
+            lists = [c.to_pylist() for c in b.columns[5:8]]
+            want = {(row, h, h2): f for row, x in enumerate(zip(*lists)) for h, h2, f in zip(*x)}
+            some = np.unique(np.array([h for _, h, _ in want], np.int64))
+            for k in range(2, longest + 1):
+                place = r.places(k)
+                h, h2 = (r.words.longer(i, k).view(np.int64) for i in (0, 1))
+                for i in np.flatnonzero(place & np.isin(h[: len(place)], some)):
+                    f = want.pop((int(r.words.row[i]), int(h[i]), int(h2[i])), None)
+                    if f is not None:
+                        out.append((r.names[r.lang[r.words.row[i]]], k, r.words.buf[r.words.start[i] : r.words.end[i + k - 1]].tobytes().decode(), f))
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate(kinds)], ["lang", "k", "phrase", "f"])
+
+    phrases = homes.select(*ENTRY, "id").join(wanted, "id").select(*ENTRY, "id", "h", "h2", "f").mapInArrow(texts, "lang string, k int, phrase string, f long")
+    return stage(common.select("lang", F.lit(1).alias("k"), F.col("text").alias("phrase"), F.col("n").alias("f")).unionByName(phrases), "phrases"), totals
 
 
 def collocations(docs: DataFrame, least: int = 100, longest: int = 5, first: int = 2000, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
