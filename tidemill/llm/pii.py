@@ -17,6 +17,8 @@ whatever their names.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 import zlib
 
@@ -95,7 +97,9 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
     if "@" in text:
         found += [(*m.span(), "address") for m in _ADDRESS.finditer(text)]
     out = []
+    starts, reach = [a for a, _, _ in base], list(itertools.accumulate((b for _, b, _ in base), max))
     for s, e, kind in sorted(found):
+        before_end = bisect.bisect_left(starts, e)  # base spans that start before the candidate ends
         own, before, after = text[s:e], text[max(0, s - 40) : s], text[e : e + 20]
         digits = sum(c.isdigit() for c in own)
         hexes = kind == "secret" and re.fullmatch(r"[0-9a-fA-F]+", own) is not None
@@ -106,7 +110,7 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
         }[kind]
         length = {"number": 1 if 9 <= digits <= 16 else 0, "secret": 1 if len(own) in (32, 40, 48, 56, 64) or len(own) >= 128 else -1, "address": 1 if len(own) >= 6 else 0}[kind]
         votes = [
-            1 if any(a < e and s < b for a, b, _ in base) else -1,
+            1 if before_end and reach[before_end - 1] > s else -1,
             form,
             length,
             1 if _NEAR_WORDS[kind].search(before) else -1,
@@ -165,12 +169,14 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         for b in batches:
             out = []
             for base, cands in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                spans, taken = list(base), [(x["start"], x["end"]) for x in base]
+                # Both lists are in order: of what starts before a candidate's end, the furthest end tells.
+                spans, starts, reach, taken = list(base), [x["start"] for x in base], list(itertools.accumulate((x["end"] for x in base), max)), -1
                 for c in cands:
+                    k = bisect.bisect_left(starts, c["end"])
                     z = weights.value[c["features"]].sum() + weights.value[-1]
-                    if 1 / (1 + np.exp(-z)) >= ACCEPT and not any(s < c["end"] and c["start"] < e for s, e in taken):
+                    if 1 / (1 + np.exp(-z)) >= ACCEPT and max(taken, reach[k - 1] if k else -1) <= c["start"]:
                         spans.append({k: c[k] for k in ("start", "end", "kind")})
-                        taken.append((c["start"], c["end"]))
+                        taken = max(taken, c["end"])
                 out.append(sorted(spans, key=lambda x: (x["start"], KINDS.index(x["kind"]), x["end"])))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.list_(span))], ["key", id_col, "base", "spans"])
 
