@@ -11,8 +11,8 @@ distance, then a running total over the bins (some 2,000 a group at most).  Vect
 numbers of 1/256, so sums are exact and reruns agree.
 
 A null or empty text has no words and fails.  A null language or source is a value of its own.
-Groups of fewer than MIN_ROWS documents take their language's estimate, and languages of fewer
-reject nothing beyond the base rule.  Repeated rows count each.  Further columns pass through.
+Groups of fewer than MIN_ROWS documents take their language's estimate, languages of fewer that of all
+documents; a table of fewer in all rejects nothing beyond the base rule.  Repeated rows count each.  Further columns pass through.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ MIN_ROWS = 50
 SUPPORT = 0.75
 #: 0.75 over the chance that a chi-square of 7 degrees lies below the 0.75 quantile of 5 degrees (6.626).
 CONSISTENCY = 1.41
-#: Concentration steps: on such data the determinants settle within three.
-STEPS = 3
+#: Concentration goes on until no logarithm of a determinant falls by more than SETTLED, for STEPS steps at most.
+SETTLED, STEPS = 0.001, 12
 #: Squared distance beyond which a document goes: a chi-square of 5 degrees passes it once in ten million.
 CUTOFF = 41.0
 #: Least standard deviations of the five coordinates, in their (logarithmic) units.
@@ -38,20 +38,20 @@ P, UNIT = len(FLOORS), 256
 
 _SPACE = r"[ \t\n\x0B\f\r]"
 _WORDS = rf"array_remove(split(t, r'{_SPACE}+'), '')"
-# Hashes of the windows with their positions in the low bits, sorted; equal neighbours are repeats;
+# Hashes of the windows with their positions, sorted; neighbours with equal hashes and words are repeats;
 # then each repeat adds the words that the one before it has not covered.
-_REPEATS = """case when size(w) < 4 then 0L else
+_SAME = "x.h = {0}.h and w[x.i] = w[{0}.i] and w[x.i + 1] = w[{0}.i + 1] and w[x.i + 2] = w[{0}.i + 2]"
+_REPEATS = f"""case when size(w) < 4 then 0L else
   transform(array(transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2]))), h ->
     case when size(array_distinct(h)) = size(h) then 0L else
-      transform(array(length(bin(size(h)))), b ->
-        transform(array(sort_array(transform(h, (x, i) -> shiftleft(x, b) | i))), s ->
-          aggregate(
-            sort_array(transform(
-              filter(s, (x, i) -> shiftright(x, b) = shiftright(get(s, i - 1), b) or shiftright(x, b) = shiftright(get(s, i + 1), b)),
-              x -> x & (shiftleft(1L, b) - 1L))),
-            named_struct('n', 0L, 'last', -3L),
-            (a, x) -> named_struct('n', a.n + least(3L, x - a.last), 'last', x),
-            a -> a.n))[0])[0] end)[0] end"""
+      transform(array(sort_array(transform(h, (x, i) -> named_struct('h', x, 'i', i)))), s ->
+        aggregate(
+          sort_array(transform(
+            filter(s, (x, k) -> ({_SAME.format("get(s, k - 1)")}) or ({_SAME.format("get(s, k + 1)")})),
+            x -> x.i)),
+          named_struct('n', 0L, 'last', -3),
+          (a, x) -> named_struct('n', a.n + least(3, x - a.last), 'last', x),
+          a -> a.n))[0] end)[0] end"""
 _LINES = rf"filter(split(t, '\n'), l -> l rlike r'[^ \t\n\x0B\f\r]')"
 STATS = rf"""transform(array(coalesce(text, '')), t -> named_struct(
   'word_chars', cast(length(translate(t, ' \t\n\u000B\u000C\r', '')) as bigint),
@@ -133,7 +133,11 @@ def estimates(x: DataFrame, keys: list[str]) -> DataFrame:
         core = bins.withColumn("before", before).where(F.col("before") < F.ceil(F.col("rows") * SUPPORT))
         names = ["n", *(f"s{i}" for i in range(1, P + 1)), *(f"s{i}{j}" for i, j in _pairs())]
         total = core.groupBy(*keys, "start", "rows").agg(*[F.sum(c).alias(c) for c in names])
-        est = stage(_factored(total.select(*keys, "start", "rows", *[v.alias(k) for k, v in _moments().items()])), "estimates")
+        before_it, est = est, stage(_factored(total.select(*keys, "start", "rows", *[v.alias(k) for k, v in _moments().items()])), "estimates")
+        was = before_it.select(*[F.col(k).alias(f"w_{k}") for k in (*keys, "start")], F.col("log_det").alias("was"))
+        fell = est.join(was, [F.col(k) == F.col(f"w_{k}") for k in (*keys, "start")]).agg(F.max(F.col("was") - F.col("log_det"))).first()[0]
+        if fell is None or fell <= SETTLED:
+            break
     columns = [c for c in est.columns if c not in (*keys, "start")]
     best = est.groupBy(*keys).agg(F.min_by(F.struct(*columns), F.struct("log_det", "start")).alias("e"))
     return best.select(*keys, "e.*")
@@ -145,10 +149,12 @@ def verdicts(stats: DataFrame, id_col: str = "doc_id") -> DataFrame:
     named = stage(vectors(named).select("key", id_col, "g_lang", "g_source", *STAT_COLUMNS, "base_failed", *[f"x{i}" for i in range(1, P + 1)]), "vectors")
     by_group = estimates(named, ["g_lang", "g_source"])
     by_lang = estimates(named, ["g_lang"])
+    whole = estimates(named.withColumn("g_all", F.lit(0)), ["g_all"])
     es = [f"m{i}" for i in range(1, P + 1)] + [f"l{i}{j}" for i, j in _pairs()]
     rows = named.join(checked(by_group.select("g_lang", "g_source", F.struct(*es).alias("e1")), 50_000), ["g_lang", "g_source"], "left")
     rows = rows.join(checked(by_lang.select("g_lang", F.struct(*es).alias("e2")), 50_000), ["g_lang"], "left")
-    rows = _distance(rows.withColumn("e", F.coalesce("e1", "e2")).select("*", "e.*"))
+    rows = rows.join(F.broadcast(whole.select(F.struct(*es).alias("e3"))), how="left")  # one row, or none
+    rows = _distance(rows.withColumn("e", F.coalesce("e1", "e2", "e3")).select("*", "e.*"))
     rows = rows.select("key", id_col, *STAT_COLUMNS, "base_failed", F.col("d2").alias("distance2"))
     wordless = stats.where("n_words = 0").select("key", id_col, *STAT_COLUMNS, "base_failed", F.lit(None).cast("double").alias("distance2"))
     rows = rows.unionByName(wordless)
