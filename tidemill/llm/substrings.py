@@ -367,7 +367,8 @@ def spans(docs: DataFrame, keep: str = "none", length: int = LENGTH, gram: int =
     if n:
         bins = bins.withColumn("bin", F.pmod(F.xxhash64("g1", "g2"), F.lit(-(-n // BIN))))
         found = found.unionByName(bins.groupBy("bin").applyInArrow(sort_bin, "key long, s int, e int"))
-    return found.groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    # Repeated rows share a key and give the same spans again: each counts once.
+    return found.groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
 def united(pairs: list[dict], n: int) -> list[tuple[int, int]]:
