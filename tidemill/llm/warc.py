@@ -18,9 +18,9 @@ DataFrame operations.  Further columns are not looked at.
 
 from __future__ import annotations
 
-import gzip
 import math
 import re
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -123,18 +123,55 @@ _HEADER = re.compile(rb"WARC/1\.[01]\r\n(.*?)\r\n\r\n", re.S)
 _START = re.compile(rb"WARC/1\.[01]\r\n")
 
 
+def unpacked(data: bytes) -> list[tuple[bytes, bytes]]:
+    """(bytes, packed rest) of the members of a gzip file, one after the other.  Where a member is damaged or cut
+    off, what it gave so far comes with the packed bytes that could not be read, up to the next member that can."""
+    out, at = [], 0
+    while at < len(data):
+        packed, got = zlib.decompressobj(31), b""
+        try:
+            for i in range(at, len(data), 1 << 16):
+                got += packed.decompress(data[i : i + (1 << 16)])
+                if packed.eof:
+                    break
+        except zlib.error:
+            pass
+        if packed.eof:
+            end = min(i + (1 << 16), len(data)) - len(packed.unused_data)
+            out.append((got, b""))
+        else:
+            end = at + 1
+            while 0 <= (end := data.find(b"\x1f\x8b\x08", end)) and not _opens(data, end):
+                end += 1
+            end = len(data) if end < 0 else end
+            out.append((got, data[at:end]))
+        at = end
+    return out
+
+
+def _opens(data: bytes, at: int) -> bool:
+    """Whether a member that begins a record starts here."""
+    try:
+        return zlib.decompressobj(31).decompress(data[at : at + 4096], 16)[:5] == b"WARC/"
+    except zlib.error:
+        return False
+
+
 def records_of(data: bytes) -> list[tuple[int, str | None, bytes]]:
     """(offset, id, bytes) of the records; bytes that belong to none are reported with no id, and reading goes on
-    at the next header.  A record without a usable length ends at the next header."""
+    at the next header.  A record whose length is missing, or leads neither to the empty line behind
+    a record nor to a header or the end, ends at the next header."""
     out, at = [], 0
     while at < len(data):
         m = _HEADER.match(data, at)
         if m:
             fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in m[1].split(b"\r\n"))}
             size = fields.get(b"content-length", b"")
-            after = _START.search(data, m.end())
-            end = m.end() + int(size) + 4 if size.isdigit() else after.start() if after else len(data)
-            out.append((at, fields.get(b"warc-record-id", b"").decode("utf-8", "replace"), data[at : min(end, len(data))]))
+            end = m.end() + int(size) + 4 if size.isdigit() and len(size) < 16 else -1
+            if not (0 <= end <= len(data)) or end < len(data) and not _START.match(data, end) and data[end - 4 : end] != b"\r\n\r\n":
+                after = _START.search(data, m.end())
+                end = after.start() if after else len(data)
+            out.append((at, fields.get(b"warc-record-id", b"").decode("utf-8", "replace"), data[at:end]))
         else:
             after = _START.search(data, at + 1)
             end = after.start() if after else len(data)
@@ -144,13 +181,22 @@ def records_of(data: bytes) -> list[tuple[int, str | None, bytes]]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(path, offset, record_id, payload) of the records of WARC files (.warc or .warc.gz, of at most 2 GB each);
-    offsets count unpacked bytes; rows without an id are gaps."""
+    """(path, offset, record_id, payload) of the records of WARC files (.warc or .warc.gz, of at most 2 GB each).
+
+    Offsets count unpacked bytes.  Rows without an id are gaps: bytes of no record, and the packed bytes of
+    gzip members that can't be unpacked.  Damage never ends the reading.  A file is one task's."""
 
     def run(batches):
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rows = records_of(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content)
+                at, plain, rows = 0, b"", []
+                for got, rest in unpacked(content) if content[:2] == b"\x1f\x8b" else [(content, b"")]:
+                    plain += got
+                    if rest:  # what has been read so far, then the gap
+                        rows += [(at + o, i, p) for o, i, p in records_of(plain)]
+                        at, plain = at + len(plain), b""
+                        rows.append((at, None, rest))
+                rows += [(at + o, i, p) for o, i, p in records_of(plain)]
                 cols = [[name] * len(rows), *([list(c) for c in zip(*rows)] or [[], [], []])]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.binary()))], ["path", "offset", "record_id", "payload"])
 
