@@ -3,7 +3,9 @@
 Pages are cut into blocks by their block-level elements.  A block within an article or main element is
 MAIN, one in menus, forms, comments, hidden parts and the like CHROME, one under a class or id that
 names an advert, a sidebar and the like a HINT, all others OTHER.  Names count as whole words only,
-not on the article itself, and an article within a hinted element is MAIN all the same.
+not on the article itself, and an article within a hinted element is MAIN all the same.  An article within
+a form, header, footer or aside counts on pages that have no other, and a form's text on pages that have
+no text elsewhere: what is around an article never empties a page.
 
 Token streams of a host's pages are concatenated, and a suffix array, cut at a number of tokens, finds
 the long substrings that stand on many distinct pages of the host.  What they cover is boilerplate, and
@@ -73,7 +75,7 @@ _CONTEXTS = {"tr": ("table", "tbody", "thead", "tfoot"), "td": ("table", "tbody"
 #: Start tags that end a paragraph, unless one of the latter opened within it.
 _ENDS_P = _BLOCKS - frozenset("body caption frameset head legend option select tbody td tfoot th thead tr".split())
 _KEEPS_P = ("caption", "table", "td", "th", "button")
-_AROUND = r"(?:(?:site|page|main|top|bottom|left|right|primary|secondary|global|post|entry|article|user|reader|blog|js|wp)[-_]+)*(?:%s)(?:[-_]*(?:area|list|box|wrapper|wrap|section|container|bar|widget|block|form|links?|items?|inner|outer|top|bottom|left|right|message|text|slot|unit|[0-9]+))*"
+_AROUND = r"(?:(?:site|page|main|top|bottom|left|right|primary|secondary|global|post|entry|article|user|reader|blog|google|js|wp)[-_]*)*(?:%s)(?:[-_]*(?:area|list|box|wrapper|wrap|section|container|bar|widget|block|form|links?|items?|inner|outer|top|bottom|left|right|message|text|slot|unit|main|posts?|buttons?|banner|stories|[0-9]+))*"
 #: Names of what readers write; of what never belongs to an article; and of what may be a part of one.
 _COMMENT_NAME = re.compile(_AROUND % "comments?|reply|replies|respond|disqus", re.I)
 _ALIEN_NAME = re.compile(
@@ -84,9 +86,13 @@ _LAYOUT_NAME = re.compile(_AROUND % "banner|header|masthead|topbar|side|foot|ale
 _CHROME_ROLE = re.compile(r"navigation|banner|contentinfo|search|complementary|dialog|alert|menu", re.I)
 _ATTRIBUTES = re.compile(r"""(?:"[^"]*"|'[^']*'|[^>"'])*+>""")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][\w:.-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_HIDDEN = re.compile(r"(?:^|[\s/])hidden(?=[\s=/]|$)", re.I)
 _NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
 _SPACES = re.compile(r"[ \t-\r]+")
 HINT, MAIN, OTHER, CHROME = 3, 2, 1, 0
+#: While a page is read: what is in forms, in other elements that at times wrap a page, and in articles within both.
+_FORM, _SOFT, _SUNK = 6, 5, 4
+_WRAPS = frozenset(("header", "footer", "aside"))
 
 
 def blocks_of(page: str) -> list[tuple[str, int]]:
@@ -152,7 +158,7 @@ def blocks_of(page: str) -> list[tuple[str, int]]:
                     k = ends[name] = lower.find(f"</{name}", end)
                 i = n if k < 0 else k
             continue
-        if name in _BLOCKS:
+        if name in _BLOCKS or name in _CHROME and _FORM in (open_[-1][1], open_[max(0, len(open_) - 2)][1]):
             flush()
         elif name == "br":
             text.append(" ")
@@ -172,23 +178,29 @@ def blocks_of(page: str) -> list[tuple[str, int]]:
         state = open_[-1][1]
         attributes = page[m.end() : end - 1]
         if state != CHROME:
+            main_above = state in (MAIN, _SUNK)
             found = {x[0].lower(): x[1] or x[2] or x[3] for x in _ATTRIBUTE.findall(attributes)} if "=" in attributes else {}
             names = f"{found.get('class', '')} {found.get('id', '')}".split()
             named = lambda pattern: any(map(pattern.fullmatch, names))
             main = name in _MAIN or found.get("role") in _MAIN or found.get("itemprop") == "articleBody"
             if name not in ("html", "body"):
                 if (
-                    (name in _CHROME and not (name == "header" and state == MAIN))
+                    (name in _CHROME and name not in _WRAPS and name != "form")
+                    or (name in _WRAPS and name != "header" and main_above)
                     or _CHROME_ROLE.fullmatch(found.get("role", ""))
                     or named(_COMMENT_NAME)
-                    or re.search(r"\bhidden\b", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes))
+                    or _HIDDEN.search(re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes))
                     or re.search(r"display\s*:\s*none", found.get("style", ""))
                 ):
                     state = CHROME
                 elif main:
-                    state = MAIN
+                    state = _SUNK if state in (_FORM, _SOFT, _SUNK) else MAIN
+                elif name == "form":
+                    state = CHROME if main_above else _FORM if state != _SOFT else state
+                elif name in _WRAPS and not main_above:
+                    state = _SOFT
                 elif named(_ALIEN_NAME):
-                    state = CHROME if state == MAIN else HINT
+                    state = CHROME if main_above or state in (_FORM, _SOFT) else HINT
                 elif state == OTHER and named(_LAYOUT_NAME):
                     state = HINT
         if page[end - 2] != "/":
@@ -197,7 +209,12 @@ def blocks_of(page: str) -> list[tuple[str, int]]:
                 walls.append(len(open_))
             open_.append((name, state))
     flush()
-    return out
+    # An article isn't lost to what is around it, nor a page to a form that holds all of it.
+    states = {s for _, s in out}
+    back = {}
+    if MAIN not in states:
+        back = {_SUNK: MAIN} if _SUNK in states else {_FORM: OTHER} if not states & {OTHER, HINT} else {}
+    return [(t, s if s <= HINT else back.get(s, CHROME)) for t, s in out]
 
 
 def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
