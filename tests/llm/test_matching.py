@@ -6,6 +6,7 @@ import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 from tidemill.llm import decontam, simhash, substrings
@@ -117,6 +118,16 @@ def test_many_near_copies_of_one_passage(spark, keep):
     assert sorted(repeats(docs, keep=keep, group=6)) == sorted(naive_repeats(rows, keep == "first"))
 
 
+def test_spans_of_repeated_rows_count_once(spark):
+    """A page that stands there thousands of times has the spans of one page, not one for each row and row."""
+    rng = np.random.default_rng(3)
+    page = bytes(rng.integers(97, 123, 2000).astype(np.uint8)).decode()
+    rows = spark.range(3000, numPartitions=8).select(F.when(F.col("id") < 2990, 7).otherwise(F.col("id")).alias("doc_id"), F.lit(page).alias("text"))
+    found = substrings.spans(rows).select(F.size("spans")).collect()
+    assert len(found) == 11 and max(r[0] for r in found) < 100
+    assert {tuple(r)[1:3] for r in substrings.kept_bytes(rows, substrings.spans(rows), digest=True).select("doc_id", "n_bytes", F.expr("aggregate(removed, 0L, (a, x) -> a + x.e - x.s)")).collect()} == {(2000, 2000)}
+
+
 def test_repeats_of_nothing(empty):
     assert repeats(empty) == []
 

@@ -1,6 +1,7 @@
 """Mixing, WARC audit, page text and the pipeline."""
 
 import collections
+import gzip
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -144,6 +145,31 @@ def test_read_warc(spark, tmp_path):
     assert [x[1] for x in found] == [None, "<urn:page:1>", None, "<urn:page:2>", "<urn:page:1>", "<urn:page:1>"]
     assert found[0] == (0, None, b"noise") and found[3][2] == broken and b"".join(x[2] for x in found) == b"noise" + payloads[0] + b"\x00\x01" + broken + payloads[0] + payloads[0][:-9]
     assert warc.records_of(b"") == [] and warc.records_of(b"plain") == [(0, None, b"plain")]
+    # A length that is too large or too small swallows no record behind it.
+    for size in (b"900", b"1", b"9" * 30):
+        wrong = payloads[1].replace(b"Content-Length: 2", b"Content-Length: " + size)
+        assert [x[1:] for x in warc.records_of(wrong + payloads[0])] == [("<urn:page:2>", wrong), ("<urn:page:1>", payloads[0])], size
+
+
+def test_damaged_gzip(spark, tmp_path):
+    """Members are unpacked one by one: what is cut off, damaged or added is a gap, and all else is read."""
+    pages = spark.createDataFrame([(i, f"http://a/{i}", f"<html>{'text of a page ' * 40}{i}</html>") for i in range(5)], "page_id long, url string, html string")
+    payloads = [r["payload"].encode() for r in warc.page_records(pages).orderBy("record_id").collect()]
+    packed = [gzip.compress(p) for p in payloads]
+    bad = bytearray(packed[1])
+    bad[len(bad) // 2] ^= 0xFF
+    files = {
+        "whole": (b"".join(packed), [0, 1, 2, 3, 4], 0), "one": (gzip.compress(b"".join(payloads)), [0, 1, 2, 3, 4], 0), "cut": (b"".join(packed)[:-25], [0, 1, 2, 3], 1),
+        "trailing": (b"".join(packed) + b"trailing bytes", [0, 1, 2, 3, 4], 1), "damaged": (packed[0] + bytes(bad) + b"".join(packed[2:]), [0, 2, 3, 4], 1), "noise": (packed[0] + b"\x1f\x8b\x08noise" + packed[1], [0, 1], 1), "none": (b"\x1f\x8b", [], 1),
+    }
+    for name, (data, _, _) in files.items():
+        (tmp_path / f"{name}.warc.gz").write_bytes(data)
+    got = collections.defaultdict(list)
+    for r in warc.read_warc(spark, str(tmp_path)).orderBy("path", "offset").collect():
+        got[r["path"].rpartition("/")[2].split(".")[0]].append((r["record_id"], bytes(r["payload"])))
+    for name, (_, ids, gaps) in files.items():
+        assert [p for _, p in got[name] if p in payloads] == [payloads[i] for i in ids], name
+        assert sum(i is None for i, _ in got[name]) >= gaps, name
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><article>";</script></head><body class="nav">
@@ -211,6 +237,23 @@ def test_names_never_empty_a_page():
         assert html.text_of(html.blocks_of(f"{extra}<article>{story}{extra}</article>{extra}"), None, None) == "The story of the day", extra
 
 
+def test_what_is_around_an_article_never_empties_it():
+    story = "<p>The story of the day</p>"
+    read = lambda page: html.text_of(html.blocks_of(page), None, None)
+    for page in (
+        f"<form method=post><nav>menu</nav><article>{story}</article></form>", f"<header>logo<main>{story}</main></header>", f"<aside>side<article>{story}</article>", f"<form><label>Name</label><div id=content>{story}</div><button>Go</button></form>",
+        f'<div aria-hidden="false"><article>{story}</article></div>', f'<div data-hidden="no"><article>{story}</article></div>', f"<article class=not-hidden>{story}</article>", f"<article data-x=hidden>{story}</article>",
+    ):
+        assert read(page) == "The story of the day", page
+    for extra in (
+        "<aside><article><p>Read also</p></article></aside>", "<form><p>Sign up</p></form>", "<footer><main>x</main></footer>", "<div hidden>x</div>", "<div hidden=until-found>x</div>", "<p class=x hidden>y</p>",
+        '<div class="related-posts">More</div>', '<div class="google-ads">Buy</div>', '<div class="cookie-banner">We use</div>', '<div class="share-buttons">Share</div>', '<div class="menu-main">Home</div>', '<div class="topnav">Home</div>',
+    ):
+        assert read(f"{extra}<article>{story}</article>{extra}") == "The story of the day", extra
+    for extra in ('<div class="related-posts">More</div>', '<div class="share-buttons">Share</div>', "<form><p>Sign up</p></form>", "<aside><p>Side</p></aside>"):
+        assert read(f"<main>{story}{extra}</main>") == "The story of the day", extra
+
+
 def test_repetition_decides_within_articles(spark):
     """A notice within the articles of most pages goes; texts that two pages share, and passages of some, stay."""
     rng = np.random.default_rng(11)
