@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import tracemalloc
 
 import numpy as np
@@ -43,24 +44,32 @@ def naive_contamination(text, items):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize(("block", "piece"), [(1_000_000, 20_000), (300, 7)])
-def test_contamination(spark, docs, monkeypatch, block, piece):
-    monkeypatch.setattr(decontam, "blocks_of", lambda d, most=block, f=decontam.blocks_of: f(d, most))
-    monkeypatch.setattr(decontam, "pieces", lambda d, w, f=decontam.pieces: f(d, w, piece))
+@pytest.mark.parametrize(("slice_", "part", "most"), [(1 << 20, 100_000, 32_000_000), (300, 15, -1)])
+def test_contamination(spark, docs, monkeypatch, slice_, part, most):
+    """Whole, and in small slices and parts, with joins that shuffle."""
+    for name, x in (("SLICE", slice_), ("PART", part), ("BROADCAST_BYTES", most)):
+        monkeypatch.setattr(decontam, name, x)
     all_ = texts()
     items = [("i1", " ".join(all_[4].split()[10:40])), ("i2", "One, TWO"), ("i3", None), ("i4", ""), ("i5", "spam ham spam ham spam ham spam ham spam ham spam"), ("i1b", " ".join(all_[4].split()[12:30])), ("ü", "ünï çödé àÉ"), (None, "two one"), (None, "TWO one one")]
     bench = spark.createDataFrame([(k, t, 1) for k, t in items], BENCH)
     got = decontam.contaminated(docs, bench)
     want = sorted(naive_contamination(r["text"], items) for r in docs.collect())
-    have = []
-    for r in got.collect():
-        s = r["spans"]
-        have += [(r["n_words"], sum(b - a for a, b in zip(s[::2], s[1::2])), r["items"])] * r["rows"]
+    have = [(r["n_words"], sum(b - a for a, b in zip(r["spans"][::2], r["spans"][1::2])), r["items"]) for r in got.collect()]
     assert sorted(have) == want
     kept = decontam.keep_clean(docs, bench)
     assert kept.columns == docs.columns and kept.count() == sum(not w[2] for w in want)
 
 
+def test_a_large_benchmark_gives_rows_for_hits_only(spark, docs, tmp_path):
+    """Thousands of items over clean documents and some that hold one: nothing is made for a document and an item that don't meet."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    items = [(f"i{k}", " ".join(word() for _ in range(30)), 1) for k in range(3000)]
+    data = [(i, " ".join(word() for _ in range(80)) + (" " + items[i][1] if i % 50 == 0 else ""), "x") for i in range(400)]
+    found = decontam.contaminated(spark.createDataFrame(data, "doc_id long, text string, key string"), spark.createDataFrame(items, BENCH))
+    assert {r["doc_id"]: r["items"] for r in found.where("size(items) > 0").collect()} == {i: [f"i{i}"] for i in range(0, 400, 50)} and found.count() == 400
+
+
 def test_contamination_of_nothing(spark, docs, empty):
     none = spark.createDataFrame([], BENCH)
     assert decontam.keep_clean(docs, none).count() == docs.count()
