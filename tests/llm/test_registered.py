@@ -3,11 +3,13 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from tidemill.llm.common import row_key
 
-from .test_matching import naive_contamination, naive_fingerprint, naive_repeats
-from .test_scoring import naive_base, naive_counts
+from .test_matching import naive_contamination, naive_fingerprint, naive_repeats, naive_runs
+from .test_scoring import naive_base, naive_classifier, naive_counts, naive_kept
 
 ITEMS = [("i1", "One, TWO"), ("i2", None), ("", "spam ham spam ham spam ham spam ham spam ham spam"), (None, "two one"), ("ü", "ünï çödé àÉ")]
 
@@ -42,6 +44,20 @@ def test_op1(spark, folder, rows):
     same(spark, folder, "op1_pii", ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"], [one(*r) for r in rows])
 
 
+def test_op2(spark, folder, rows):
+    # Only the order of the examples is the operator's own: by a hash of id and text.
+    keyed = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", F.xxhash64(F.lit(11), row_key()).alias("place"))
+    naive_classifier.places = {(r["doc_id"], r["text"] or ""): r["place"] for r in keyed.collect()}
+    want = naive_classifier(rows)
+    got = __spark_entry__.queries()["op2_quality_classifier"](spark, folder).collect()
+    assert sorted((str(r["doc_id"]), r["votes"], round(r["weak_label"], 6), round(r["score"], 5)) for r in got) == sorted((str(i), *x) for i, x in want)
+
+
+def test_op5_verdicts(spark, folder, docs):
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in docs.collect()]
+    same(spark, folder, "op5_quality_rules", ["doc_id", "kept"], naive_kept(rows))
+
+
 def test_op3(spark, folder, rows):
     def one(i, text):
         n, hit, items = naive_contamination(text, ITEMS)
@@ -59,7 +75,8 @@ def test_op5(spark, folder, rows):
 
 
 def test_op7(spark, folder, rows):
-    want = naive_repeats([(i, t.encode()) for i, t in rows])
+    want, runs = naive_repeats([(i, t.encode()) for i, t in rows]), naive_runs([(i, t.encode()) for i, t in rows])
+    same(spark, folder, "op7_substrings", ["doc_id", "n_spans"], runs)
     same(spark, folder, "op7_substrings", ["doc_id", "n_bytes", "n_removed", "kept_sha256"], want)
 
 

@@ -158,6 +158,85 @@ def naive_mcd(x):
     return best
 
 
+def naive_kept(rows):
+    """Verdicts of all documents by the rules, with the estimates of naive_mcd()."""
+    out, x, groups = [], {}, collections.defaultdict(list)
+    for k, (_, text, lang, source) in enumerate(rows):
+        n, chars, symbols, dup, again = naive_counts(text)
+        if n:
+            logs = (math.log(chars / n), math.log(1 + 100 * symbols / chars), math.log(1 + 1000 * dup / n), math.log(1 + 100 * again / n), math.log(n))
+            x[k] = np.floor(256 * np.array(logs) + 0.5)
+            for g in ((0, lang, source), (1, lang), (2,)):
+                groups[g].append(k)
+    estimate = {g: naive_mcd(np.array([x[k] for k in own]))[1:] for g, own in groups.items() if len(own) >= rules.MIN_ROWS}
+    for k, (i, text, lang, source) in enumerate(rows):
+        n, _, _, _, again = naive_counts(text)
+        best = next((estimate[g] for g in ((0, lang, source), (1, lang), (2,)) if g in estimate), None)
+        d2 = 0.0 if best is None or k not in x else float((np.linalg.solve(np.linalg.cholesky(best[1]), x[k] / 256 - best[0]) ** 2).sum())
+        out.append((i, n >= 50 and 100 * again <= 50 * n and d2 <= rules.CUTOFF))
+    return out
+
+
+def naive_votes(text):
+    """The labellers' votes, letter by letter."""
+    words = re.findall(r"[^ \t\n\x0b\x0c\r]+", text)
+    if not words:
+        return [0] + [-1] * 7
+    n, chars = len(words), sum(len(w.encode()) for w in words)
+    letters = sum(len(c.encode()) for c in text if c.isascii() and c.isalpha() or ord(c) > 127)
+    low = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words]
+    lines = [x for x in text.split("\n") if re.search(r"[^ \t\x0b\x0c\r]", x)]
+    again = 1 - len(set(lines)) / len(lines)
+    ended = sum(re.sub(r"[ \t\x0b\x0c\r]+$", "", x)[-1] in ".!?\"'" for x in lines) / len(lines)
+    stops = sum(w.encode() in quality.STOP_WORDS for w in low) / n
+    share = lambda cs: sum(c in cs for c in text) / chars
+    bounds = [(n >= 80, n < 40), (letters / chars > 0.93, letters / chars < 0.8), (share("#*$%&|<>{}[]=~^\\@_+!") < 0.02, share("#*$%&|<>{}[]=~^\\@_+!") > 0.08)]
+    upper, mean, kinds = sum("A" <= c <= "Z" for c in text) / chars, chars / n, len(set(low)) / min(n, math.sqrt(1000 * n))
+    bounds += [(upper < 0.1, upper > 0.4), (stops > 0.12, stops < 0.03), (3.5 < mean < 8, mean < 2.5 or mean > 12), (ended > 0.6 and again < 0.1, ended < 0.2 or again > 0.3), (kinds > 0.35, kinds < 0.15)]
+    return [1 if good else 0 if bad else -1 for good, bad in bounds]
+
+
+def naive_classifier(rows):
+    """(id, (votes, weak label, score)) of all (id, text): expectation-maximisation document by document, and the scorer step by step."""
+    votes = [naive_votes(t) for _, t in rows]
+    q = [(sum(x == 1 for x in v) + 1) / (sum(x >= 0 for x in v) + 2) for v in votes]
+    for _ in range(200):
+        prior = min(0.95, max(0.05, (sum(q) + 1) / (len(q) + 2)))
+        mass = [sum(1 - x for x in q), sum(q)]
+        p = [[{x: (sum((w, 1 - w)[1 - label] for w, v in zip(q, votes) if v[j] == x) + 0.5) / (mass[label] + 1.5) for x in (-1, 0, 1)} for j in range(8)] for label in (0, 1)]
+        new = []
+        for v in votes:
+            up = prior * math.prod(p[1][j][v[j]] for j in range(8))
+            down = (1 - prior) * math.prod(p[0][j][v[j]] for j in range(8))
+            new.append(up / (up + down))
+        done, q = max(abs(a - b) for a, b in zip(new, q)) < 1e-9, new
+        if done:
+            break
+    # Each distinct document is an example once; their order is the operator's.
+    examples = {}
+    for (i, t), target in zip(rows, q):
+        examples.setdefault((i, t), (quality.features_of(t.encode()), target))
+    order = naive_classifier.places
+    train = [examples[key] for key in sorted(examples, key=lambda k: order[k])]
+    w, g, rng = collections.defaultdict(float), collections.defaultdict(lambda: 1e-6), np.random.default_rng(0)
+    for _ in range(8):
+        perm = rng.permutation(len(train))
+        for k in range(0, len(perm), 64):
+            grad, part = collections.defaultdict(float), [train[i] for i in perm[k : k + 64]]
+            for (at, x), target in part:
+                miss = 1 / (1 + math.exp(-max(-30, min(30, sum(w[a] * np.float32(b) for a, b in zip(at, x)) + w["bias"])))) - target
+                for a, b in zip(at, x):
+                    grad[a] += miss * np.float32(b) / len(part)
+                grad["bias"] += miss / len(part)
+            for a, d in grad.items():
+                if d:
+                    d += 1e-5 * w[a]
+                    g[a] += d * d
+                    w[a] -= 0.3 * d / math.sqrt(g[a])
+    score = lambda f: 1 / (1 + math.exp(-max(-30, min(30, sum(w[a] * b for a, b in zip(*f)) + w["bias"]))))
+    return [(i, (",".join(map(str, v)), round(x, 6), round(score(quality.features_of(t.encode())), 5))) for (i, t), v, x in zip(rows, votes, q)]
+
+
 def test_estimates(spark):
     rng = np.random.default_rng(2)
     x = np.round(rng.standard_normal((400, 5)) * [30, 80, 100, 90, 200] + [400, 300, 200, 500, 1500]).astype(int)
