@@ -4,6 +4,7 @@ import collections
 import gzip
 
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -87,6 +88,17 @@ def test_repeated_rows_meet_their_target(spark):
     assert mixed.where("doc_id = 2").groupBy("mix_shard").count().agg({"count": "max"}).first()[0] <= 3
 
 
+def test_shards_in_files_by_order(spark, tmp_path):
+    """A shard beyond a file is cut by its order; files by name, rows as they lie, give the shuffled shard."""
+    mixed = spark.range(900).select("id", (F.col("id") % 3).cast("int").alias("mix_shard"), F.xxhash64("id").alias("mix_order"))
+    mixing.write_shards(mixed, str(tmp_path / "out"), rows=100)
+    for k in range(3):
+        files = sorted(str(p) for p in (tmp_path / "out" / f"mix_shard={k}").glob("*.parquet"))
+        got = [r for f in files for r in pq.read_table(f, partitioning=None)["mix_order"].to_pylist()]
+        assert got == sorted(got) and len(got) == 300 and len(files) >= 3
+    mixing.write_shards(mixed.where("false"), str(tmp_path / "none"))
+
+
 def test_mixing_edges(docs, empty):
     each, _ = mixing.mix(docs)
     assert each.count() == docs.count() and mixing.mixed_documents(empty).count() == 0

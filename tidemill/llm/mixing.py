@@ -202,9 +202,16 @@ def taken_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     return out.select(id_col, "size", "source_size", "target", taken.alias("taken"), times.alias("times"), F.coalesce("copies", nothing).alias("copies"))
 
 
-def write_shards(mixed: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Write a mix as one folder a shard, shuffled within it."""
-    parts = mixed.repartition(shards, "mix_shard").sortWithinPartitions("mix_shard", "mix_order")
+#: Rows of a file of a shard, about.
+FILE_ROWS = 500_000
+
+
+def write_shards(mixed: DataFrame, path: str, rows: int | None = None) -> None:
+    """Write a mix as one folder a shard, shuffled within it.  Shards of any size are cut into files of about
+    `rows` (FILE_ROWS) rows by ranges of their order: the files of a shard, by name, are its order."""
+    mixed = stage(mixed, "mixed")  # borders are sampled from what is written
+    files = max(1, -(-mixed.count() // (rows or FILE_ROWS)))
+    parts = mixed.repartitionByRange(files, "mix_shard", "mix_order").sortWithinPartitions("mix_shard", "mix_order")
     parts.write.partitionBy("mix_shard").parquet(path)
 
 
