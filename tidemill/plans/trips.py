@@ -78,7 +78,7 @@ def _(t: Tables) -> DataFrame:
     return files.read_table(t.spark, "orders", url, split_by="o_orderkey", parts=4).where("o_orderstatus <> 'P'").drop("o_orderstatus")
 
 
-@query("k5_database_load", "select o_orderstatus, count(*) * case when o_orderstatus = 'F' then 3 else 1 end as n, cast(sum(cast(o_totalprice as decimal(14,2))) as double) * case when o_orderstatus = 'F' then 3 else 1 end as price, 0 as of_nothing from orders group by 1")
+@query("k5_database_load", "select o_orderstatus, count(*) * case when o_orderstatus = 'F' then 3 else 1 end as n, cast(sum(cast(o_totalprice as decimal(14,2))) * case when o_orderstatus = 'F' then 3 else 1 end as double) as price, 0 as of_nothing from orders group by 1")
 def _(t: Tables) -> DataFrame:
     """A load, a replacement, two appended parts, and an empty one."""
     url, o = _database(t), t.orders.select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(14,2)").alias("price"))
