@@ -142,16 +142,19 @@ def naive_mcd(x):
     floors = np.diag(np.array(rules.FLOORS) ** 2)
     q = np.percentile((x / 8).astype(np.int64), [25, 50, 75], axis=0)
     starts = [(x.mean(0) / 256, np.cov(x.T, bias=True) / 65536 * rules.CONSISTENCY + floors), (q[1] * 8 / 256, np.diag(((q[2] - q[0]) * 8 / 256 / 1.349) ** 2) + floors)]
-    for m, c in starts:
-        for _ in range(rules.STEPS):
-            was = np.linalg.slogdet(c)[1]
+    for _ in range(rules.STEPS):
+        after = []
+        for m, c in starts:
             y = np.linalg.solve(scale(c), (x / 256 - m).T)
             bins = np.floor(np.log(1 + (y**2).sum(0)) * 64).astype(int)
             k = next(b for b in np.sort(np.unique(bins)) if (bins <= b).sum() >= math.ceil(n * rules.SUPPORT))
             core = x[bins <= k]
-            m, c = core.mean(0) / 256, np.cov(core.T, bias=True) / 65536 * rules.CONSISTENCY + floors
-            if was - np.linalg.slogdet(c)[1] <= 0:
-                break
+            after.append((core.mean(0) / 256, np.cov(core.T, bias=True) / 65536 * rules.CONSISTENCY + floors))
+        fell = max(np.linalg.slogdet(c)[1] - np.linalg.slogdet(d)[1] for (_, c), (_, d) in zip(starts, after))
+        starts = after
+        if fell <= rules.SETTLED:
+            break
+    for m, c in starts:
         det = np.linalg.slogdet(c)[1]
         if best is None or det < best[0] - 1e-12:
             best = (det, m, c)

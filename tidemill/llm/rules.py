@@ -29,7 +29,7 @@ SUPPORT = 0.75
 #: 0.75 over the chance that a chi-square of 7 degrees lies below the 0.75 quantile of 5 degrees (6.626).
 CONSISTENCY = 1.41
 #: Concentration goes on until no logarithm of a determinant falls by more than SETTLED, for STEPS steps at most.
-SETTLED, STEPS = 0.001, 12
+SETTLED, STEPS = 0.01, 8
 #: Squared distance beyond which a document goes: a chi-square of 5 degrees passes it once in ten million.
 CUTOFF = 41.0
 #: Least standard deviations of the five coordinates, in their (logarithmic) units.
