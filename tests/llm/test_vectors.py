@@ -161,4 +161,4 @@ def test_audit_widens_the_search(spark, monkeypatch):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.01])], "vec_id long, embedding array<float>")
     with pytest.raises(RuntimeError, match="less than"):
         neighbours.near_vectors(df)
-    assert seen == [(3, 24), (6, 48), (12, 96), (24, 192)]
+    assert seen == [(4, 24), (8, 48), (16, 96), (32, 192)]

@@ -336,7 +336,7 @@ def true_links(nodes: DataFrame, asked: DataFrame, threshold: float) -> DataFram
     return nodes.select("key", "vec", "n").mapInArrow(run, "key long, links long").groupBy("key").agg(F.sum("links").alias("links"))
 
 
-def near_vectors(emb: DataFrame, threshold: float = 0.95, overlap: int = 3, beam: int = 24, tile: int = TILE, recall: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def near_vectors(emb: DataFrame, threshold: float = 0.95, overlap: int = 4, beam: int = 24, tile: int = TILE, recall: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept, recall) for each row: links at a cosine of `threshold` or more,
     the smallest id in reach, and the share of the audited vectors' links that were found."""
     kind = "array<float>" if emb.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"
