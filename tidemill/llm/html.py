@@ -34,9 +34,11 @@ from __future__ import annotations
 import hashlib
 import html as references
 import re
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -365,10 +367,12 @@ def boilerplate(streams: DataFrame, length: int = REPEAT, whole: bool = True, mo
 
 def unique_runs(blocks: list[tuple[str, int]], starts: list[int] | None, state: int, length: int = REPEAT) -> str:
     """The blocks of a state, without repeated runs and whole blocks."""
+    if not starts:
+        return "\n\n".join(t for t, s in blocks if s == state)
     cut = [t.split(" ") for t, _ in blocks]
     hit = np.zeros(sum(map(len, cut)), np.int8)
-    whole = {-1 - k for k in starts or () if k < 0}
-    for k in starts or ():
+    whole = {-1 - k for k in starts if k < 0}
+    for k in starts:
         if k >= 0:
             hit[k : k + length] = 1
     out, at = [], 0
@@ -417,9 +421,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     def run(batches):
         for b in batches:
-            text = []
-            for blocks, main, starts in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
-                text.append(text_of([(x["text"], x["state"]) for x in blocks or ()], starts if main else None, None if main else starts))
+            text, own = [], b.column(2).flatten()
+            each = zip(pc.struct_field(own, "text").to_pylist(), pc.struct_field(own, "state").to_pylist())
+            for n, main, starts in zip(pc.list_value_length(b.column(2)).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
+                text.append(text_of(list(islice(each, n or 0)), starts if main else None, None if main else starts))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string())], [id_col, url_col, "text"])
 
     return joined.mapInArrow(run, f"{id_col} {kinds[id_col]}, {url_col} {kinds[url_col]}, text string")
