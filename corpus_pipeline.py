@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read
 again as the next one's docs.
+
+A document without a text, or with an empty one, has fewer words than the rules ask for and goes in the
+first stage.  Of near copies the one with the smallest id stays, rows without an id last; of repeated rows
+one.  A row without an id is told apart by its text.  An empty table gives an empty result, an empty
+benchmark rejects nothing.  Further columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
