@@ -1,13 +1,19 @@
 import datetime as dt
+import importlib.util
 import itertools
+import os
+import subprocess
+import sys
 import threading
 from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tidemill.operators.quality import Contract, QualityError, enforce, split_rows
-from tidemill.sources import files, landing, runs, sinks, snapshots
+from tidemill.sources import database, files, landing, runs, sinks, snapshots
 
 from .conftest import rows
 
@@ -332,3 +338,72 @@ def test_database_tables(spark):
         sinks.load_table(df, "t", "fail", url)
     assert sinks.load_table(df.where("id = 7"), "t", "replace", url) == 1 and files.read_table(spark, "t", url, split_by="id").count() == 1
     assert sinks.load_table(df.where("id < 3"), "t", "append", url, batch=2) == 3 and rows(files.read_table(spark, "t", url).select("id")) == [(0,), (1,), (2,), (7,)]
+
+
+def test_database_file(spark, tmp_path):
+    """Modes, whole loads, types and nulls of a database file, written and read by several tasks."""
+    url = database.database_url(spark, f"file://{tmp_path}/db")
+    df = spark.range(0, 50, 1, 4).select(
+        "id", F.when(F.col("id") % 5 > 0, F.col("id") * 2).alias("k"), F.timestamp_seconds(F.col("id") * 86400).alias("at"), F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("day"), F.format_string("%05d", "id").alias("text"),
+        (F.col("id") / 7).alias("x"), (F.col("id") == 3).alias("is"), F.expr("cast(id as decimal(30,0)) * 1000000000000000000000 + 0.01BD").alias("price"), F.encode(F.lit("ä"), "UTF-8").alias("raw"), F.lit(None).cast("smallint").alias("a \" b"),
+    )
+    load = lambda d, mode, table="t": sinks.load_table(d, table, mode, url, batch=7)
+    assert load(df.limit(0), "fail", "u") == 0 and load(df, "fail") == 50 and load(df.limit(0), "replace") == 0
+    for c, parts in (("id", 4), ("k", 3), (None, 5)):
+        got = files.read_table(spark, "t", url, split_by=c, parts=parts)
+        assert got.dtypes == df.dtypes and got.rdd.getNumPartitions() == parts and rows(got) == rows(df)
+    for mode in ("append", "replace"):  # a load that fails on one task changes nothing
+        with pytest.raises(Exception, match="NaN"):
+            load(df.withColumn("x", F.when(F.col("id") != 30, F.col("x")).otherwise(F.lit(float("nan")))), mode)
+        assert rows(files.read_table(spark, "t", url)) == rows(df)
+    with pytest.raises(ValueError, match="already exists"):
+        load(df, "fail")
+    with pytest.raises(ValueError, match="has columns"):
+        load(df.select("id"), "append")
+    with pytest.raises(TypeError):
+        load(spark.range(1).select(F.array("id").alias("a")), "replace")
+    with pytest.raises(ValueError):
+        files.read_table(spark, "u", url)
+    assert load(df.where("id = 7"), "replace") == 1 and load(df.where("id < 3"), "append") == 3
+    assert rows(files.read_table(spark, "t", url).select("id")) == [(0,), (1,), (2,), (7,)]
+
+
+def test_a_repeated_task_adds_no_rows(spark, tmp_path):
+    url = database.database_url(spark, f"file://{tmp_path}/db")
+    path = url.removeprefix(database.PREFIX)
+    with database._open(path) as db:
+        db.execute(database._LOADS)
+        db.execute("create table t (id bigint)")
+        db.execute("insert into _loads values ('l', -1, 0, null, null)")
+    for _ in range(2):
+        spark.range(0, 10, 1, 3).mapInArrow(database._writer(path, "t", ["id"], "l", 4), "n long").collect()
+        assert rows(files.read_table(spark, "t", url)) == [(k,) for k in range(10)]
+
+
+def test_database_queries_on_a_cluster(tmp_path):
+    """The database queries on executors of their own, by the entry of all queries."""
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test data")
+    code = f"""
+import sys
+import __spark_entry__
+from pyspark.sql import SparkSession
+conf = {{"spark.master": "local-cluster[2,1,1024]", "spark.ui.enabled": "false", "spark.checkpoint.dir": "file://{tmp_path}/shared", "spark.sql.warehouse.dir": "{tmp_path}/wh", "spark.sql.shuffle.partitions": "2"}}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+q = __spark_entry__.queries()
+print("rows", q["s3_database_read"](spark, "/root/testdata/sf0.001").count(), q["k5_database_load"](spark, "/root/testdata/sf0.001").count())
+"""
+    top = Path(__file__).resolve().parent.parent
+    home, own = Path(importlib.util.find_spec("pyspark").origin).parent, tmp_path / "home"
+    (own / "work").mkdir(parents=True)
+    for p in home.iterdir():
+        if p.name != "work":
+            (own / p.name).symlink_to(p)
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK", "SPARK"))} | {"PYTHONPATH": str(top), "PYSPARK_PYTHON": sys.executable, "SPARK_HOME": str(own), "SPARK_LOCAL_IP": "127.0.0.1", "SPARK_SCALA_VERSION": "2.13", "PYTHONDONTWRITEBYTECODE": "1"}
+    done = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert done.stdout.split("rows ")[-1].split() == [str(n) for n in _orders_by_status()], done.stderr[-2000:]
+
+
+def _orders_by_status():
+    c = duckdb.connect()
+    return c.execute("select count(*) filter (where o_orderstatus <> 'P'), count(distinct o_orderstatus) from '/root/testdata/sf0.001/orders.parquet'").fetchall()[0]

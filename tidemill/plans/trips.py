@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregate as agg
 from ..operators import conform, quality
-from ..sources import files, landing, runs, sinks, snapshots
+from ..sources import database, files, landing, runs, sinks, snapshots
 from ..sources.scratch import scratch_path
 from ..streaming import streams
 from . import slo, star
@@ -66,15 +66,19 @@ def _(t: Tables) -> DataFrame:
 
 
 def _database(t: Tables) -> str:
-    """A new in-memory database of the driver; a cluster's tasks need one that they can reach."""
-    return f"jdbc:derby:memory:tidemill{uuid.uuid4().hex};create=true"
+    """A new database in the shared folder, where all tasks of a cluster reach it."""
+    return database.database_url(t.spark, scratch(t))
+
+
+def _parts(t: Tables) -> int:
+    return t.spark.sparkContext.defaultParallelism
 
 
 @query("s3_database_read", "select o_orderkey, o_totalprice, o_orderpriority, cast(o_orderdate as date) as day from orders where o_orderstatus <> 'P'")
 def _(t: Tables) -> DataFrame:
-    """A database table, read back in parts by its key."""
+    """A database table, read back in parts."""
     url, o = _database(t), t.orders.select("o_orderkey", "o_totalprice", "o_orderpriority", F.to_date("o_orderdate").alias("day"), "o_orderstatus")
-    sinks.load_table(o, "orders", url=url, createTableColumnTypes="o_orderpriority varchar(20), o_orderstatus varchar(1)")
+    sinks.load_table(o, "orders", url=url)
     return files.read_table(t.spark, "orders", url, split_by="o_orderkey", parts=4).where("o_orderstatus <> 'P'").drop("o_orderstatus")
 
 
@@ -82,13 +86,13 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """A load, a replacement, two appended parts, and an empty one."""
     url, o = _database(t), t.orders.select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(14,2)").alias("price"))
-    load = lambda df, mode: sinks.load_table(df, "orders", mode, url, batch=500, createTableColumnTypes="o_orderstatus varchar(1)")
+    load = lambda df, mode: sinks.load_table(df, "orders", mode, url, batch=500)
     load(o.where("o_orderstatus = 'P'"), "fail")
     load(o, "replace")
     for _ in range(2):
         load(o.where("o_orderstatus = 'F'"), "append")
     none = load(o.where("false"), "replace")
-    got = files.read_table(t.spark, "orders", url, split_by="o_orderkey", parts=3)
+    got = files.read_table(t.spark, "orders", url, parts=_parts(t))
     return got.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("price").cast("double").alias("price"), F.lit(none).alias("of_nothing"))
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from . import database
+
 
 class SourceError(ValueError):
     """A source that is missing or holds nothing."""
@@ -56,12 +58,15 @@ def read_directory(spark: SparkSession, path: str, pattern: str = "*.csv", schem
 
 
 def read_table(spark: SparkSession, name: str, url: str | None = None, split_by: str | None = None, parts: int = 8, **options: str) -> DataFrame:
-    """A table of the catalogue, or of a database if a JDBC url is given.
+    """A table of the catalogue, or of a database if a JDBC url, or sqlite: and a file's path, is given.
 
     split_by, a whole number, date or timestamp column, parts the read: the database is asked for its ends
-    first, and `parts` tasks then read a range each (rows without a value go with the first)."""
+    first, and `parts` tasks then read a range each (rows without a value go with the first).  A SQLite table is always read in parts: by a whole
+    number column, or by the numbers of its rows, which need no index."""
     if url is None:
         return spark.table(name)
+    if url.startswith(database.PREFIX):
+        return database.read(spark, url.removeprefix(database.PREFIX), name, split_by, parts)
     reader = spark.read.format("jdbc").options(url=url, **options)
     if split_by:
         c = spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(split_by)

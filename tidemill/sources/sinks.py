@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import database
 from .files import table_fingerprint
 from .snapshots import Snapshots
 
@@ -93,7 +94,7 @@ def read_manifests(spark: SparkSession, root: str) -> DataFrame:
 
 
 def load_table(df: DataFrame, table: str, mode: str = "append", url: str | None = None, batch: int = 10_000, **options: str) -> int:
-    """Load into a table of the catalogue, or of a database by JDBC; modes append, replace, fail.
+    """Load into a table of the catalogue, of a database by JDBC, or of a SQLite file (sqlite: and its path); modes append, replace, fail.
     Returns the number of rows; an empty frame loads nothing."""
     modes = {"append": "append", "replace": "overwrite", "fail": "errorifexists"}
     if mode not in modes:
@@ -102,6 +103,8 @@ def load_table(df: DataFrame, table: str, mode: str = "append", url: str | None
         raise ValueError(f"unsafe table name {table!r}")
     if not isinstance(df, DataFrame):
         raise TypeError("a DataFrame is needed")
+    if url and url.startswith(database.PREFIX):
+        return database.load(df, url.removeprefix(database.PREFIX), table, mode, batch)
     n = df.count()
     if n == 0:
         return 0
