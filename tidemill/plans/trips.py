@@ -79,7 +79,7 @@ def _(t: Tables) -> DataFrame:
     """A database table, read back in parts."""
     url, o = _database(t), t.orders.select("o_orderkey", "o_totalprice", "o_orderpriority", F.to_date("o_orderdate").alias("day"), "o_orderstatus")
     sinks.load_table(o, "orders", url=url)
-    return files.read_table(t.spark, "orders", url, split_by="o_orderkey", parts=4).where("o_orderstatus <> 'P'").drop("o_orderstatus")
+    return files.read_table(t.spark, "orders", url, parts=_parts(t)).where("o_orderstatus <> 'P'").drop("o_orderstatus")
 
 
 @query("k5_database_load", "select o_orderstatus, count(*) * case when o_orderstatus = 'F' then 3 else 1 end as n, cast(sum(cast(o_totalprice as decimal(14,2))) * case when o_orderstatus = 'F' then 3 else 1 end as double) as price, 0 as of_nothing from orders group by 1")
