@@ -12,6 +12,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tidemill.operators import dedupe
 from tidemill.operators.quality import Contract, QualityError, enforce, split_rows
 from tidemill.sources import database, files, landing, runs, sinks, snapshots
 
@@ -407,3 +408,22 @@ print("rows", q["s3_database_read"](spark, "/root/testdata/sf0.001").count(), q[
 def _orders_by_status():
     c = duckdb.connect()
     return c.execute("select count(*) filter (where o_orderstatus <> 'P'), count(distinct o_orderstatus) from '/root/testdata/sf0.001/orders.parquet'").fetchall()[0]
+
+
+def test_distinct_rows_in_bounded_tasks(spark):
+    """As many tasks as asked for, none of which holds more than its share of the rows; copies, also those of other partitions, go."""
+    df = spark.range(0, 4000, 1, 2).select((F.col("id") % 1000).alias("k"), F.when(F.col("id") % 2 == 0, "a").alias("v"))
+    got = dedupe.distinct_rows(df.unionByName(spark.range(300).select(F.lit(7).alias("k"), F.lit(None).cast("string").alias("v"))), 8)
+    held = [r[0] for r in got.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(held) == 8 and max(held) < 250 and rows(got) == rows(df.distinct())
+
+
+def test_runs_of_files_sort_nothing(spark, tmp_path, monkeypatch):
+    """Rows are written without a sort by outcome and deduplicated in tasks of bounded size."""
+    (tmp_path / "in").mkdir()
+    write(tmp_path / "in" / "a.csv", "id,name\n" + "".join(f"{k},x\n" for k in range(40)) * 2)
+    monkeypatch.setattr(landing, "_ROWS", 10)
+    landed = landing.run_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), ["id", "name"])
+    assert landed.totals["rows_extracted"] == 80 and landed.totals["rows_loaded"] == landed.rows.count() == 40
+    assert not [n for n in snapshots.names(spark, f"{tmp_path}/out/bronze") if n.startswith("outcome=")]
+    assert len(snapshots.files_below(spark, f"{tmp_path}/out/rows/_data")) > 4

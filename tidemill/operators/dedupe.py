@@ -25,8 +25,14 @@ def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column])
     return _one(df, keys, [col(c).desc_nulls_last() for c in order])
 
 
-def distinct_rows(df: DataFrame) -> DataFrame:
-    return df.dropDuplicates()
+def distinct_rows(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Each row once.  With `parts` rows are dealt to so many tasks before they are held, so that a task holds its
+    share whatever the size of the partitions read: first with the partition they come from, so that the
+    copies of one row don't meet in one task, then without."""
+    if parts is None:
+        return df.dropDuplicates()
+    own = df.withColumn("__from", F.spark_partition_id()).repartition(parts, *df.columns, "__from").dropDuplicates()
+    return own.select(*df.columns).repartition(parts, *df.columns).dropDuplicates()
 
 
 def distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:

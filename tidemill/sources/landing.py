@@ -8,6 +8,7 @@ the result and leaves the others alone.
 from __future__ import annotations
 
 import fnmatch
+import functools
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -23,6 +24,8 @@ from .snapshots import Snapshots, file_system
 
 FILE = "source_file"
 _LISTED = 20
+#: Rows that a task of tidy() holds.
+_ROWS = 500_000
 
 
 @dataclass
@@ -34,24 +37,24 @@ class Landed:
     rows: DataFrame
 
 
-def tidy(df: DataFrame) -> DataFrame:
-    """The usual transformation: rows with any value, each once a file."""
+def tidy(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """The usual transformation: rows with any value, each once a file; in `parts` tasks, if given."""
     some = [c for c in df.columns if c != FILE]
     filled = F.lit(False)
     for c in some:
         filled = filled | ~is_blank(c)
-    return distinct_rows(df.where(filled))
+    return distinct_rows(df.where(filled), parts)
 
 
 def run_files(
-    spark: SparkSession, path: str, out: str, columns: Sequence[str], required: Sequence[str] = (), transform: Callable[[DataFrame], DataFrame] = tidy, sep: str = ",", pattern: str = "*.csv",
+    spark: SparkSession, path: str, out: str, columns: Sequence[str], required: Sequence[str] = (), transform: Callable[[DataFrame], DataFrame] | None = None, sep: str = ",", pattern: str = "*.csv",
     load: Callable[[DataFrame], object] | None = None,
 ) -> Landed:
     """Take all files below a path with the given header through extraction, checks, transformation and load.
 
     A file fails, with the reasons in `error`, if it has no rows, no such header, a row with another number
     of fields, or a row without a required value.  transform() gets the rows of the other files with
-    `source_file` and must keep it; load() gets its result, and what it raises ends the run.  The result is
+    `source_file` and must keep it (without one: tidy(), in tasks of bounded size); load() gets its result, and what it raises ends the run.  The result is
     a dataset of snapshots at out/rows, put in place as a whole, so a run that ends early changes nothing.
     """
     # Spark's readers leave files without a byte out.
@@ -70,7 +73,8 @@ def run_files(
     marked = raw.select(*columns, "_corrupt", F.col("_metadata.file_path").alias(FILE)).withColumn("outcome", outcome)
     # The counts of the run come with the write itself.
     marked = marked.observe(seen, F.count_if(F.col("outcome") != "head").alias("rows_extracted"), F.count_if(F.col("outcome").isin("fields", "missing")).alias("rows_bad"))
-    marked.drop("_corrupt").write.partitionBy("outcome").parquet(f"{out}/bronze", mode="overwrite")
+    # No folders by outcome: a task would sort its rows for them, and rows with a path are wide.
+    marked.drop("_corrupt").write.parquet(f"{out}/bronze", mode="overwrite")
     bronze = spark.read.schema(StructType([*(StructField(c, StringType()) for c in (*columns, FILE, "outcome"))])).parquet(f"{out}/bronze")
     n = lambda x: F.count_if(F.col("outcome") == x)
     per = bronze.groupBy(FILE).agg(n("head").alias("heads"), n("fields").alias("fields"), n("missing").alias("missing"), F.count_if(F.col("outcome") != "head").alias("rows_extracted"))
@@ -83,6 +87,8 @@ def run_files(
     per = staged(per.withColumn("error", F.nullif(says, F.lit(""))))
     failed = per.where("error is not null").select(FILE)
     good = bronze.where("outcome = 'good'").drop("outcome").join(failed, FILE, "left_anti")
+    if transform is None:
+        transform = functools.partial(tidy, parts=int(seen.get.get("rows_extracted") or 0) // _ROWS + 1)
     silver = transform(good).observe(made, F.count(F.lit(1)).alias("rows_transformed"))
     Snapshots(spark, f"{out}/rows").replace(silver)
     rows = Snapshots(spark, f"{out}/rows").read()
