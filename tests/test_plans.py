@@ -119,3 +119,20 @@ def test_build_star(spark, tmp_path):
 def test_dates_without_trading(spark):
     d = marts.dim_dates(spark, "2024-12-30", "2025-01-02", ["2025-01-01"])
     assert rows(d.select("iso_week", "iso_weekday", "is_holiday")) == sorted([(1, 1, False), (1, 2, False), (1, 3, True), (1, 4, False)])
+
+
+def test_star_builds_orders_once(spark, tmp_path, monkeypatch):
+    """Items find their month in the orders written: the raw orders are read for the build of one table only."""
+    put = lambda name, text: (tmp_path / f"{name}.csv").write_text(text)
+    put("orders", "order_id,customer_id,order_status,order_purchase_timestamp,order_delivered_customer_date,order_estimated_delivery_date\n007,1,x,2020-01-05 00:00:00,,\n007,1,x,2020-03-05 00:00:00,,\n8,1,x,,,\n")
+    put("customers", "customer_id,customer_unique_id,customer_city,customer_state\n1,u,c,s\n")
+    put("products", "product_id,product_category_name,product_length_cm,product_height_cm,product_width_cm\n1,a,1,2,3\n")
+    put("categories", "product_category_name,product_category_name_english\na,b\n")
+    put("sellers", "seller_id,seller_state\n1,s\n")
+    put("order_items", "order_id,order_item_id,price,freight_value\n007,1,1.5,1\n007,2,2.5,1\n8,1,1,1\n9,1,1,1\n")
+    seen, join = [], star.fact_order_items
+    monkeypatch.setattr(star, "fact_order_items", lambda raw, orders, run_ts: seen.extend(orders.inputFiles()) or join(raw, orders, run_ts))
+    made = star.build_star(spark, str(tmp_path), str(tmp_path / "out"), dt.datetime(2020, 1, 1))
+    assert seen and all("/out/fact_orders/" in f for f in seen)
+    assert rows(made["fact_order_items"].select("order_id", "order_item_id", "order_year", "order_month")) == [("007", 1, 2020, 1), ("007", 2, 2020, 1), ("8", 1, None, None), ("9", 1, None, None)]
+    assert {n: df.count() for n, df in made.items()} == {"fact_orders": 2, "dim_customers": 1, "dim_products": 1, "dim_sellers": 1, "fact_order_items": 4}

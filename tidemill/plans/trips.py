@@ -410,14 +410,17 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """Six delimited files from the tables, with copies, late versions and items of unknown orders; the job builds and writes five."""
     raw, out, both = scratch(t), scratch(t), F.explode(F.array(F.lit(0), F.lit(1)))
-    put = lambda df, name: df.write.option("header", True).csv(f"{raw}/{name}.csv")
-    put(_raw_orders(t), "orders")
     people = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    put(people.withColumn("copy", both).select(F.col("c_custkey").alias("customer_id"), F.concat(F.lit("u"), "c_custkey").alias("customer_unique_id"), F.col("c_mktsegment").alias("customer_city"), F.lower("n_name").alias("customer_state")), "customers")
-    put(t.part.withColumn("copy", both).select(F.col("p_partkey").alias("product_id"), F.col("p_type").alias("product_category_name"), F.col("p_size").alias("product_length_cm"), F.lit(20).alias("product_height_cm"), (F.col("p_size") % 9).alias("product_width_cm")), "products")
-    put(t.part.where("p_type <> 'PROMO'").select(F.col("p_type").alias("product_category_name"), F.lower("p_type").alias("product_category_name_english")).distinct(), "categories")
-    put(t.dim_sellers().withColumn("copy", both).select("seller_id", F.lower("seller_state").alias("seller_state")), "sellers")
-    put(t.lineitem.select((F.col("l_orderkey") * 2).alias("order_id"), F.col("l_linenumber").alias("order_item_id"), F.col("l_extendedprice").cast("decimal(14,2)").alias("price"), F.col("l_linenumber").alias("freight_value")), "order_items")
+    given = {
+        "orders": _raw_orders(t),
+        "customers": people.withColumn("copy", both).select(F.col("c_custkey").alias("customer_id"), F.concat(F.lit("u"), "c_custkey").alias("customer_unique_id"), F.col("c_mktsegment").alias("customer_city"), F.lower("n_name").alias("customer_state")),
+        "products": t.part.withColumn("copy", both).select(F.col("p_partkey").alias("product_id"), F.col("p_type").alias("product_category_name"), F.col("p_size").alias("product_length_cm"), F.lit(20).alias("product_height_cm"), (F.col("p_size") % 9).alias("product_width_cm")),
+        "categories": t.part.where("p_type <> 'PROMO'").select(F.col("p_type").alias("product_category_name"), F.lower("p_type").alias("product_category_name_english")).distinct(),
+        "sellers": t.dim_sellers().withColumn("copy", both).select("seller_id", F.lower("seller_state").alias("seller_state")),
+        "order_items": t.lineitem.select((F.col("l_orderkey") * 2).alias("order_id"), F.col("l_linenumber").alias("order_item_id"), F.col("l_extendedprice").cast("decimal(14,2)").alias("price"), F.col("l_linenumber").alias("freight_value")),
+    }
+    with ThreadPoolExecutor(len(given)) as pool:
+        list(pool.map(lambda n: given[n].write.option("header", True).csv(f"{raw}/{n}.csv"), given))
     made = star.build_star(t.spark, raw, out, RUN)
     detail = {
         "fact_orders": ("order_id", ["customer_id", "order_status", "delivery_days", "is_delayed", "order_year", "order_month"]), "dim_customers": ("customer_id", ["customer_unique_id", "customer_city", "customer_state", "customer_key"]),
